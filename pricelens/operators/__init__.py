@@ -1,0 +1 @@
+"""operators of the catalog value-analytics library."""

@@ -1,0 +1 @@
+"""plans of the catalog value-analytics library."""

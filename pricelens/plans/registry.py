@@ -1,0 +1,5 @@
+"""Every catalog query with its SQL oracle."""
+
+FLAGSHIP = "best_value_frontier"
+QUERIES: dict = {}
+ORACLES: dict = {}

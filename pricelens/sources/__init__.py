@@ -1,0 +1 @@
+"""sources of the catalog value-analytics library."""

@@ -1,0 +1 @@
+"""streaming of the catalog value-analytics library."""
