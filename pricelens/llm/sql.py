@@ -34,4 +34,30 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
-ORACLES = {"op8_mixing": MIXING}
+DECONTAM = r"""
+WITH low AS (
+  SELECT doc_id AS id, false AS item, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT item_id, true, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT id, item, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low
+), items AS (
+  SELECT DISTINCT id AS item_id, least(13, len(ws)) AS k, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS win
+  FROM (SELECT id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM w WHERE item AND len(ws) > 0)
+), spots AS (
+  SELECT id AS doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win
+  FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM items) WHERE NOT item)
+), hits AS (
+  SELECT doc_id, item_id, i, k FROM spots JOIN items USING (k, win)
+), places AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY doc_id
+), names AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id
+)
+SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN places ON places.doc_id = id LEFT JOIN names ON names.doc_id = id WHERE NOT item
+"""
+
+ORACLES = {"op5_decontam": DECONTAM, "op8_mixing": MIXING}
