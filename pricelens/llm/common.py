@@ -49,3 +49,12 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
+
+
+def attach(rows: DataFrame, key: str, facts: DataFrame, how: str = "inner", by: list[str] | None = None, salts: int = 64) -> DataFrame:
+    """Rows with the columns of facts, which has one row to a value of key. A value may have a third of all rows, so rows
+    are dealt by key and a salt (a hash of the columns named in by, all if None), and facts are copied only to the salts
+    that a value has."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(salts)).cast("int"))
+    needed = salted.select(key, "_salt").distinct().join(facts, key)
+    return salted.join(needed, [key, "_salt"], how).drop("_salt")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontam, mixing, quality, simhash
-from pricelens.llm.common import lineage_cut, table
+from pricelens.llm import decontam, mixing, quality, simhash, warc
+from pricelens.llm.common import lineage_cut, shared_folder, table
 from pricelens.llm.sql import ORACLES
 
 
@@ -35,6 +35,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import fresh, lineage_cut
+from pricelens.llm.common import attach, fresh, lineage_cut
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a bucket from which they are linked by shared values instead of pairs.
@@ -94,14 +94,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
     return near.unionByName(stars.select("a", F.explode("fps").alias("b")).where("a < b").distinct())
 
 
-def attach(rows: DataFrame, key: str, facts: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
-    """Rows with the columns of facts, which has one row to a value of key. A value may have a third of all rows, so rows
-    are dealt by key and a salt, and facts are copied only to the salts that a value has."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    needed = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.join(needed, [key, "_salt"], how).drop("_salt")
-
-
 def groups(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in the edges (a, b): the smallest node that it reaches. Each round hooks a node's label
     to the smallest label beside it and then jumps once over labels; it ends when a round changes nothing."""

@@ -60,4 +60,18 @@ SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM w LEFT JOIN places ON places.doc_id = id LEFT JOIN names ON names.doc_id = id WHERE NOT item
 """
 
-ORACLES = {"op5_decontam": DECONTAM, "op8_mixing": MIXING}
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT h, min(page_id) AS first FROM p GROUP BY h
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(p.h, CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+ORACLES = {"op9_warc": WARC, "op5_decontam": DECONTAM, "op8_mixing": MIXING}
