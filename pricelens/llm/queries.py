@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontam, mixing, quality, simhash, warc
+from pricelens.llm import decontam, mixing, pii, quality, secrets, simhash, toxicity, warc
 from pricelens.llm.common import lineage_cut, shared_folder, table
 from pricelens.llm.sql import ORACLES
 
@@ -18,6 +18,29 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def _spans(column, kinds=None):
+    """kind:start:end of each span, comma-joined; of the given kinds only."""
+    part = F.filter(column, lambda x: x["kind"].isin(*kinds)) if kinds else F.col(column)
+    return F.array_join(F.transform(part, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count(column, kind):
+    return F.size(F.filter(column, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.KINDS[:3]
+    return found.select("doc_id", *[_count("secrets", k) for k in base], F.sha2(_spans("secrets", base), 256).alias("base_sha256"), _spans("secrets").alias("spans"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
@@ -30,6 +53,12 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [_count("base", k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("pii").alias("spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -69,8 +69,9 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = "1970-
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Archives below a folder that all executors share; a task that is run again replaces its file."""
-    records(pages, least_bytes).select("record").write.option("lineSep", BREAK).text(folder)
+    """Archives below a folder that all executors share; a task that is run again replaces its file. They are
+    gzipped: a task's share of the pages bounds an archive, so that it need not be split to be read."""
+    records(pages, least_bytes).select("record").write.option("lineSep", BREAK).option("compression", "gzip").text(folder)
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
