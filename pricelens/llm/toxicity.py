@@ -1,17 +1,14 @@
 """Toxicity by subword-bag embeddings.
 
 A word is the bag of its character n-grams, hashed to rows of an embedding table, so a misspelling that was never seen
-shares most rows with the word it hides. A window of words is the average of its words, and a linear softmax scores it;
-both layers are trained jointly in numpy. A document is as toxic as its most toxic window, so a few words count in a
-long text as in a short one.
-
-Labels are for documents. Training therefore picks, in turns, each toxic document's most toxic window and the worst
-windows of clean ones (the first turn by how often n-grams occur in documents of either label), and fits the layers to
-those. As both layers are linear, a trained word is one number; scoring sums numbers of words.
+shares most rows with the word it hides. A document is the average of its words, and a linear softmax scores it. Both
+layers are trained jointly in numpy, by Adam on all of a bounded number of labelled documents. As both are linear, a word
+of a trained model is one number, and scoring averages the numbers of words.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +20,15 @@ from pyspark.sql import functions as F
 
 from pricelens.llm.common import bounded_sample
 
-WINDOW = 16
-BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 18, 8, 3, 5
+BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 18, 4, 3, 6
 #: Labelled documents from which the layers are trained, at most.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
-TURNS, STEPS, RATE, DECAY = 3, 40, 0.05, 1e-3
-#: Rows that fewer training documents have stay near 0: what they say is chance.
-LEAST_DOCS = 5
-#: Worst and random windows of a clean document in a turn.
-WORST, CHANCE = 2, 3
+TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600
+STEPS, RATE, DECAY = 120, 0.03, 1e-3
+#: Averages are small where a hundredth of the words counts: they are multiplied by this before the softmax.
+SCALE = 50.0
+#: Rows are learned whose share of toxic and of clean training documents differs by so many standard errors. All others
+#: stay 0: there are far more rows than documents, and what they would learn is chance.
+LEAST_Z = 5.0
 THRESHOLD = 0.7
 #: Words whose numbers a task keeps; beyond that it forgets them and starts anew.
 CACHE = 300_000
@@ -56,104 +53,71 @@ class Model:
     bias: np.ndarray  # 2
 
     def word_numbers(self) -> np.ndarray:
-        """What each row adds to a window's log odds."""
-        return (self.table @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
+        """What each row adds to a document's log odds."""
+        return SCALE * (self.table @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
 
 
-def _windows(n: int) -> np.ndarray:
-    """Starts of the windows over n words: every half window; the last one is full if the text is."""
-    return np.unique(np.minimum(np.arange(0, max(n - WINDOW // 2, 1), WINDOW // 2), max(0, n - WINDOW)))
-
-
-def window_odds(numbers: np.ndarray, bias: float) -> np.ndarray:
-    """Log odds of each window of a text with these numbers of words."""
-    n, at = len(numbers), _windows(len(numbers))
-    total = np.concatenate(([0.0], np.cumsum(numbers, dtype=np.float64)))
-    end = np.minimum(at + WINDOW, n)
-    return (total[end] - total[at]) / np.maximum(1, end - at) + bias
-
-
-class _Corpus:
-    """Training texts as word ids, with the features of each word."""
-
-    def __init__(self, texts: list[str]):
-        ids: dict[str, int] = {}
-        self.docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int64) for t in texts]
-        rows = [features(w) for w in ids]
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.array([x for r in rows for x in r], np.int64)
-        self.starts = _starts(self.sizes)
-
-    def word_means(self, row_numbers: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(row_numbers[self.rows], self.starts) / self.sizes if len(self.sizes) else np.zeros(0)
+def _average(values: np.ndarray, of: np.ndarray, size: int, weight: np.ndarray) -> np.ndarray:
+    """Sums of weighted values by the number in `of`."""
+    return np.stack([np.bincount(of, v * weight, size) for v in values.T], axis=1)
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     draw = np.random.default_rng(seed)
-    model = Model(draw.normal(0, 1e-3, (BUCKETS, WIDTH)).astype(np.float32), draw.normal(0, 0.5, (WIDTH, 2)), np.zeros(2))
-    corpus, y = _Corpus(texts), np.array(toxic, np.int64)
-    keep = [i for i, d in enumerate(corpus.docs) if len(d)]
-    if not keep or not 0 < y[keep].sum() < len(keep):
-        model.weights[:] = 0
-        model.bias[:] = (4.0, 0.0)
+    model = Model(np.zeros((BUCKETS, WIDTH)), draw.normal(0, 0.5, (WIDTH, 2)), np.zeros(2))
+    docs, y, ids = [], [], {}
+    for text, label in zip(texts, toxic, strict=True):
+        if words := words_of(text):
+            docs.append(np.unique([ids.setdefault(w, len(ids)) for w in words], return_counts=True))
+            y.append(int(label))
+    y = np.array(y)
+    if not 0 < y.sum() < len(y):  # nothing to learn: nothing is toxic
+        model.weights[:], model.bias[:] = 0, (4.0, 0.0)
         return model
-    # First turn: rows of the table by the share of toxic and of clean documents that have them, in standard errors.
-    seen = np.zeros((2, BUCKETS))
-    for i in keep:
-        words = np.unique(corpus.docs[i])
-        seen[y[i], np.unique(np.concatenate([corpus.rows[corpus.starts[w] : corpus.starts[w] + corpus.sizes[w]] for w in words]))] += 1
-    n = np.array([(y[keep] == 0).sum(), (y[keep] == 1).sum()], float)
+    # Three layers of sparse links, each with its weights: row to word, word to document.
+    rows = [features(w) for w in ids]
+    sizes = np.array([len(r) for r in rows])
+    row, word_of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    word, count = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs]).astype(float)
+    doc_of = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
+    count /= np.bincount(doc_of, count)[doc_of]
+    starts, seen, n = _starts(sizes), np.zeros((2, BUCKETS)), np.bincount(y, minlength=2).astype(float)
+    for (words, _), label in zip(docs, y, strict=True):
+        seen[label, np.unique(np.concatenate([row[starts[w] : starts[w] + sizes[w]] for w in words]))] += 1
     share = seen.sum(axis=0) / n.sum()
-    numbers = corpus.word_means((seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1 / n.sum()) * (1 / n[0] + 1 / n[1])))
-    state = [np.zeros_like(x, dtype=np.float32) for x in (model.table, model.table)] + [np.zeros_like(x) for x in (model.weights, model.weights, model.bias, model.bias)]
-    step, usual = 0, seen.sum(axis=0) >= LEAST_DOCS
-    for turn in range(TURNS):
-        if turn:
-            numbers = corpus.word_means(model.word_numbers())
-        picked: list[tuple[int, int, int]] = []
-        for i in keep:
-            x = numbers[corpus.docs[i]]
-            at, odds = _windows(len(x)), window_odds(x, 0.0) if turn else np.array([x[a : a + WINDOW].max() for a in _windows(len(x))])
-            best = [int(odds.argmax())] if y[i] else [*np.argsort(-odds)[:WORST].tolist(), *draw.integers(0, len(at), CHANCE).tolist()]
-            picked += [(i, int(at[b]), int(y[i])) for b in best]
-        step = _fit(model, corpus, picked, usual, state, step)
-    return model
-
-
-def _fit(model: Model, corpus: _Corpus, picked: list[tuple[int, int, int]], usual: np.ndarray, state: list[np.ndarray], step: int) -> int:
-    """Adam steps of both layers on the picked windows; classes weigh alike."""
-    parts = [corpus.docs[i][a : a + WINDOW] for i, a, _ in picked]
-    y = np.array([t for _, _, t in picked])
-    sizes, used = np.array([len(p) for p in parts]), None
-    used, word = np.unique(np.concatenate(parts), return_inverse=True)
-    rows = np.concatenate([corpus.rows[corpus.starts[w] : corpus.starts[w] + corpus.sizes[w]] for w in used])
-    per, window_of = corpus.sizes[used], np.repeat(np.arange(len(parts)), sizes)
-    own, row = np.unique(rows, return_inverse=True)
-    word_of = np.repeat(np.arange(len(used)), per)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))[:, None]
-    goal = np.eye(2)[y]
-    spread = lambda of, size, values: np.stack([np.bincount(of, v, size) for v in values.T], axis=1)
-    for _ in range(STEPS):
-        step += 1
-        vectors = np.add.reduceat(model.table[own][row], _starts(per)) / per[:, None]
-        means = np.add.reduceat(vectors[word], _starts(sizes)) / sizes[:, None]
-        score = means @ model.weights + model.bias
+    error = np.sqrt(np.maximum(share * (1 - share), 1 / n.sum()) * (1 / n[0] + 1 / n[1]))
+    learned = (np.abs(seen[1] / n[1] - seen[0] / n[0]) / error >= LEAST_Z)[row]
+    if not learned.any():
+        model.weights[:], model.bias[:] = 0, (4.0, 0.0)
+        return model
+    row, word_of = row[learned], word_of[learned]
+    own, row = np.unique(row, return_inverse=True)
+    model.table[own] = draw.normal(0, 0.01, (len(own), WIDTH))
+    part = 1.0 / sizes[word_of]
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[:, None]
+    goal, layers = np.eye(2)[y], [model.table[own], model.weights, model.bias]
+    first, second = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
+    for step in range(1, STEPS + 1):
+        table, weights, bias = layers
+        vectors = _average(table[row], word_of, len(rows), part)
+        means = SCALE * _average(vectors[word], doc_of, len(docs), count)
+        score = means @ weights + bias
         p = np.exp(score - score.max(axis=1, keepdims=True))
         error = weight * (p / p.sum(axis=1, keepdims=True) - goal)
-        by_window = (error @ model.weights.T) / sizes[:, None]
-        by_word = spread(word, len(used), by_window[window_of]) / per[:, None]
-        by_row = spread(row, len(own), by_word[word_of])
-        by_row[~usual[own]] = 0
-        for x, at, grad, m, v in ((model.table, own, by_row, *state[:2]), (model.weights, slice(None), means.T @ error, *state[2:4]), (model.bias, slice(None), error.sum(axis=0), *state[4:6])):
-            grad = grad + DECAY * x[at]
-            m[at] = 0.9 * m[at] + 0.1 * grad
-            v[at] = 0.99 * v[at] + 0.01 * grad**2
-            x[at] -= RATE * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-8)
-    return step
+        by_doc = SCALE * error @ weights.T
+        by_word = _average(by_doc[doc_of], word, len(rows), count)
+        by_row = _average(by_word[word_of], row, len(own), part)
+        for k, grad in enumerate((by_row, means.T @ error, error.sum(axis=0))):
+            grad = grad + DECAY * layers[k] * (weight.mean() if k == 0 else 1)
+            first[k] = 0.9 * first[k] + 0.1 * grad
+            second[k] = 0.99 * second[k] + 0.01 * grad**2
+            layers[k] = layers[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    model.table[own], model.weights, model.bias = layers
+    return model
 
 
 def held_out(column: str = "doc_id"):
@@ -172,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_clean:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with score, the probability that the most toxic window is toxic. Only the text counts: repeated rows
-    agree. A text without words (or null) scores as a window without evidence. An existing column score is replaced."""
+    """The documents with score, the probability that the document is toxic. Only the text counts: repeated rows
+    agree. A text without words (or null) scores as one without evidence. An existing column score is replaced."""
     sparkled = docs.sparkSession.sparkContext.broadcast((model.word_numbers(), float(model.bias[1] - model.bias[0])))
 
     @F.pandas_udf("double")
@@ -186,8 +150,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 words = words_of(text)
                 for w in set(words).difference(known):
                     known[w] = float(rows[features(w)].mean())
-                odds = window_odds(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), bias).max()
-                out.append(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+                odds = bias + sum(map(known.__getitem__, words)) / max(1, len(words))
+                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
                 if len(known) > CACHE:
                     known.clear()
             yield pd.Series(out, dtype=float)
