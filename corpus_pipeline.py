@@ -1,15 +1,59 @@
-"""From raw documents to a training mix: each stage works on all that the one before it kept."""
+"""From raw documents to a training mix: each stage works on all that the one before it kept.
+
+1. toxicity: documents that score 0.7 or more go.
+2. near_duplicates: of each group of near copies the document with the smallest doc_id stays.
+3. decontamination: documents of which a twentieth or more are benchmark windows go.
+4. personal_data: spans of personal data in the texts are replaced by their kind.
+5. mixing: size, source_size, target and taken are added, the words of each document that the training mix takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricelens.llm import decontam, mixing, pii, simhash, toxicity
+from pricelens.llm.common import lineage_cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+]
 
-STAGES: list = []
+#: Toxicity and personal data are trained models, and simhash needs XXH64: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages over the table documents; each stage's rows are written before the next one reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = lineage_cut(docs)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontam, mixing, pii, quality, secrets, simhash, toxicity, warc
+from pricelens.llm import decontam, html_text, mixing, pii, quality, secrets, simhash, toxicity, warc
 from pricelens.llm.common import lineage_cut, shared_folder, table
 from pricelens.llm.sql import ORACLES
 
@@ -53,6 +53,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count("base", k) for k in pii.KINDS]

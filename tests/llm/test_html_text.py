@@ -1,0 +1,46 @@
+import html
+import re
+
+from pricelens.llm import html_text
+from pricelens.llm.html_text import main_text
+
+LOREM = "Words of an article go on and on, with commas, and some &amp; signs, for a good while. " * 3
+CLEAN = " ".join(LOREM.replace("&amp;", "&").split())
+PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
+<header><h2>Site name and slogan</h2></header><nav><ul>{'<li><a href="/x">menu item</a></li>' * 9}</ul></nav><!-- <p>no</p> -->
+<div class="cookie-notice">We use cookies to serve you better, as all do. {LOREM}</div><div id="main-ad" >Buy now</div>
+<div class="content"><article><h1>A title &eacute;</h1><p><b>{LOREM}<br><p>Second
+ paragraph with a <a href="/y">link</a> in it.</p><ul><li>one<li>two</ul><table><tr><td>a</td><td>b</td></tr></table><p></p></article>
+<section class="comments">{f"<p>{LOREM}</p>" * 5}</section></div>
+<aside><p>{LOREM}</p></aside><form><p>Sign up {LOREM}</p><textarea>x</textarea></form><footer><p>&copy; me</p></footer>"""
+
+
+def test_article_alone_is_kept():
+    assert main_text(PAGE).split("\n") == ["A title é", CLEAN, "Second paragraph with a link in it.", "one", "two", "a b"]
+
+
+def test_plain_containers_are_told_by_density():
+    links = "".join(f'<div><a href="/{i}">link number {i}</a></div>' for i in range(30))
+    page = f"<body><div>{links}</div><div>" + f"<p>{LOREM}</p>" * 4 + f"</div><div><span>short</span>{links}</div></body>"
+    assert main_text(page) == "\n".join([CLEAN] * 4)
+
+
+def test_odd_sources():
+    assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
+    assert main_text("just text &lt;b&gt;") == "just text <b>"
+    assert main_text("<p>a<p>b</div></b><p>c < d") == "a\nb\nc < d"
+    assert main_text('<div title="a>b">x</div><a href="oops>y</a>').startswith("x")
+    assert "deep" in main_text("<div>" * 50_000 + "deep")
+    assert len(main_text("<p>" + "word " * 300_000).split()) == 300_000
+
+
+def test_tables_of_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in html_text.extract(pages).collect():  # these pages have one article of headings and paragraphs
+        inner = r.html.partition("<article>")[2].partition("</article>")[0].replace("<br>", " ").replace("<b>", "").replace("</b>", "")
+        lines = [" ".join(html.unescape(x).split()) for x in re.split("</?(?:h1|p)>", inner)]
+        assert (r.text, r.n_chars) == ("\n".join(x for x in lines if x), len(r.text))
+    rows = [(1, "u", None, 1), (2, "u", "", 1), (3, "u", PAGE, 1), (3, "u", PAGE, 1)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    assert sorted(r.n_chars for r in html_text.extract(odd).collect()) == [0, 0, *[len(main_text(PAGE))] * 2]
+    assert html_text.extract(odd.limit(0)).count() == 0
