@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import decontam, html_text, mixing, pii, quality, secrets, simhash, toxicity, warc
+from pricelens.llm import decontam, html_text, lm, mixing, pii, quality, secrets, simhash, toxicity, warc
 from pricelens.llm.common import lineage_cut, shared_folder, table
 from pricelens.llm.sql import ORACLES
 
@@ -74,6 +74,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(lm.in_training()))
+    held = (~lm.in_training()).alias("held_out")
+    scored = lm.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
