@@ -1,0 +1,178 @@
+"""The same answers in DuckDB SQL, written apart from the operators: a name here is a query's name in capitals."""
+
+from __future__ import annotations
+
+from pricelens.plans.views import CAT, HIST, RAWS, SNAP
+
+_NORM = "(log10(greatest({x}, {lo})) - log10({lo})) / (log10({hi}) - log10({lo}))"
+
+
+def _leg(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 0.5 ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, {_NORM.format(x=x, lo=f'{lo}::DOUBLE', hi=f'{hi}::DOUBLE')})) END"
+
+
+_PRICE = "coalesce(CASE WHEN price_blended > 0 THEN price_blended END, (2 * price_input + price_output) / 3, price_input, (2 * openrouter_price_input + openrouter_price_output) / 3, openrouter_price_input)"
+_SCORED = f"""cat AS ({CAT}), priced AS (SELECT *, {_PRICE} AS price FROM cat), ratios AS (
+  SELECT *, round(intelligence_score / CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 4) AS value_score,
+    round(arena_elo / CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 4) AS arena_value,
+    coalesce(greatest(uptime_30m, uptime_1d) >= 95, true) AS gated_in FROM priced
+), scored AS (
+  SELECT *, CASE WHEN value_score IS NULL THEN NULL ELSE round(0.5 * {_leg("value_score", 5.0, 500.0)} + 0.3 * 0.5 + 0.2 * {_leg("output_speed_tps", 20.0, 1000.0)}, 4) END AS composite_deal_score,
+    CASE WHEN arena_value IS NULL THEN NULL ELSE round(0.5 * {_leg("arena_value", 50.0, 10000.0)} + 0.3 * 0.5 + 0.2 * {_leg("output_speed_tps", 20.0, 1000.0)}, 4) END AS arena_composite_score
+  FROM ratios
+)"""
+
+
+def _frontier(view: str, quality: str, near: float, composite: str) -> str:
+    """CTEs f_<view>: the frontier by pairwise dominance, near repeats dropped one after the other, knee scores and ranks."""
+    return f"""c_{view} AS (SELECT model_id, name, price, {quality} AS quality, {composite} AS comp FROM scored WHERE gated_in AND price > 0 AND {quality} IS NOT NULL
+), d_{view} AS (SELECT *, row_number() OVER (PARTITION BY price, quality ORDER BY coalesce(comp, 0) DESC, name, model_id) AS twin FROM c_{view} a WHERE NOT EXISTS (
+    SELECT 1 FROM c_{view} b WHERE b.price <= a.price AND b.quality >= a.quality AND (b.price < a.price OR b.quality > a.quality))
+), o_{view} AS (SELECT *, row_number() OVER (ORDER BY price, model_id) AS i FROM d_{view} WHERE twin = 1
+), k_{view} AS (
+  SELECT i, price, quality, true AS kept, log10(price) AS lp, quality AS lq FROM o_{view} WHERE i = 1
+  UNION ALL
+  SELECT o.i, o.price, o.quality, NOT (log10(o.price) - k.lp < 0.02 AND abs(o.quality - k.lq) < {near}),
+    CASE WHEN log10(o.price) - k.lp < 0.02 AND abs(o.quality - k.lq) < {near} THEN k.lp ELSE log10(o.price) END,
+    CASE WHEN log10(o.price) - k.lp < 0.02 AND abs(o.quality - k.lq) < {near} THEN k.lq ELSE o.quality END
+  FROM k_{view} k JOIN o_{view} o ON o.i = k.i + 1
+), s_{view} AS (
+  SELECT o.model_id, o.name, o.price, o.quality, round(coalesce((o.quality - min(o.quality) OVER ()) / nullif(max(o.quality) OVER () - min(o.quality) OVER (), 0), 0)
+    - coalesce((log10(o.price) - min(log10(o.price)) OVER ()) / nullif(max(log10(o.price)) OVER () - min(log10(o.price)) OVER (), 0), 0), 4) AS frontier_score
+  FROM o_{view} o JOIN k_{view} USING (i) WHERE kept
+), f_{view} AS (SELECT *, CAST(row_number() OVER (ORDER BY frontier_score DESC, name, model_id) AS INTEGER) AS frontier_rank FROM s_{view})"""
+
+
+_BOTH = f"{_SCORED}, {_frontier('intel', 'intelligence_score', 0.5, 'composite_deal_score')}, {_frontier('arena', 'arena_elo', 5.0, 'arena_composite_score')}"
+
+BEST_VALUE_FRONTIER = f"WITH RECURSIVE {_BOTH} SELECT model_id, name, round(price, 6) AS price, quality, frontier_score, frontier_rank FROM f_intel"
+
+FRONTIER_FLAGS = f"""WITH RECURSIVE {_BOTH} SELECT s.model_id, i.frontier_rank IS NOT NULL AS is_frontier_intel, i.frontier_rank AS frontier_rank_intel, i.frontier_score AS frontier_score_intel,
+  a.frontier_rank IS NOT NULL AS is_frontier_arena, a.frontier_rank AS frontier_rank_arena, a.frontier_score AS frontier_score_arena
+FROM scored s LEFT JOIN f_intel i USING (model_id) LEFT JOIN f_arena a ON a.model_id = s.model_id"""
+
+TOP_DEALS = f"""WITH RECURSIVE {_BOTH} SELECT model_id, composite_deal_score, frontier_rank AS frontier_rank_intel FROM scored LEFT JOIN f_intel USING (model_id)
+WHERE CASE WHEN EXISTS (SELECT 1 FROM f_intel) THEN frontier_rank IS NOT NULL ELSE composite_deal_score IS NOT NULL AND gated_in END
+ORDER BY frontier_rank NULLS LAST, composite_deal_score DESC NULLS LAST, coalesce(intelligence_score, 0) DESC, model_id LIMIT 4"""
+
+PARETO_FRONTIER_LARGE = """WITH o AS (SELECT o_orderkey, o_totalprice, o_totalprice + o_orderkey % 1000 AS q FROM orders WHERE o_totalprice > 0),
+p AS (SELECT o_totalprice, max(q) AS q FROM o GROUP BY o_totalprice),
+r AS (SELECT *, max(q) OVER (ORDER BY o_totalprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
+SELECT o.* FROM o JOIN r ON o.o_totalprice = r.o_totalprice AND o.q = r.q WHERE before IS NULL OR r.q > before"""
+
+EFFECTIVE_PRICE = f"""WITH cat AS ({CAT}), p AS (SELECT model_id, {_PRICE} AS price FROM cat)
+SELECT model_id, round(price, 6) AS price, round(CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 6) AS scoring_price,
+  CASE WHEN price IS NULL THEN 'n/a' WHEN round(price, 3) < 1 THEN printf('$%.3f', round(price, 3)) ELSE printf('$%.2f', round(price, 3)) END AS label FROM p"""
+EFFECTIVE_PRICE = EFFECTIVE_PRICE.replace("printf('$%.2f', round(price, 3))", "printf('$%.2f', round(round(price, 3), 2))")
+
+COMPOSITE_SCORES = f"""WITH {_SCORED} SELECT model_id, value_score, arena_value, composite_deal_score, arena_composite_score, gated_in, composite_deal_score IS NOT NULL AND gated_in AS candidate FROM scored"""
+
+SIZE_TIERS = r"""WITH n AS (SELECT p_partkey, concat(p_name, ' ', CAST(CAST(p_size * 1.5 AS DECIMAL(6, 1)) AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'x' END, CASE WHEN p_partkey % 3 = 0 THEN ' mini (large)' ELSE '' END) AS name,
+  p_partkey % 3 = 0 AS hinted FROM part),
+m AS (SELECT *, list_max(list_transform(regexp_extract_all(name, '(\d+(?:\.\d+)?)\s*[Bb](?:\b|$)', 1), lambda x: CAST(x AS DOUBLE))) AS billions FROM n)
+SELECT p_partkey, billions, CASE WHEN billions < 3 THEN 'nano' WHEN billions < 15 THEN 'small' WHEN billions < 70 THEN 'medium' WHEN billions IS NOT NULL THEN 'large'
+  WHEN regexp_matches(lower(name), '\b(small|medium|large|nano|tiny|micro|xs|xl|xxl)\b') AND NOT hinted THEN regexp_extract(lower(name), '\b(small|medium|large)\b', 1) WHEN hinted THEN 'small' ELSE 'unknown' END AS tier FROM m"""
+
+NORMALISED_NAMES = r"""WITH n AS (SELECT p_partkey, concat('vendor-x/', p_name, CASE WHEN p_partkey % 2 = 0 THEN ' (Nov ''24)' ELSE ' (xhigh)' END, CASE WHEN p_partkey % 3 = 0 THEN ' V3.1 turbo' ELSE '-20250219' END) AS name,
+  concat(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' xhigh' END, CASE WHEN p_partkey % 3 = 0 THEN ' turbo' ELSE '' END) AS norm FROM part)
+SELECT p_partkey, norm, replace(norm, ' ', '-') AS slug, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS name_slug, trim(regexp_replace(lower(substr(name, 10)), '[^a-z0-9]+', '-', 'g'), '-') AS path_slug FROM n"""
+
+RANKED_CATALOG_TOP = f"WITH {_SCORED} SELECT model_id, composite_deal_score, intelligence_score FROM scored ORDER BY composite_deal_score DESC NULLS LAST, coalesce(intelligence_score, 0) DESC, model_id LIMIT 50"
+
+LEADERBOARD = f"WITH {_SCORED} SELECT model_id, composite_deal_score, 'unknown' AS size_tier FROM scored WHERE composite_deal_score IS NOT NULL AND gated_in AND intelligence_score >= 20"
+
+_ELIGIBLE = f"""{_SCORED}, e AS (SELECT *, CASE WHEN intelligence_score >= 40 THEN 'flagship' WHEN intelligence_score >= 25 THEN 'workhorse' WHEN intelligence_score >= 0 THEN 'budget' END AS band
+  FROM scored WHERE intelligence_score IS NOT NULL AND composite_deal_score IS NOT NULL), m AS (
+  SELECT *, row_number() OVER (PARTITION BY band ORDER BY composite_deal_score DESC, intelligence_score DESC, model_id) AS place,
+    row_number() OVER (PARTITION BY band, gated_in ORDER BY composite_deal_score DESC, intelligence_score DESC, model_id) AS gate_place,
+    row_number() OVER (PARTITION BY band ORDER BY CASE WHEN price > 0 THEN price ELSE 'inf'::DOUBLE END, composite_deal_score DESC, intelligence_score DESC, model_id) AS price_place
+  FROM e WHERE band IS NOT NULL)"""
+
+BAND_MEMBERS = f"WITH {_ELIGIBLE} SELECT band, CAST(place AS INTEGER) AS place, model_id FROM m WHERE place <= 8"
+
+BAND_LEADERBOARD = f"""WITH {_ELIGIBLE}, b(band, label) AS (VALUES ('flagship', 'Frontier-class'), ('workhorse', 'Workhorse'), ('budget', 'Budget'))
+SELECT band, label, count(model_id) AS n, coalesce(max(model_id) FILTER (gated_in AND gate_place = 1), max(model_id) FILTER (place = 1)) AS leader_id, max(model_id) FILTER (price_place = 1) AS cheapest_id,
+  round(min(price) FILTER (price > 0), 6) AS cheapest_price, coalesce(string_agg(model_id, ',' ORDER BY place) FILTER (place <= 8), '') AS member_ids
+FROM b LEFT JOIN m USING (band) GROUP BY band, label"""
+
+CHEAPEST_ABOVE = f"""WITH {_ELIGIBLE}, t AS (SELECT threshold::DOUBLE AS threshold, model_id, round(price, 4) AS price,
+  row_number() OVER (PARTITION BY threshold ORDER BY e.price, composite_deal_score DESC, intelligence_score DESC, model_id) AS n FROM e, (VALUES (25.0), (40.0), (50.0)) v(threshold) WHERE price > 0 AND intelligence_score >= threshold)
+SELECT threshold, model_id, price FROM t WHERE n = 1"""
+
+_DAYS = f"""hist AS ({HIST}), days AS (SELECT snapshot_date, count(*) FILTER (price > 0 AND intelligence_score IS NOT NULL) AS priced, threshold, min(price) FILTER (price > 0 AND intelligence_score >= threshold) AS cheapest,
+  median(price) FILTER (price > 0 AND intelligence_score >= threshold) AS median, count(price) FILTER (price > 0 AND intelligence_score >= threshold) AS n
+  FROM hist, (VALUES (25), (40), (50)) v(threshold) GROUP BY snapshot_date, threshold)"""
+
+TREND_DAYS = f"WITH {_DAYS} SELECT snapshot_date, priced, CAST(threshold AS VARCHAR) AS threshold, cheapest, round(median, 6) AS median, n FROM days"
+
+TREND_FLOOR_CHANGE = f"""WITH {_DAYS} SELECT CAST(threshold AS DOUBLE) AS threshold, min(snapshot_date) FILTER (cheapest IS NOT NULL) AS first_day, arg_min(cheapest, snapshot_date) FILTER (cheapest IS NOT NULL) AS first_price,
+  max(snapshot_date) FILTER (cheapest IS NOT NULL) AS last_day, arg_max(cheapest, snapshot_date) FILTER (cheapest IS NOT NULL) AS last_price FROM days GROUP BY threshold"""
+
+_SERIES = f"""hist AS ({HIST}), s AS (SELECT model_id, name, snapshot_date AS d, intelligence_score AS i, price AS p, count(*) OVER (PARTITION BY model_id) AS n, row_number() OVER (PARTITION BY model_id ORDER BY snapshot_date DESC) AS r
+  FROM hist WHERE intelligence_score IS NOT NULL AND price > 0), series AS (SELECT * FROM s WHERE n >= 14 AND r <= 180)"""
+
+TREND_SERIES = f"WITH {_SERIES} SELECT model_id, name, d, i, p FROM series"
+
+SPARKLINE = f"""WITH {_SERIES}, l AS (SELECT * FROM series WHERE r <= 30) SELECT model_id, CAST(count(*) AS INTEGER) AS n, arg_min(p, d) AS first, arg_max(p, d) AS last, arg_max(p, d) < arg_min(p, d) AS falling FROM l GROUP BY model_id"""
+
+TREND_GAPS = f"""WITH hist AS ({HIST}), d AS (SELECT DISTINCT snapshot_date FROM hist), l AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM d)
+SELECT snapshot_date, before, coalesce(date_diff('day', before, snapshot_date) > 30, false) AS gap FROM l"""
+
+_SNAP = f"""raw AS ({SNAP}), snap AS (SELECT *, list_distinct([concat('src', low_source), concat('src', top_source)]) AS pages FROM raw),
+days AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM snap)),
+cmp AS (SELECT coalesce(t.snapshot_date, p.snapshot_date) AS snapshot_date, coalesce(t.model_id, p.model_id) AS model_id, t.model_id IS NOT NULL AS has_t, p.model_id IS NOT NULL AS has_p,
+  t.intelligence_score AS ti, p.intelligence_score AS pi, t.price AS tp, p.price AS pp, t.output_speed_tps AS ts, p.output_speed_tps AS ps, p.pages AS ppages
+  FROM (SELECT s.* FROM snap s JOIN days USING (snapshot_date) WHERE before IS NOT NULL) t FULL OUTER JOIN (
+    SELECT days.snapshot_date, s.* EXCLUDE (snapshot_date) FROM snap s JOIN days ON s.snapshot_date = days.before) p ON t.model_id = p.model_id AND t.snapshot_date = p.snapshot_date),
+src AS (SELECT snapshot_date, source, count(*) AS n FROM (SELECT snapshot_date, unnest(pages) AS source FROM snap) GROUP BY ALL),
+lost AS (SELECT days.snapshot_date, list(source) AS gone FROM src JOIN days ON src.snapshot_date = days.before WHERE n >= 50 AND NOT EXISTS (
+  SELECT 1 FROM src x WHERE x.snapshot_date = days.snapshot_date AND x.source = src.source) GROUP BY days.snapshot_date),
+gone AS (SELECT cmp.*, coalesce(lost.gone, []) AS lost, NOT has_t AND NOT (len(ppages) > 0 AND len(list_filter(ppages, lambda x: NOT list_contains(coalesce(lost.gone, []), x))) = 0) AS open_removal FROM cmp LEFT JOIN lost USING (snapshot_date)),
+guard AS (SELECT snapshot_date, count(*) FILTER (has_p) AS n_before, count(*) FILTER (open_removal) AS n_left, max(len(lost)) AS n_lost FROM gone GROUP BY snapshot_date)"""
+
+_EVENTS = f"""{_SNAP}, both_days AS (SELECT * FROM cmp WHERE has_t AND has_p), fast AS (
+  SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY abs((ts - ps) / ps) DESC, model_id) AS n FROM both_days WHERE ts <> 0 AND ps <> 0 AND abs((ts - ps) / ps) >= 0.25),
+ev AS (
+  SELECT snapshot_date, model_id, 'new' AS kind, NULL AS direction, NULL::DOUBLE AS old, ti AS new, NULL::DOUBLE AS pct, NULL::DOUBLE AS delta FROM cmp WHERE NOT has_p
+  UNION ALL SELECT snapshot_date, model_id, 'removed', NULL, pi, NULL, NULL, NULL FROM gone JOIN guard USING (snapshot_date) WHERE open_removal AND NOT n_left > greatest(20, floor(0.05 * n_before))
+  UNION ALL SELECT snapshot_date, model_id, 'price', CASE WHEN tp > pp THEN 'hike' ELSE 'cut' END, round(pp, 6), round(tp, 6), round(100 * ((tp - pp) / pp), 1), NULL FROM both_days WHERE tp <> 0 AND pp > 0 AND abs((tp - pp) / pp) >= 0.05
+  UNION ALL SELECT snapshot_date, model_id, 'intelligence', CASE WHEN ti > pi THEN 'up' ELSE 'down' END, pi, ti, NULL, round(ti - pi, 1) FROM both_days WHERE abs(ti - pi) >= 0.5
+  UNION ALL SELECT snapshot_date, model_id, 'speed', CASE WHEN ts > ps THEN 'up' ELSE 'down' END, round(ps), round(ts), round(100 * ((ts - ps) / ps), 1), NULL FROM fast WHERE n <= 15)"""
+
+CHANGE_EVENTS = f"WITH {_EVENTS} SELECT * FROM ev"
+CHANGE_COUNTS = f"WITH {_EVENTS} SELECT snapshot_date, kind, direction, count(*) AS n FROM ev GROUP BY ALL"
+CHANGE_SUMMARY = f"""WITH {_SNAP} SELECT snapshot_date, before, coalesce(n_before, 0) AS n_before, coalesce(n_left, 0) AS n_left,
+  CASE WHEN before IS NULL THEN 'first_run' WHEN n_left > greatest(20, floor(0.05 * n_before)) THEN 'degraded' WHEN n_lost > 0 THEN 'partial' ELSE 'ok' END AS data_quality FROM days LEFT JOIN guard USING (snapshot_date)"""
+CHANGE_DIGEST = f"""WITH {_EVENTS}, k(section) AS (VALUES ('price'), ('new'), ('removed'), ('intelligence'), ('speed'), ('rank'), ('frontier')), c AS (
+  SELECT snapshot_date, kind, CASE WHEN kind = 'speed' THEN least(5, count(*)) ELSE count(*) END AS n FROM ev GROUP BY snapshot_date, kind)
+SELECT d.snapshot_date, section, greatest(1, coalesce(n, 0)) AS lines, CAST(n IS NULL AS INTEGER) AS is_none FROM (SELECT DISTINCT snapshot_date FROM ev) d, k LEFT JOIN c ON c.snapshot_date = d.snapshot_date AND c.kind = k.section"""
+CHURN = f"""WITH {_SNAP} SELECT snapshot_date, count(*) FILTER (has_p) AS n_before, count(*) FILTER (has_t) AS n_now, count(*) FILTER (has_t AND has_p) AS common, count(*) FILTER (NOT has_p) AS added, count(*) FILTER (NOT has_t) AS removed FROM cmp GROUP BY snapshot_date"""
+SOURCE_COUNTS = f"WITH {_SNAP} SELECT snapshot_date, source, n FROM src"
+FIELD_NOISE = f"""WITH {_SNAP}, f AS (SELECT 'intelligence_score' AS field, ti AS new, pi AS old FROM cmp UNION ALL SELECT 'price', tp, pp FROM cmp UNION ALL SELECT 'output_speed_tps', ts, ps FROM cmp),
+m AS (SELECT field, abs(100 * (new - old) / old) AS move FROM f WHERE new IS NOT NULL AND old IS NOT NULL AND old <> 0)
+SELECT field, count(*) AS pairs, round(100.0 * count(*) FILTER (move > 0) / count(*), 2) AS changed_pct, round(quantile_cont(move, 0.5) FILTER (move > 0), 4) AS median, round(quantile_cont(move, 0.95) FILTER (move > 0), 4) AS p95, round(max(move), 4) AS largest FROM m GROUP BY field"""
+
+MERGED_CATALOG = f"""WITH raws AS ({RAWS}), r AS (SELECT *, CASE source WHEN 'leaderboard' THEN 0 WHEN 'coding' THEN 1 WHEN 'arena-text' THEN 3 WHEN 'openrouter' THEN 5 ELSE 50 END AS prio,
+  trim(regexp_replace(lower(regexp_replace(regexp_replace(name, ' \\(Nov 24\\)', ''), ' v1\\.2', '')), '[^a-z0-9 ]', '', 'g')) AS norm FROM raws),
+f AS (SELECT norm, arg_min(model_id, ingest_seq) AS id FROM r GROUP BY norm), g AS (SELECT r.*, CASE WHEN regexp_matches(id, '[a-z]') THEN id ELSE replace(norm, ' ', '-') END AS slug FROM r JOIN f USING (norm))
+SELECT slug, arg_min(price_input, prio * 1000000000 + ingest_seq) FILTER (price_input IS NOT NULL) AS price_input, arg_min(intelligence_score, prio * 1000000000 + ingest_seq) FILTER (intelligence_score IS NOT NULL) AS intelligence_score,
+  arg_min(creator, prio * 1000000000 + ingest_seq) FILTER (creator IS NOT NULL) AS creator, arg_min(name, ingest_seq - length(name) * 1000000000) AS name, min(ingest_seq) AS ingest_seq,
+  (SELECT string_agg(source, ',' ORDER BY prio, source) FROM (SELECT DISTINCT source, prio FROM g x WHERE x.slug = g.slug)) AS source_pages FROM g GROUP BY slug"""
+
+PAGE_LINKS = """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs FROM pages), p AS (SELECT page_id, unnest(range(0, len(hrefs))) AS place, unnest(hrefs) AS href FROM l)
+SELECT page_id, CAST(place AS INTEGER) AS place, href, nullif(regexp_extract(href, '^/([^/?#]+)', 1), '') AS slug FROM p"""
+
+EVENT_PROPS = "SELECT user_id, event_type, max(value) AS max_value FROM events GROUP BY user_id, event_type"
+
+PARSED_CELLS = """SELECT p_partkey, 1000 + p_partkey AS score, CASE p_partkey % 3 WHEN 0 THEN p_partkey % 9 WHEN 1 THEN (10 + p_partkey % 7) // 2 END AS ci, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 50 AS DOUBLE) END AS price_input,
+  CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 90 AS DOUBLE) END AS price_output, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey * 1000 END AS context_k FROM part"""
+
+COVERAGE_PROFILE = f"""WITH cat AS ({CAT}) SELECT field, known, rows FROM (SELECT count(*) AS rows, count(intelligence_score) AS intelligence_score, count(price_blended) AS price_blended, count(price_input) AS price_input,
+  count(openrouter_price_input) AS openrouter_price_input, count(uptime_30m) AS uptime_30m, count(arena_elo) AS arena_elo FROM cat) UNPIVOT (known FOR field IN (intelligence_score, price_blended, price_input, openrouter_price_input, uptime_30m, arena_elo))"""
+SCORE_HISTOGRAM = f"WITH cat AS ({CAT}) SELECT floor(intelligence_score / 5) * 5 AS low, count(*) AS n FROM cat WHERE intelligence_score IS NOT NULL GROUP BY low"
+SCORE_PERCENTILES = f"WITH cat AS ({CAT}) SELECT at::DOUBLE AS at, round((SELECT quantile_cont(intelligence_score, [0.25, 0.5, 0.9]) FROM cat)[i], 6) AS value FROM (VALUES (1, 0.25), (2, 0.5), (3, 0.9)) v(i, at)"
+
+SNAPSHOT_ROUNDTRIP = f"WITH raw AS ({SNAP}) SELECT snapshot_date, model_id, intelligence_score, price, CASE WHEN low_source = top_source THEN concat('src', low_source) ELSE concat('src', low_source, ',src', top_source) END AS source_pages FROM raw"
+SNAPSHOT_DATES = f"WITH raw AS ({SNAP}) SELECT DISTINCT snapshot_date FROM raw"
+JSON_HISTORY_ROUNDTRIP = f"WITH raw AS ({SNAP}) SELECT snapshot_date, count(*) AS n, round(sum(price), 3) AS price FROM raw GROUP BY snapshot_date"
+PREVIOUS_SNAPSHOT = f"WITH raw AS ({SNAP}) SELECT snapshot_date, model_id, price FROM raw WHERE snapshot_date = (SELECT max(snapshot_date) FROM raw WHERE snapshot_date < DATE '2000-06-15')"

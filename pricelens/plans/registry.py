@@ -1,5 +1,257 @@
-"""Every catalog query with its SQL oracle."""
+"""Every catalog query with its SQL oracle: thin bindings of operators to the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pricelens.functions import cells, names, pricing
+from pricelens.operators import bands, changes, reports, resolve, scoring, skyline, trends
+from pricelens.plans import oracles, views
+from pricelens.sources import landed, store
 
 FLAGSHIP = "best_value_frontier"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    if sql := getattr(oracles, f.__name__.upper(), None):
+        ORACLES[f.__name__] = sql
+    return f
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    return scoring.score_catalog(views.catalog(spark, sf_dir))
+
+
+def ranked_snapshots(spark, sf_dir) -> DataFrame:
+    """Yearly snapshots with the frontier of each."""
+    rows = views.snapshots(spark, sf_dir).withColumns({"value_score": pricing.value_ratio("intelligence_score", F.col("price"))})
+    rows = scoring.with_missing(rows, {"coding_value": "double", "uptime_30m": "double", "uptime_1d": "double"})
+    rows = rows.withColumn("composite_deal_score", scoring.composite("intel"))
+    found = skyline.view_frontier(rows, "intel", ("snapshot_date",)).select("snapshot_date", "model_id", F.col("frontier_rank").alias("frontier_rank_intel"))
+    return rows.join(found, ["snapshot_date", "model_id"], "left").withColumn("is_frontier_intel", F.col("frontier_rank_intel").isNotNull())
+
+
+@query
+def best_value_frontier(spark, sf_dir):
+    return skyline.view_frontier(scored(spark, sf_dir), "intel").select("model_id", "name", F.round("price", 6).alias("price"), "quality", "frontier_score", "frontier_rank")
+
+
+@query
+def pareto_frontier_large(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") + F.col("o_orderkey") % 1000).alias("q"))
+    return skyline.pareto(rows, "o_totalprice", "q")
+
+
+@query
+def effective_price(spark, sf_dir):
+    price = pricing.effective_price()
+    return views.catalog(spark, sf_dir).select("model_id", F.round(price, 6).alias("price"), F.round(pricing.scoring_price(price), 6).alias("scoring_price"), pricing.price_label(F.round(price, 3)).alias("label"))
+
+
+@query
+def composite_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("model_id", "value_score", "arena_value", "composite_deal_score", "arena_composite_score", scoring.passes_gate().alias("gated_in"), scoring.is_deal_candidate("intel").alias("candidate"))
+
+
+@query
+def size_tiers(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.concat_ws(" ", F.col("p_name"), F.concat((F.col("p_size") * 1.5).cast("decimal(6,1)").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit("B")).otherwise(F.lit("x"))), F.when(F.col("p_partkey") % 3 == 0, F.lit("mini (large)")))
+    return part.select("p_partkey", names.param_billions(name).alias("billions"), names.size_tier(name).alias("tier"))
+
+
+@query
+def normalised_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.concat(F.lit("vendor-x/"), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.lit(" (Nov '24)")).otherwise(F.lit(" (xhigh)")), F.when(F.col("p_partkey") % 3 == 0, F.lit(" V3.1 turbo")).otherwise(F.lit("-20250219")))
+    key = names.normalised_name(name)
+    return docs.select("p_partkey", key.alias("norm"), names.slug_of_key(key).alias("slug"), names.slug_of_name(name).alias("name_slug"), names.slug_of_path(name).alias("path_slug"))
+
+
+@query
+def ranked_catalog_top(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    return rows.orderBy(*scoring.rank_order()).limit(50).select("model_id", "composite_deal_score", "intelligence_score")
+
+
+@query
+def top_deals(spark, sf_dir):
+    return scoring.top_deals(skyline.annotate_frontier(scored(spark, sf_dir)), 4).select("model_id", "composite_deal_score", "frontier_rank_intel")
+
+
+@query
+def frontier_flags(spark, sf_dir):
+    flags = [f"{c}_{v}" for v in ("intel", "arena") for c in ("is_frontier", "frontier_rank", "frontier_score")]
+    return skyline.annotate_frontier(scored(spark, sf_dir)).select("model_id", *flags)
+
+
+@query
+def leaderboard(spark, sf_dir):
+    return reports.leaderboard(scored(spark, sf_dir), least_quality=20.0).select("model_id", "composite_deal_score", "size_tier")
+
+
+@query
+def band_leaderboard(spark, sf_dir):
+    found = bands.band_leaderboard(scored(spark, sf_dir))
+    return found.select("band", "label", "n", "leader_id", "cheapest_id", F.round("cheapest_price", 6).alias("cheapest_price"), F.concat_ws(",", "member_ids").alias("member_ids"))
+
+
+@query
+def band_members(spark, sf_dir):
+    return bands.band_members(scored(spark, sf_dir))
+
+
+@query
+def cheapest_above(spark, sf_dir):
+    return bands.cheapest_above(scored(spark, sf_dir))
+
+
+@query
+def trend_days(spark, sf_dir):
+    days = trends.trend_days(views.history(spark, sf_dir))
+    return days.select("snapshot_date", "priced", trends.threshold_key(F.col("threshold")).alias("threshold"), "cheapest", F.round("median", 6).alias("median"), "n")
+
+
+@query
+def trend_series(spark, sf_dir):
+    found = trends.trend_series(views.history(spark, sf_dir))
+    return found.select("model_id", "name", F.explode("points").alias("x")).select("model_id", "name", F.col("x.d").alias("d"), F.col("x.i").alias("i"), F.col("x.p").alias("p"))
+
+
+@query
+def trend_floor_change(spark, sf_dir):
+    return trends.floor_change(trends.trend_days(views.history(spark, sf_dir)))
+
+
+@query
+def trend_gaps(spark, sf_dir):
+    return trends.day_gaps(views.history(spark, sf_dir), step=30)
+
+
+@query
+def sparkline(spark, sf_dir):
+    return trends.sparklines(trends.trend_series(views.history(spark, sf_dir)))
+
+
+@query
+def change_events(spark, sf_dir):
+    return changes.change_events(ranked_snapshots(spark, sf_dir)).where("kind not in ('rank', 'frontier')")
+
+
+@query
+def frontier_and_rank_events(spark, sf_dir):
+    return changes.change_events(ranked_snapshots(spark, sf_dir)).where("kind in ('rank', 'frontier')").select("snapshot_date", "model_id", "kind", "direction", "old", "new")
+
+
+@query
+def change_counts(spark, sf_dir):
+    return changes.change_counts(changes.change_events(views.snapshots(spark, sf_dir)))
+
+
+@query
+def change_digest(spark, sf_dir):
+    lines = changes.digest(changes.change_events(views.snapshots(spark, sf_dir)))
+    return lines.groupBy("snapshot_date", "section").agg(F.count(F.lit(1)).alias("lines"), F.max(F.when(F.col("line") == "none", 1).otherwise(0)).alias("is_none"))
+
+
+@query
+def change_summary(spark, sf_dir):
+    return changes.change_summary(views.snapshots(spark, sf_dir))
+
+
+@query
+def churn(spark, sf_dir):
+    return changes.churn(views.snapshots(spark, sf_dir))
+
+
+@query
+def field_noise(spark, sf_dir):
+    return changes.field_noise(views.snapshots(spark, sf_dir), ("intelligence_score", "price", "output_speed_tps"))
+
+
+@query
+def source_counts(spark, sf_dir):
+    return changes.source_counts(views.snapshots(spark, sf_dir), "snapshot_date")
+
+
+@query
+def merged_catalog(spark, sf_dir):
+    slugged = resolve.canonical_slugs(views.records(spark, sf_dir), fuzzy=False)
+    merged = resolve.coalesce_fields(slugged, ("price_input", "intelligence_score", "creator"))
+    return merged.withColumn("source_pages", F.concat_ws(",", "source_pages"))
+
+
+@query
+def fuzzy_names(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
+    base = part.groupBy(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("norm")).agg(F.min("p_partkey").alias("first_seen"))
+    near = base.select(F.concat(F.substring("norm", 1, 3), F.expr("substring(norm, 5)")).alias("norm"), (F.col("first_seen") + 10**9).alias("first_seen"), F.lit(True).alias("open"))
+    return resolve.fuzzy_matches(base.withColumn("open", F.lit(False)).unionByName(near).dropDuplicates(["norm"]))
+
+
+@query
+def page_links(spark, sf_dir):
+    return landed.links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def event_props(spark, sf_dir):
+    return landed.best_value(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "value", "event_type")
+
+
+@query
+def parsed_cells(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    score = F.when(k % 3 == 0, F.concat((1000 + k).cast("string"), F.lit("±"), (k % 9).cast("string"))).when(k % 3 == 1, F.concat((1000 + k).cast("string"), F.lit("+10/-"), (k % 7).cast("string"))).otherwise(F.concat((1000 + k).cast("string"), F.lit(" Preliminary")))
+    price = F.when(k % 4 == 0, F.lit("N/A")).otherwise(F.concat(F.lit("$"), (k % 50).cast("string"), F.lit(" / $"), (k % 90).cast("string")))
+    size = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit("k"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit("M"))).otherwise(F.lit("—"))
+    return part.select("p_partkey", cells.score(score).alias("s"), cells.prices(price).alias("p"), cells.context_k(size).alias("context_k")).select("p_partkey", "s.score", "s.ci", "p.price_input", "p.price_output", "context_k")
+
+
+@query
+def coverage_profile(spark, sf_dir):
+    return reports.coverage(views.catalog(spark, sf_dir), ("intelligence_score", "price_blended", "price_input", "openrouter_price_input", "uptime_30m", "arena_elo"))
+
+
+@query
+def score_histogram(spark, sf_dir):
+    return reports.histogram(views.catalog(spark, sf_dir), "intelligence_score", 5.0)
+
+
+@query
+def score_percentiles(spark, sf_dir):
+    found = reports.percentiles(views.catalog(spark, sf_dir), "intelligence_score", (0.25, 0.5, 0.9))
+    return found.select("at", F.round("value", 6).alias("value"))
+
+
+@query
+def snapshot_roundtrip(spark, sf_dir):
+    folder = store.scratch(spark)
+    store.write_snapshots(views.snapshots(spark, sf_dir), folder)
+    back = store.read_snapshots(spark, folder)
+    return back.select("snapshot_date", "model_id", "intelligence_score", "price", F.concat_ws(",", "source_pages").alias("source_pages"))
+
+
+@query
+def snapshot_dates(spark, sf_dir):
+    return store.manifest(views.snapshots(spark, sf_dir)).select("snapshot_date")
+
+
+@query
+def json_history_roundtrip(spark, sf_dir):
+    folder = store.scratch(spark)
+    store.export_json(views.snapshots(spark, sf_dir), folder)
+    return landed.read_history(spark, folder).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 3).alias("price"))
+
+
+@query
+def previous_snapshot(spark, sf_dir):
+    rows = views.snapshots(spark, sf_dir)
+    return store.previous_snapshot(rows, "2000-06-15").select("snapshot_date", "model_id", "price")
