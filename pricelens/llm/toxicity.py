@@ -9,7 +9,6 @@ of a trained model is one number, and scoring averages the numbers of words.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +31,9 @@ LEAST_Z = 5.0
 THRESHOLD = 0.7
 #: Words whose numbers a task keeps; beyond that it forgets them and starts anew.
 CACHE = 300_000
+#: Texts that are split at once.
+TEXTS = 200
+_BASE = 1_000_003
 _EDGES = ".,;:!?#$%&*|\"'()[]<>"
 
 
@@ -39,11 +41,31 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def features(word: str) -> list[int]:
-    """Rows of the embedding table: the word's n-grams with its borders, and the whole word."""
-    word = f"<{word.strip(_EDGES)}>"
-    grams = {word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)} | {word}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding table for all words, one after the other, and how many each has: hashes of a word's n-grams with
+    its borders, and of the whole word."""
+    marked = [f"<{w.strip(_EDGES)}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in marked], np.int64)
+    starts = _starts(sizes)
+    own = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes)) - starts[own]
+    powers = np.power(np.uint64(_BASE), np.arange(max(LONGEST, int(sizes.max(initial=0))), dtype=np.uint64))
+    rows, of = [_row(np.add.reduceat(codes * powers[place], starts), 0)] if len(words) else [], [np.arange(len(words))]
+    for n in range(SHORTEST, LONGEST + 1):
+        at = np.flatnonzero(place + n <= sizes[own])
+        rows.append(_row(sum((codes[at + k] * powers[k] for k in range(n)), np.zeros(len(at), np.uint64)), n))
+        of.append(own[at])
+    turn = np.argsort(np.concatenate(of), kind="stable")
+    return np.concatenate(rows)[turn], np.bincount(np.concatenate(of), minlength=len(words))
+
+
+def _row(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
 
 
 @dataclass
@@ -57,10 +79,6 @@ class Model:
         return SCALE * (self.table @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
 
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-
-
 def _average(values: np.ndarray, of: np.ndarray, size: int, weight: np.ndarray) -> np.ndarray:
     """Sums of weighted values by the number in `of`."""
     return np.stack([np.bincount(of, v * weight, size) for v in values.T], axis=1)
@@ -79,9 +97,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         model.weights[:], model.bias[:] = 0, (4.0, 0.0)
         return model
     # Three layers of sparse links, each with its weights: row to word, word to document.
-    rows = [features(w) for w in ids]
-    sizes = np.array([len(r) for r in rows])
-    row, word_of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    row, sizes = features(list(ids))
+    word_of = np.repeat(np.arange(len(ids)), sizes)
     word, count = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs]).astype(float)
     doc_of = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
     count /= np.bincount(doc_of, count)[doc_of]
@@ -103,13 +120,13 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     first, second = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
     for step in range(1, STEPS + 1):
         table, weights, bias = layers
-        vectors = _average(table[row], word_of, len(rows), part)
+        vectors = _average(table[row], word_of, len(ids), part)
         means = SCALE * _average(vectors[word], doc_of, len(docs), count)
         score = means @ weights + bias
         p = np.exp(score - score.max(axis=1, keepdims=True))
         error = weight * (p / p.sum(axis=1, keepdims=True) - goal)
         by_doc = SCALE * error @ weights.T
-        by_word = _average(by_doc[doc_of], word, len(rows), count)
+        by_word = _average(by_doc[doc_of], word, len(ids), count)
         by_row = _average(by_word[word_of], row, len(own), part)
         for k, grad in enumerate((by_row, means.T @ error, error.sum(axis=0))):
             grad = grad + DECAY * layers[k] * (weight.mean() if k == 0 else 1)
@@ -146,12 +163,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known: dict[str, float] = {}
         for texts in batches:
             out = []
-            for text in texts:
-                words = words_of(text)
-                for w in set(words).difference(known):
-                    known[w] = float(rows[features(w)].mean())
-                odds = bias + sum(map(known.__getitem__, words)) / max(1, len(words))
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
+            for at in range(0, len(texts), TEXTS):
+                split = [words_of(t) for t in texts.iloc[at : at + TEXTS]]
+                if new := list(set().union(*split).difference(known)):
+                    found, sizes = features(new)
+                    known.update(zip(new, (np.add.reduceat(rows[found], _starts(sizes)) / sizes).tolist(), strict=True))
+                for words in split:
+                    odds = bias + sum(map(known.__getitem__, words)) / max(1, len(words))
+                    out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
                 if len(known) > CACHE:
                     known.clear()
             yield pd.Series(out, dtype=float)

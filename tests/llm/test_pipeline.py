@@ -24,7 +24,8 @@ def test_stages_match_brute_force(spark, tmp_path):
         if name == "toxicity":
             model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
             numbers, bias = model.word_numbers(), model.bias[1] - model.bias[0]
-            odds = {i: bias + np.mean([numbers[toxicity.features(w)].mean() for w in toxicity.words_of(r.text)] or [0]) for i, r in rows.items()}
+            number = lambda w: numbers[toxicity.features([w])[0]].mean()
+            odds = {i: bias + np.mean([number(w) for w in toxicity.words_of(r.text)] or [0]) for i, r in rows.items()}
             want = {i for i, x in odds.items() if 1 / (1 + np.exp(-x)) < toxicity.THRESHOLD}
         elif name == "near_duplicates":
             ids = sorted(rows)
