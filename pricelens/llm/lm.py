@@ -38,7 +38,7 @@ ORDER = 2
 #: Weight of the shorter context, in tokens; the unigram's added count.
 PRIOR, ADDED = 4.0, 0.1
 #: Tokens that a task counts before it hands counts on, tokens that it scores at once, tokens to a shard, about.
-COUNT_TOKENS, SCORE_TOKENS, SHARD_TOKENS = 1_500_000, 500_000, 6_000_000
+COUNT_TOKENS, SCORE_TOKENS, SHARD_TOKENS = 700_000, 200_000, 3_000_000
 #: Bytes to a token, about.
 TOKEN_BYTES = 6
 #: The end of a text; no word has a space.
