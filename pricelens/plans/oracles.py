@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pricelens.plans.views import CAT, HIST, RAWS, SNAP
 
+#: Date columns of results that have some; they are compared as ISO text.
+DATES = {
+    **dict.fromkeys("trend_days change_events change_counts change_digest churn source_counts snapshot_roundtrip snapshot_dates json_history_roundtrip previous_snapshot".split(), ("snapshot_date",)),
+    "trend_series": ("d",),
+    "trend_floor_change": ("first_day", "last_day"),
+    "trend_gaps": ("snapshot_date", "before"),
+    "change_summary": ("snapshot_date", "before"),
+}
+
+
+def with_text_dates(name: str, sql: str) -> str:
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in DATES.get(name, ()))
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
+
+
 _NORM = "(log10(greatest({x}, {lo})) - log10({lo})) / (log10({hi}) - log10({lo}))"
 
 
@@ -62,16 +77,20 @@ SELECT o.* FROM o JOIN r ON o.o_totalprice = r.o_totalprice AND o.q = r.q WHERE
 
 EFFECTIVE_PRICE = f"""WITH cat AS ({CAT}), p AS (SELECT model_id, {_PRICE} AS price FROM cat)
 SELECT model_id, round(price, 6) AS price, round(CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 6) AS scoring_price,
-  CASE WHEN price IS NULL THEN 'n/a' WHEN round(price, 3) < 1 THEN printf('$%.3f', round(price, 3)) ELSE printf('$%.2f', round(price, 3)) END AS label FROM p"""
-EFFECTIVE_PRICE = EFFECTIVE_PRICE.replace("printf('$%.2f', round(price, 3))", "printf('$%.2f', round(round(price, 3), 2))")
+  CASE WHEN price IS NULL THEN 'n/a' WHEN round(price, 3) < 1 THEN printf('$%.3f', round(price, 3)) ELSE concat('$', CAST(round(CAST(round(price, 3) AS DECIMAL(12, 3)), 2) AS DECIMAL(12, 2))) END AS label FROM p"""
 
 COMPOSITE_SCORES = f"""WITH {_SCORED} SELECT model_id, value_score, arena_value, composite_deal_score, arena_composite_score, gated_in, composite_deal_score IS NOT NULL AND gated_in AS candidate FROM scored"""
 
-SIZE_TIERS = r"""WITH n AS (SELECT p_partkey, concat(p_name, ' ', CAST(CAST(p_size * 1.5 AS DECIMAL(6, 1)) AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'x' END, CASE WHEN p_partkey % 3 = 0 THEN ' mini (large)' ELSE '' END) AS name,
-  p_partkey % 3 = 0 AS hinted FROM part),
+def _tier(name: str) -> str:
+    """A size tier by billions (a column) or by the first size word of a name."""
+    word = rf"regexp_extract(lower(regexp_replace({name}, '\([^)]*\)', '', 'g')), '\b(nano|tiny|micro|mini|xs|small|medium|large|xl|xxl)\b', 1)"
+    return f"""CASE WHEN billions < 3 THEN 'nano' WHEN billions < 15 THEN 'small' WHEN billions < 70 THEN 'medium' WHEN billions IS NOT NULL THEN 'large'
+  WHEN {word} IN ('nano', 'tiny') THEN 'nano' WHEN {word} IN ('micro', 'mini', 'xs', 'small') THEN 'small' WHEN {word} = 'medium' THEN 'medium' WHEN {word} IN ('large', 'xl', 'xxl') THEN 'large' ELSE 'unknown' END"""
+
+
+SIZE_TIERS = rf"""WITH n AS (SELECT p_partkey, concat(p_name, ' ', CAST(CAST(p_size * 1.5 AS DECIMAL(6, 1)) AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'x' END, CASE WHEN p_partkey % 3 = 0 THEN ' mini (large)' ELSE '' END) AS name FROM part),
 m AS (SELECT *, list_max(list_transform(regexp_extract_all(name, '(\d+(?:\.\d+)?)\s*[Bb](?:\b|$)', 1), lambda x: CAST(x AS DOUBLE))) AS billions FROM n)
-SELECT p_partkey, billions, CASE WHEN billions < 3 THEN 'nano' WHEN billions < 15 THEN 'small' WHEN billions < 70 THEN 'medium' WHEN billions IS NOT NULL THEN 'large'
-  WHEN regexp_matches(lower(name), '\b(small|medium|large|nano|tiny|micro|xs|xl|xxl)\b') AND NOT hinted THEN regexp_extract(lower(name), '\b(small|medium|large)\b', 1) WHEN hinted THEN 'small' ELSE 'unknown' END AS tier FROM m"""
+SELECT p_partkey, billions, {_tier("name")} AS tier FROM m"""
 
 NORMALISED_NAMES = r"""WITH n AS (SELECT p_partkey, concat('vendor-x/', p_name, CASE WHEN p_partkey % 2 = 0 THEN ' (Nov ''24)' ELSE ' (xhigh)' END, CASE WHEN p_partkey % 3 = 0 THEN ' V3.1 turbo' ELSE '-20250219' END) AS name,
   concat(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' xhigh' END, CASE WHEN p_partkey % 3 = 0 THEN ' turbo' ELSE '' END) AS norm FROM part)
@@ -79,7 +98,7 @@ SELECT p_partkey, norm, replace(norm, ' ', '-') AS slug, trim(regexp_replace(low
 
 RANKED_CATALOG_TOP = f"WITH {_SCORED} SELECT model_id, composite_deal_score, intelligence_score FROM scored ORDER BY composite_deal_score DESC NULLS LAST, coalesce(intelligence_score, 0) DESC, model_id LIMIT 50"
 
-LEADERBOARD = f"WITH {_SCORED} SELECT model_id, composite_deal_score, 'unknown' AS size_tier FROM scored WHERE composite_deal_score IS NOT NULL AND gated_in AND intelligence_score >= 20"
+LEADERBOARD = f"WITH {_SCORED} SELECT model_id, composite_deal_score, {_tier("name")} AS size_tier FROM (SELECT *, CAST(NULL AS DOUBLE) AS billions FROM scored) WHERE composite_deal_score IS NOT NULL AND gated_in AND intelligence_score >= 20"
 
 _ELIGIBLE = f"""{_SCORED}, e AS (SELECT *, CASE WHEN intelligence_score >= 40 THEN 'flagship' WHEN intelligence_score >= 25 THEN 'workhorse' WHEN intelligence_score >= 0 THEN 'budget' END AS band
   FROM scored WHERE intelligence_score IS NOT NULL AND composite_deal_score IS NOT NULL), m AS (
@@ -103,7 +122,7 @@ _DAYS = f"""hist AS ({HIST}), days AS (SELECT snapshot_date, count(*) FILTER (pr
   median(price) FILTER (price > 0 AND intelligence_score >= threshold) AS median, count(price) FILTER (price > 0 AND intelligence_score >= threshold) AS n
   FROM hist, (VALUES (25), (40), (50)) v(threshold) GROUP BY snapshot_date, threshold)"""
 
-TREND_DAYS = f"WITH {_DAYS} SELECT snapshot_date, priced, CAST(threshold AS VARCHAR) AS threshold, cheapest, round(median, 6) AS median, n FROM days"
+TREND_DAYS = f"WITH {_DAYS} SELECT snapshot_date, priced, CAST(threshold AS VARCHAR) AS threshold, cheapest, round(median, 7) AS median, n FROM days"
 
 TREND_FLOOR_CHANGE = f"""WITH {_DAYS} SELECT CAST(threshold AS DOUBLE) AS threshold, min(snapshot_date) FILTER (cheapest IS NOT NULL) AS first_day, arg_min(cheapest, snapshot_date) FILTER (cheapest IS NOT NULL) AS first_price,
   max(snapshot_date) FILTER (cheapest IS NOT NULL) AS last_day, arg_max(cheapest, snapshot_date) FILTER (cheapest IS NOT NULL) AS last_price FROM days GROUP BY threshold"""
@@ -135,9 +154,9 @@ _EVENTS = f"""{_SNAP}, both_days AS (SELECT * FROM cmp WHERE has_t AND has_p), f
 ev AS (
   SELECT snapshot_date, model_id, 'new' AS kind, NULL AS direction, NULL::DOUBLE AS old, ti AS new, NULL::DOUBLE AS pct, NULL::DOUBLE AS delta FROM cmp WHERE NOT has_p
   UNION ALL SELECT snapshot_date, model_id, 'removed', NULL, pi, NULL, NULL, NULL FROM gone JOIN guard USING (snapshot_date) WHERE open_removal AND NOT n_left > greatest(20, floor(0.05 * n_before))
-  UNION ALL SELECT snapshot_date, model_id, 'price', CASE WHEN tp > pp THEN 'hike' ELSE 'cut' END, round(pp, 6), round(tp, 6), round(100 * ((tp - pp) / pp), 1), NULL FROM both_days WHERE tp <> 0 AND pp > 0 AND abs((tp - pp) / pp) >= 0.05
-  UNION ALL SELECT snapshot_date, model_id, 'intelligence', CASE WHEN ti > pi THEN 'up' ELSE 'down' END, pi, ti, NULL, round(ti - pi, 1) FROM both_days WHERE abs(ti - pi) >= 0.5
-  UNION ALL SELECT snapshot_date, model_id, 'speed', CASE WHEN ts > ps THEN 'up' ELSE 'down' END, round(ps), round(ts), round(100 * ((ts - ps) / ps), 1), NULL FROM fast WHERE n <= 15)"""
+  UNION ALL SELECT snapshot_date, model_id, 'price', CASE WHEN tp > pp THEN 'hike' ELSE 'cut' END, round(pp, 6), round(tp, 6), round(round(100 * ((tp - pp) / pp), 6), 1), NULL FROM both_days WHERE tp <> 0 AND pp > 0 AND abs((tp - pp) / pp) >= 0.05
+  UNION ALL SELECT snapshot_date, model_id, 'intelligence', CASE WHEN ti > pi THEN 'up' ELSE 'down' END, pi, ti, NULL, round(round(ti - pi, 6), 1) FROM both_days WHERE abs(ti - pi) >= 0.5
+  UNION ALL SELECT snapshot_date, model_id, 'speed', CASE WHEN ts > ps THEN 'up' ELSE 'down' END, round(ps), round(ts), round(round(100 * ((ts - ps) / ps), 6), 1), NULL FROM fast WHERE n <= 15)"""
 
 CHANGE_EVENTS = f"WITH {_EVENTS} SELECT * FROM ev"
 CHANGE_COUNTS = f"WITH {_EVENTS} SELECT snapshot_date, kind, direction, count(*) AS n FROM ev GROUP BY ALL"
@@ -155,8 +174,8 @@ SELECT field, count(*) AS pairs, round(100.0 * count(*) FILTER (move > 0) / coun
 MERGED_CATALOG = f"""WITH raws AS ({RAWS}), r AS (SELECT *, CASE source WHEN 'leaderboard' THEN 0 WHEN 'coding' THEN 1 WHEN 'arena-text' THEN 3 WHEN 'openrouter' THEN 5 ELSE 50 END AS prio,
   trim(regexp_replace(lower(regexp_replace(regexp_replace(name, ' \\(Nov 24\\)', ''), ' v1\\.2', '')), '[^a-z0-9 ]', '', 'g')) AS norm FROM raws),
 f AS (SELECT norm, arg_min(model_id, ingest_seq) AS id FROM r GROUP BY norm), g AS (SELECT r.*, CASE WHEN regexp_matches(id, '[a-z]') THEN id ELSE replace(norm, ' ', '-') END AS slug FROM r JOIN f USING (norm))
-SELECT slug, arg_min(price_input, prio * 1000000000 + ingest_seq) FILTER (price_input IS NOT NULL) AS price_input, arg_min(intelligence_score, prio * 1000000000 + ingest_seq) FILTER (intelligence_score IS NOT NULL) AS intelligence_score,
-  arg_min(creator, prio * 1000000000 + ingest_seq) FILTER (creator IS NOT NULL) AS creator, arg_min(name, ingest_seq - length(name) * 1000000000) AS name, min(ingest_seq) AS ingest_seq,
+SELECT slug, arg_min(price_input, prio::BIGINT * 1000000000 + ingest_seq) FILTER (price_input IS NOT NULL) AS price_input, arg_min(intelligence_score, prio::BIGINT * 1000000000 + ingest_seq) FILTER (intelligence_score IS NOT NULL) AS intelligence_score,
+  arg_min(creator, prio::BIGINT * 1000000000 + ingest_seq) FILTER (creator IS NOT NULL) AS creator, arg_min(name, ingest_seq - length(name)::BIGINT * 1000000000) AS name, min(ingest_seq) AS ingest_seq,
   (SELECT string_agg(source, ',' ORDER BY prio, source) FROM (SELECT DISTINCT source, prio FROM g x WHERE x.slug = g.slug)) AS source_pages FROM g GROUP BY slug"""
 
 PAGE_LINKS = """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs FROM pages), p AS (SELECT page_id, unnest(range(0, len(hrefs))) AS place, unnest(hrefs) AS href FROM l)
@@ -170,7 +189,7 @@ PARSED_CELLS = """SELECT p_partkey, 1000 + p_partkey AS score, CASE p_partkey %
 COVERAGE_PROFILE = f"""WITH cat AS ({CAT}) SELECT field, known, rows FROM (SELECT count(*) AS rows, count(intelligence_score) AS intelligence_score, count(price_blended) AS price_blended, count(price_input) AS price_input,
   count(openrouter_price_input) AS openrouter_price_input, count(uptime_30m) AS uptime_30m, count(arena_elo) AS arena_elo FROM cat) UNPIVOT (known FOR field IN (intelligence_score, price_blended, price_input, openrouter_price_input, uptime_30m, arena_elo))"""
 SCORE_HISTOGRAM = f"WITH cat AS ({CAT}) SELECT floor(intelligence_score / 5) * 5 AS low, count(*) AS n FROM cat WHERE intelligence_score IS NOT NULL GROUP BY low"
-SCORE_PERCENTILES = f"WITH cat AS ({CAT}) SELECT at::DOUBLE AS at, round((SELECT quantile_cont(intelligence_score, [0.25, 0.5, 0.9]) FROM cat)[i], 6) AS value FROM (VALUES (1, 0.25), (2, 0.5), (3, 0.9)) v(i, at)"
+SCORE_PERCENTILES = f"WITH cat AS ({CAT}) SELECT part::DOUBLE AS part, round((SELECT quantile_cont(intelligence_score, [0.25, 0.5, 0.9]) FROM cat)[i], 6) AS value FROM (VALUES (1, 0.25), (2, 0.5), (3, 0.9)) v(i, part)"
 
 SNAPSHOT_ROUNDTRIP = f"WITH raw AS ({SNAP}) SELECT snapshot_date, model_id, intelligence_score, price, CASE WHEN low_source = top_source THEN concat('src', low_source) ELSE concat('src', low_source, ',src', top_source) END AS source_pages FROM raw"
 SNAPSHOT_DATES = f"WITH raw AS ({SNAP}) SELECT DISTINCT snapshot_date FROM raw"

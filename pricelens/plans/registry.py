@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions import cells, names, pricing
@@ -18,10 +19,17 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable) -> Callable:
-    QUERIES[f.__name__] = f
+    """Registers a query and its oracle. Dates leave both as ISO text, which all clients read alike."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(spark, sf_dir)
+        return out.withColumns({c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "date"})
+
+    QUERIES[f.__name__] = run
     if sql := getattr(oracles, f.__name__.upper(), None):
-        ORACLES[f.__name__] = sql
-    return f
+        ORACLES[f.__name__] = oracles.with_text_dates(f.__name__, sql)
+    return run
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -115,7 +123,7 @@ def cheapest_above(spark, sf_dir):
 @query
 def trend_days(spark, sf_dir):
     days = trends.trend_days(views.history(spark, sf_dir))
-    return days.select("snapshot_date", "priced", trends.threshold_key(F.col("threshold")).alias("threshold"), "cheapest", F.round("median", 6).alias("median"), "n")
+    return days.select("snapshot_date", "priced", trends.threshold_key(F.col("threshold")).alias("threshold"), "cheapest", F.round("median", 7).alias("median"), "n")
 
 
 @query
@@ -228,7 +236,7 @@ def score_histogram(spark, sf_dir):
 @query
 def score_percentiles(spark, sf_dir):
     found = reports.percentiles(views.catalog(spark, sf_dir), "intelligence_score", (0.25, 0.5, 0.9))
-    return found.select("at", F.round("value", 6).alias("value"))
+    return found.select(F.col("at").alias("part"), F.round("value", 6).alias("value"))
 
 
 @query

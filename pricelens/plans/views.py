@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Sums are of whole numbers, so that their order doesn't matter.
 TABLES = ("part", "lineitem", "orders", "customer", "supplier", "events", "pages")
 
 #: One row to a part: every rung of the price ladder is used, some scores and uptimes are missing.
@@ -28,7 +29,7 @@ FROM part LEFT JOIN (
 #: Yearly snapshots of parts; a source is missing in the last year.
 SNAP = """
 SELECT CAST(concat(year(l_shipdate), '-01-01') AS DATE) AS snapshot_date, concat('p', l_partkey) AS model_id, concat('Part ', l_partkey) AS name,
-  round(avg(l_quantity), 2) AS intelligence_score, round(avg(l_extendedprice / l_quantity) / 1000, 6) AS price, round(sum(l_quantity), 2) AS output_speed_tps,
+  round(sum(l_quantity) / count(l_quantity), 4) AS intelligence_score, floor(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) * 10 / sum(l_quantity) + 0.5) / 1000000 AS price, round(sum(l_quantity), 2) AS output_speed_tps,
   max(l_suppkey % 5) AS top_source, min(l_suppkey % 5) AS low_source
 FROM lineitem WHERE NOT (year(l_shipdate) = 1998 AND l_suppkey % 5 = 4) GROUP BY year(l_shipdate), l_partkey
 """
@@ -36,7 +37,7 @@ FROM lineitem WHERE NOT (year(l_shipdate) = 1998 AND l_suppkey % 5 = 4) GROUP BY
 #: Monthly history of suppliers.
 HIST = """
 SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date, concat('s', l_suppkey) AS model_id, concat('Supplier ', l_suppkey) AS name,
-  round(avg(l_quantity), 2) AS intelligence_score, round(avg(l_extendedprice / l_quantity) / 1000, 6) AS price
+  round(sum(l_quantity) / count(l_quantity), 4) AS intelligence_score, floor(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) * 10 / sum(l_quantity) + 0.5) / 1000000 AS price
 FROM lineitem GROUP BY date_trunc('month', l_shipdate), l_suppkey
 """
 
