@@ -37,6 +37,7 @@ KEEP = 0.5
 RULES: dict[str, tuple[str, str, str]] = {
     "length": ("n_words", "false", "x < 20"),
     "symbols": ("100 * n_symbols / greatest(1, word_chars)", "false", "x > 5"),
+    "symbol_runs": ("100 * n_symbol_runs / greatest(1, n_words)", "false", "x > 15"),
     "symbol_lines": ("100 * n_symbol_lines / greatest(1, n_lines)", "false", "x > 60"),
     "dup_lines": ("100 * n_dup_lines / greatest(1, n_lines)", "false", "x > 30"),
     "repeats": ("100 * n_repeat_words / greatest(1, n_words)", "false", "x > 25"),
@@ -45,7 +46,7 @@ RULES: dict[str, tuple[str, str, str]] = {
     "shouts": ("100 * n_bangs / greatest(1, n_words)", "false", "x > 30"),
 }
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_symbol_lines", "n_dup_lines", "n_repeat_words", "n_windows", "n_distinct_windows", "n_capital_words", "n_bangs")
+STATS = ("n_words", "word_chars", "n_symbols", "n_symbol_runs", "n_lines", "n_symbol_lines", "n_dup_lines", "n_repeat_words", "n_windows", "n_distinct_windows", "n_capital_words", "n_bangs")
 
 
 def _bits(hashes: str) -> Column:
@@ -102,6 +103,7 @@ def word_stats(docs: DataFrame) -> DataFrame:
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_symbol_runs": F.regexp_count(text, F.lit(f"{SYMBOLS}+")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_symbol_lines": F.size(F.filter(lines, lambda x: x.rlike(SYMBOLS))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
