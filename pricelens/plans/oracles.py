@@ -195,3 +195,33 @@ SNAPSHOT_ROUNDTRIP = f"WITH raw AS ({SNAP}) SELECT snapshot_date, model_id, inte
 SNAPSHOT_DATES = f"WITH raw AS ({SNAP}) SELECT DISTINCT snapshot_date FROM raw"
 JSON_HISTORY_ROUNDTRIP = f"WITH raw AS ({SNAP}) SELECT snapshot_date, count(*) AS n, round(sum(price), 3) AS price FROM raw GROUP BY snapshot_date"
 PREVIOUS_SNAPSHOT = f"WITH raw AS ({SNAP}) SELECT snapshot_date, model_id, price FROM raw WHERE snapshot_date = (SELECT max(snapshot_date) FROM raw WHERE snapshot_date < DATE '2000-06-15')"
+
+API_ITEMS = """SELECT concat('openai/p', p_partkey) AS item_id, p_name AS name, 'OpenAI' AS creator, round((p_partkey % 90) * 1e6, 4)::DOUBLE AS price_input, NULL::DOUBLE AS price_output,
+  CASE WHEN p_partkey > 0 THEN p_partkey END AS context_k FROM part WHERE p_partkey % 7 > 1 AND p_partkey % 90 > 0"""
+
+MARKDOWN_LEADERBOARD = """SELECT concat('p-', p_partkey) AS model_id, concat('Part ', p_partkey) AS name, p_brand AS creator, 1000 + p_partkey % 700 AS score, p_partkey % 9 AS ci, 1.0::DOUBLE AS price_input, (p_partkey % 30)::DOUBLE AS price_output FROM part"""
+
+RESCORED_HISTORY = f"""WITH raw AS ({SNAP}), v AS (SELECT *, round(intelligence_score / greatest(price, 0.05), 4) AS value_score FROM raw), s AS (
+  SELECT *, round(0.5 * {_leg("value_score", 5.0, 500.0)} + 0.3 * 0.5 + 0.2 * {_leg("output_speed_tps", 20.0, 1000.0)}, 4) AS comp FROM v
+), d AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date, price, intelligence_score ORDER BY comp DESC, name, model_id) AS twin FROM s a WHERE price > 0 AND NOT EXISTS (
+    SELECT 1 FROM s b WHERE b.snapshot_date = a.snapshot_date AND b.price > 0 AND b.price <= a.price AND b.intelligence_score >= a.intelligence_score AND (b.price < a.price OR b.intelligence_score > a.intelligence_score))
+), o AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY price, model_id) AS i FROM d WHERE twin = 1
+), k AS (
+  SELECT snapshot_date, i, true AS kept, log10(price) AS lp, intelligence_score AS lq FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.snapshot_date, o.i, NOT (log10(o.price) - k.lp < 0.02 AND abs(o.intelligence_score - k.lq) < 0.5),
+    CASE WHEN log10(o.price) - k.lp < 0.02 AND abs(o.intelligence_score - k.lq) < 0.5 THEN k.lp ELSE log10(o.price) END,
+    CASE WHEN log10(o.price) - k.lp < 0.02 AND abs(o.intelligence_score - k.lq) < 0.5 THEN k.lq ELSE o.intelligence_score END
+  FROM k JOIN o ON o.snapshot_date = k.snapshot_date AND o.i = k.i + 1
+), z AS (
+  SELECT o.snapshot_date, o.model_id, o.name, round(coalesce((intelligence_score - min(intelligence_score) OVER w) / nullif(max(intelligence_score) OVER w - min(intelligence_score) OVER w, 0), 0)
+    - coalesce((log10(price) - min(log10(price)) OVER w) / nullif(max(log10(price)) OVER w - min(log10(price)) OVER w, 0), 0), 4) AS fs
+  FROM o JOIN k ON o.snapshot_date = k.snapshot_date AND o.i = k.i WHERE kept WINDOW w AS (PARTITION BY o.snapshot_date)
+), f AS (SELECT *, CAST(row_number() OVER (PARTITION BY snapshot_date ORDER BY fs DESC, name, model_id) AS INTEGER) AS frontier_rank_intel FROM z)
+SELECT s.snapshot_date, s.model_id, comp AS composite_deal_score, frontier_rank_intel FROM s LEFT JOIN f ON f.snapshot_date = s.snapshot_date AND f.model_id = s.model_id"""
+RESCORED_HISTORY = RESCORED_HISTORY.replace("WITH raw AS", "WITH RECURSIVE raw AS", 1)
+DATES["rescored_history"] = ("snapshot_date",)
+
+RENAMED_ITEMS = f"""WITH raw AS ({SNAP}), p AS (SELECT snapshot_date, year(snapshot_date) AS y, model_id FROM raw WHERE CAST(substr(model_id, 2) AS INTEGER) % 100 = 0)
+SELECT a.snapshot_date, CASE WHEN b.y % 2 = 1 THEN concat(b.model_id, 'b') ELSE b.model_id END AS old_id, CASE WHEN a.y % 2 = 1 THEN concat(a.model_id, 'b') ELSE a.model_id END AS new_id FROM p a JOIN p b ON a.model_id = b.model_id AND a.y = b.y + 1"""
+DATES["renamed_items"] = ("snapshot_date",)

@@ -263,3 +263,39 @@ def json_history_roundtrip(spark, sf_dir):
 def previous_snapshot(spark, sf_dir):
     rows = views.snapshots(spark, sf_dir)
     return store.previous_snapshot(rows, "2000-06-15").select("snapshot_date", "model_id", "price")
+
+
+@query
+def api_items(spark, sf_dir):
+    """API documents of up to 50 items each, made of the parts, read back."""
+    k = F.col("p_partkey")
+    price = F.when(k % 7 == 0, F.lit("oops")).when(k % 7 == 1, F.lit("0")).otherwise((k % 90).cast("string"))
+    item = F.struct(F.concat(F.lit("openai/p"), k.cast("string")).alias("id"), F.col("p_name").alias("name"), (k * 1000.0).alias("context_length"), F.struct(price.alias("prompt"), F.lit("0").alias("completion")).alias("pricing"))
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.floor(k / 50).alias("doc")).agg(F.collect_list(item).alias("data"))
+    return landed.api_items(docs.select(F.to_json(F.struct("data")).alias("body")))
+
+
+@query
+def markdown_leaderboard(spark, sf_dir):
+    """Ranking tables of up to 50 rows each, made of the parts, read back."""
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("| "), k.cast("string"), F.lit(' | [Part '), k.cast("string"), F.lit('](http://x "p-'), k.cast("string"), F.lit('") '), F.col("p_brand"), F.lit(" · Open | "), (1000 + k % 700).cast("string"), F.lit("±"), (k % 9).cast("string"), F.lit(" | $1 / $"), (k % 30).cast("string"), F.lit(" |"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.floor(k / 50).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("all"))
+    head = "# Ranking\n| Rank | Model | Score | Price |\n|---|---|---|---|\n"
+    docs = rows.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\nend")).alias("body"))
+    return landed.markdown_leaderboard(docs).select("model_id", "name", "creator", "score", "ci", "price_input", "price_output")
+
+
+@query
+def rescored_history(spark, sf_dir):
+    """Every snapshot scored anew from its raw columns."""
+    rows = views.snapshots(spark, sf_dir).withColumn("price_blended", F.col("price")).drop("price")
+    return reports.rescore(rows, ("snapshot_date",)).select("snapshot_date", "model_id", "composite_deal_score", "frontier_rank_intel")
+
+
+@query
+def renamed_items(spark, sf_dir):
+    """Removed and new items of one snapshot that carry the same name: every hundredth part has another id in odd years."""
+    moved = (F.year("snapshot_date") % 2 == 1) & (F.substring("model_id", 2, 9).cast("int") % 100 == 0)
+    rows = views.snapshots(spark, sf_dir).withColumn("model_id", F.when(moved, F.concat(F.col("model_id"), F.lit("b"))).otherwise(F.col("model_id")))
+    return changes.renames(changes.change_events(rows), rows.select("model_id", "name"))
