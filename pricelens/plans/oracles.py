@@ -225,3 +225,18 @@ DATES["rescored_history"] = ("snapshot_date",)
 RENAMED_ITEMS = f"""WITH raw AS ({SNAP}), p AS (SELECT snapshot_date, year(snapshot_date) AS y, model_id FROM raw WHERE CAST(substr(model_id, 2) AS INTEGER) % 100 = 0)
 SELECT a.snapshot_date, CASE WHEN b.y % 2 = 1 THEN concat(b.model_id, 'b') ELSE b.model_id END AS old_id, CASE WHEN a.y % 2 = 1 THEN concat(a.model_id, 'b') ELSE a.model_id END AS new_id FROM p a JOIN p b ON a.model_id = b.model_id AND a.y = b.y + 1"""
 DATES["renamed_items"] = ("snapshot_date",)
+
+FRONTIER_AND_RANK_EVENTS = (
+    RESCORED_HISTORY.rpartition("\nSELECT s.snapshot_date")[0]
+    + """, days AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM raw)
+), x AS (
+  SELECT a.snapshot_date, a.model_id, t.frontier_rank_intel AS place, q.frontier_rank_intel AS was FROM raw a JOIN days ON days.snapshot_date = a.snapshot_date
+  JOIN raw b ON b.snapshot_date = days.before AND b.model_id = a.model_id LEFT JOIN f t ON t.snapshot_date = a.snapshot_date AND t.model_id = a.model_id LEFT JOIN f q ON q.snapshot_date = days.before AND q.model_id = a.model_id
+), y AS (
+  SELECT *, coalesce(place <= 20 AND was IS NOT NULL AND ((place <= 10 AND was > 10) OR abs(place - was) >= 3), false) AS moved, coalesce(was <= 10 AND coalesce(place > 10, true), false) AS dropped FROM x
+)
+SELECT snapshot_date, model_id, 'frontier' AS kind, CASE WHEN place IS NOT NULL THEN 'entered' ELSE 'left' END AS direction, NULL::DOUBLE AS old, NULL::DOUBLE AS new FROM x WHERE (place IS NULL) <> (was IS NULL)
+UNION ALL
+SELECT snapshot_date, model_id, 'rank', CASE WHEN dropped AND NOT moved THEN 'left_top' WHEN place <= 10 AND was > 10 THEN 'entered_top' WHEN place < was THEN 'up' ELSE 'down' END, was::DOUBLE, place::DOUBLE FROM y WHERE moved OR dropped"""
+)
+DATES["frontier_and_rank_events"] = ("snapshot_date",)

@@ -149,12 +149,14 @@ def sparkline(spark, sf_dir):
 
 @query
 def change_events(spark, sf_dir):
-    return changes.change_events(ranked_snapshots(spark, sf_dir)).where("kind not in ('rank', 'frontier')")
+    return changes.change_events(views.snapshots(spark, sf_dir))
 
 
 @query
 def frontier_and_rank_events(spark, sf_dir):
-    return changes.change_events(ranked_snapshots(spark, sf_dir)).where("kind in ('rank', 'frontier')").select("snapshot_date", "model_id", "kind", "direction", "old", "new")
+    folder = store.scratch(spark)  # reports read written snapshots: ranks are computed once
+    store.write_snapshots(ranked_snapshots(spark, sf_dir).drop("coding_value", "uptime_30m", "uptime_1d"), folder)
+    return changes.change_events(store.read_snapshots(spark, folder)).where("kind in ('rank', 'frontier')").select("snapshot_date", "model_id", "kind", "direction", "old", "new")
 
 
 @query
