@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pricelens.llm.common import shared_folder
 
 #: Levels of the trie.
-ORDER = 2
+ORDER = 3
 #: Weight of the shorter context, in tokens; the unigram's added count.
 PRIOR, ADDED = 4.0, 0.1
 #: Tokens that a task counts before it hands counts on, tokens that it scores at once, tokens to a shard, about.

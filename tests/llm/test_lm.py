@@ -90,6 +90,18 @@ def test_query_learns_from_its_fold_alone_and_beats_unigrams(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_default_order_sees_two_words_before(spark):
+    """After `b` alone both endings are as likely; the word before it tells them apart."""
+    train = ["a b c"] * 20 + ["x b d"] * 20
+    asked = ["a b c", "a b d", "x b c", "x b d"]
+    frame = lambda texts: spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], PUNCTUATION_FREE)
+    model = lm.train(frame(train))
+    got = [r.score for r in lm.score(frame(asked), model).orderBy("doc_id").collect()]
+    want = [x[3] for x in brute(train, asked, model.order)]
+    assert model.order >= 3 and got == pytest.approx(want, abs=4 * lm.STEP * model.order / 2 + 1e-6)
+    assert got[0] > got[1] + 0.5 and got[3] > got[2] + 0.5
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "")], PUNCTUATION_FREE)
     model = lm.train(docs.limit(0))
