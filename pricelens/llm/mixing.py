@@ -100,3 +100,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     passes = F.when(F.col("source_size") > 0, F.floor(F.try_divide(budget, F.col("source_size")))).otherwise(0).cast("long")
     last = F.greatest(F.lit(0), F.least(F.col(size), budget - passes * F.col("source_size") - at))
     return placed.join(offsets, [skey, rng]).withColumn("taken", (passes * F.col(size) + last).cast("long")).drop(skey, place, rng, before)
+
+
+def mixed(decided: DataFrame) -> DataFrame:
+    """The documents of the mix, from the rows of mix(): a row to each pass over a document, with copy, the pass's number.
+
+    What is taken 0 times goes, whole passes repeat the text, and a text at the border ends with its last taken word (the
+    white space before its words stays). n_chars, where there is one, is that of the new text. taken is the document's as
+    before, so a row holds the least of size and what earlier copies leave."""
+    columns = [c for c in decided.columns if c.lower() != "copy"]
+    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    rows = decided.where("taken > 0").select(*columns, copies.alias("copy"))
+    words = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    rows = rows.withColumn("text", F.when(words < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.char_length("text").cast(decided.schema["n_chars"].dataType)) if "n_chars" in columns else rows

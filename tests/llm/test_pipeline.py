@@ -1,5 +1,7 @@
 """The pipeline against a plain version of each stage on its own input."""
 
+import re
+
 import numpy as np
 
 import corpus_pipeline
@@ -49,6 +51,34 @@ def test_stages_match_brute_force(spark, tmp_path):
             assert all(r == rows[i] for i, r in got.items())
 
 
+def test_run_returns_the_mix(spark, monkeypatch):
+    """The last stage's decision takes effect: drop, cut at the word, repeat."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    want = []
+    for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]
+        left = r.taken
+        while left > 0:
+            want.append((r.doc_id, words[:left]))
+            left -= len(words)
+    got = corpus_pipeline.run(spark, SF).collect()
+    split = [(r.doc_id, [w for w in re.split(r"[\x20\x09-\x0D]+", r.text) if w]) for r in got]
+    assert sorted(split) == sorted(want) and all(r.n_chars == len(r.text) for r in got)
+    assert len({r.doc_id for r in got}) < 200 < len(got)
+    totals = {}
+    for r in got:
+        totals.setdefault(r.source, [0, r.target])[0] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert all(n == round(target) for n, target in totals.values())
+
+
+def test_mixed_documents(spark):
+    rows = [(1, " a  b c ", 3, 7), (2, "x y", 2, 0), (3, None, 0, 0), (4, "p q", 2, 2), (5, "p q r", 3, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, size long, taken long")
+    got = sorted((r.doc_id, r["copy"], r.text) for r in mixing.mixed(frame).collect())
+    assert got == [(1, 1, " a  b c "), (1, 2, " a  b c "), (1, 3, " a"), (4, 1, "p q"), (5, 1, "p")]
+    assert mixing.mixed(frame.limit(0)).count() == 0
+
+
 def test_mixing_edges(spark):
     rows = [(1, "a", "x y z"), (1, "a", "x y z"), (2, None, "x"), (3, "b", None), (4, "b", ""), (None, "a", "x"), (5, "c", "w " * 300_000)]
     frame = spark.createDataFrame([(*r, 7, "keep") for r in rows], "doc_id long, source string, text string, size int, more string")
