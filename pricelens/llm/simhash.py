@@ -112,20 +112,25 @@ def groups(edges: DataFrame) -> DataFrame:
             return label
 
 
-def components(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """The documents' (doc_id, fp, component_id): the smallest doc_id that links reach, the document itself included.
-
-    Rows that share a doc_id stay separate rows. A null doc_id counts as the largest of ids: a group of only such has null.
-    Documents without words are linked by their fingerprint 0 like any others. An empty table gives an empty result."""
+def labelled(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """The documents' (doc_id, fp, component_id, label): label tells groups apart where component_id is null."""
     marked = lineage_cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     nodes = lineage_cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     label = groups(links(nodes, radius, crowd))
     named = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = lineage_cut(named.join(least, "label").select("fp", "component_id"))
+    by_fp = lineage_cut(named.join(least, "label").select("fp", "component_id", "label"))
     return attach(marked, "fp", by_fp)
 
 
+def components(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """The documents' (doc_id, fp, component_id): the smallest doc_id that links reach, the document itself included.
+
+    Rows that share a doc_id stay separate rows. A null doc_id counts as the largest of ids: a group of only such has null.
+    Documents without words are linked by their fingerprint 0 like any others. An empty table gives an empty result."""
+    return labelled(docs, radius, crowd).drop("label")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """The documents with fingerprint (16 hex digits) and component_id; other columns are kept, doc_id must be a key."""
     found = components(docs, radius, crowd)
@@ -140,8 +145,22 @@ def fingerprint_text(column: str):
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (of rows that share it, one); the columns are those of docs."""
-    found = lineage_cut(components(docs, radius, crowd).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    key = fresh(docs.columns, "key")[0]
-    kept = docs.join(found.select(F.col("doc_id").alias(key)), docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
-    return kept if found.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group, the one with the smallest doc_id (null is the largest); of rows that share it, the one with
+    the smallest fingerprint, then text. The columns are those of docs.
+
+    A doc_id that one row has finds its row by itself. Rows whose doc_id is null or repeats are told apart by fingerprint:
+    rows with the same doc_id and fingerprint are of one group, so one of them is taken before they are joined."""
+    found = lineage_cut(labelled(docs, radius, crowd))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    first = lineage_cut(found.groupBy("label").agg(least.alias("k")).select("k.doc_id", "k.fp"))
+    odd = lineage_cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    alone = docs.join(first.join(odd, "doc_id", "left_anti").where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if odd.isEmpty():
+        return alone
+    mark, id_key, fp_key = fresh([*docs.columns, "fp"], "mark", "id_key", "fp_key")
+    shared = docs.where("doc_id is null").unionByName(docs.join(odd, "doc_id", "left_semi").select(*docs.columns))
+    whole = shared.select(F.struct(*docs.columns).alias(mark), "doc_id", "text")
+    one = fingerprints(whole).groupBy("doc_id", "fp").agg(F.min_by(mark, F.struct("text")).alias(mark))
+    keys = first.select(F.col("doc_id").alias(id_key), F.col("fp").alias(fp_key))
+    kept = one.join(keys, F.col("doc_id").eqNullSafe(F.col(id_key)) & (F.col("fp") == F.col(fp_key)), "left_semi")
+    return alone.unionByName(kept.select(f"{mark}.*"))

@@ -76,6 +76,17 @@ def test_edges_of_the_input(spark):
     assert simhash.components(docs.limit(0)).count() == 0
 
 
+def test_keep_first_tells_rows_apart_that_share_an_id(spark):
+    """Groups are of texts: ids that are null or repeat stand in more than one, and each group keeps one row."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (3, c), (5, c), (5, d), (7, e), (None, e)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", fp string")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, a), (0, b), (3, c), (5, d), (7, e)])
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
 def test_long_text(spark):
     text = "word" + " other word" * 200_000
     assert simhash.components(spark.createDataFrame([(1, text)], SCHEMA)).select(F.count("fp")).first()[0] == 1
