@@ -197,6 +197,14 @@ def merged_catalog(spark, sf_dir):
     return merged.withColumn("source_pages", F.concat_ws(",", "source_pages"))
 
 
+@query
+def merged_catalog_fuzzy(spark, sf_dir):
+    """The whole merge: records without a slug of their own follow the most similar earlier name. No SQL can express that."""
+    slugged = resolve.canonical_slugs(views.records(spark, sf_dir))
+    merged = resolve.coalesce_fields(slugged, ("price_input", "intelligence_score", "creator"))
+    return merged.withColumn("source_pages", F.concat_ws(",", "source_pages"))
+
+
 @query
 def fuzzy_names(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")

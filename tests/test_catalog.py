@@ -144,6 +144,38 @@ def test_entities_and_priorities(spark):
     assert (got.price, got.tags, got["name"], got.source_pages) == (4.0, ["x"], "gpt-5 (Nov '24)", ["leaderboard", "coding", "openrouter"])
 
 
+def plain_slugs(rows):
+    """The reference's resolution, one record after the other; names are their own keys."""
+    known, out = {}, {}
+    for seq, model_id, name in rows:
+        if name not in known:
+            near = difflib.get_close_matches(name, list(known), 1, 0.82)
+            known[name] = model_id if any(c.islower() for c in model_id) else known[near[0]] if near else name.replace(" ", "-")
+        out[seq] = known[name]
+    return out
+
+
+def test_chains_of_open_names_end_in_one_entity(spark):
+    chain = ["abcdefghij", "abcdefghixy", "abcdefghixyzw", "abcdefghixyzwqrst", "abcdefghixyzwqrstuvmno"]
+    draw = random.Random(6)
+    others = ["".join(draw.choices("klmnop", k=draw.randint(6, 14))) for _ in range(30)]
+    others += [o[:-1] + draw.choice("klmnop") for o in others for _ in range(3)]
+    rows = [(i, "slug%d" % i if i > 4 and i % 4 == 0 else str(i), n) for i, n in enumerate(chain + others)]
+    frame = spark.createDataFrame([(*r, ["coding"], None, []) for r in rows], RAW)
+    got = {r.ingest_seq: r.slug for r in resolve.canonical_slugs(frame).collect()}
+    assert got == plain_slugs(rows) and {got[i] for i in range(5)} == {chain[0]}
+
+
+def test_whole_merge_is_registered(spark):
+    from pricelens.plans import registry, views
+
+    sf = "/root/testdata/sf0.001"
+    first = {}
+    for r in views.records(spark, sf).select("ingest_seq", "model_id", resolve.normalised_name("name").alias("norm")).orderBy("ingest_seq").collect():
+        first.setdefault(r.norm, (r.ingest_seq, r.model_id, r.norm))
+    assert {r.slug for r in registry.QUERIES["merged_catalog_fuzzy"](spark, sf).collect()} == set(plain_slugs(first.values()).values())
+
+
 def test_fuzzy_matches_equal_all_pairs(spark):
     draw = random.Random(4)
     base = ["".join(draw.choices("abcde ", k=draw.randint(5, 16))).strip() or "a" for _ in range(120)]
