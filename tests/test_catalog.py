@@ -133,6 +133,20 @@ def test_rank_moves(spark):
     assert changes.change_events(other).where("kind in ('rank', 'frontier')").count() == 0
 
 
+@pytest.mark.parametrize("with_column", [True, False])
+def test_rank_moves_of_snapshots_without_ranks(spark, with_column):
+    """Older snapshots are ordered by the composite score of the frontier tier; the one with ranks by those."""
+    order = [["m%d" % i for i in range(1, 13)], "m1 m2 m4 m6 m7 m5 m8 m12 m9 m10 m11 m3".split()]
+    rows = [(day(n), m, m, 1.0, 1.0, 1.0, ["a"], 100.0 - i, "frontier") for n, ms in enumerate(order) for i, m in enumerate(ms)]
+    rows += [(day(n), "x%d" % i, "x", 1.0, 1.0, 1.0, ["a"], score, tier) for n in (0, 1) for i, (score, tier) in enumerate([(999.0, "large"), (None, "frontier")])]
+    history = spark.createDataFrame(rows, SNAP + ", composite_deal_score double, size_tier string")
+    if with_column:  # a third snapshot, as the second one, but ranked; its scores say otherwise
+        last = [(day(2), m, m, 1.0, 1.0, 1.0, ["a"], float(i), "frontier", i + 1) for i, m in enumerate(order[1])]
+        history = history.withColumn("frontier_rank_intel", F.lit(None).cast("int")).unionByName(spark.createDataFrame(last, SNAP + ", composite_deal_score double, size_tier string, frontier_rank_intel int")).withColumn("is_frontier_intel", F.lit(False))
+    got = {(r.snapshot_date, r.model_id): r.direction for r in changes.change_events(history).where("kind = 'rank'").collect()}
+    assert got == {(day(1), "m12"): "entered_top", (day(1), "m3"): "down"}
+
+
 RAW = "ingest_seq long, model_id string, name string, source_pages array<string>, price double, tags array<string>"
 
 
