@@ -190,6 +190,15 @@ def test_whole_merge_is_registered(spark):
     assert {r.slug for r in registry.QUERIES["merged_catalog_fuzzy"](spark, sf).collect()} == set(plain_slugs(first.values()).values())
 
 
+@pytest.mark.parametrize("short, long", [(45, 64), (89, 128), (90, 128), (90, 129), (127, 182)])
+def test_fuzzy_matches_of_far_lengths(spark, short, long):
+    word = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=long))
+    pair = [word[:short], word]
+    assert difflib.get_close_matches(word, pair[:1], 1, 0.82)
+    frame = spark.createDataFrame([(n, i, True) for i, n in enumerate(pair)], "norm string, first_seen long, open boolean")
+    assert [tuple(r) for r in resolve.fuzzy_matches(frame).select("norm", "match").collect()] == [(word, word[:short])]
+
+
 def test_fuzzy_matches_equal_all_pairs(spark):
     draw = random.Random(4)
     base = ["".join(draw.choices("abcde ", k=draw.randint(5, 16))).strip() or "a" for _ in range(120)]
