@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: An attribute and its value, parsed whole, so that a name inside a value or a longer name is none.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Elements without content, and those whose content is no markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp".split())
@@ -31,21 +32,33 @@ BLOCK = frozenset(
 )
 #: Elements and names of classes, ids and roles that are no article.
 OUTSIDE = frozenset("nav footer aside form button select option menu dialog head object canvas audio video label input".split()) | RAW
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|cookie|cookies|consent|contentinfo|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|promo|related|replies|reply|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+NAMES = frozenset(
+    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent contentinfo disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words beside such a name that leave its meaning; with others (has-sidebar, page-with-menu, comments-open) the name is another's.
+BESIDE = frozenset("area bar block body bottom box button buttons container form global group header icon icons inner item items left link links list main outer page post posts primary right secondary section site slot top unit wrap wrapper".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: An element that starts closes these, where they are open above it without one of the second set between.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 SCOPES = frozenset("table td th li div article section main body html aside nav header footer form blockquote button".split())
 
 
+def named(value: str) -> bool:
+    """Whether a class, id or role has a token that names no article: listed words, with others only that leave their meaning."""
+    for token in value.lower().split():
+        parts = [x for x in re.split("[_-]", token) if x]
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 class Page:
     """Elements in page order: tag, parent, the first element behind it, whether it is outside; pieces of text in order."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.end, self.out = ["#page"], [-1], [0], [False]
+        #: Elements that their name alone says are no article.
+        self.named = [False]
         #: (element, text) in page order; text None: a line ends here.
         self.pieces: list[tuple[int, str | None]] = []
         self.stack = [0]
@@ -70,6 +83,24 @@ class Page:
                 self._close(name)
         for node in self.stack:
             self.end[node] = len(self.tag)
+        self._leave_named()
+
+    def _leave_named(self) -> None:
+        """Puts outside what is named so, but never what holds an article, or in a page without one most of the text."""
+        n = len(self.tag)
+        chars, holds = [0] * n, [False] * n
+        for node, text in self.pieces:
+            if text and not self.out[node]:
+                chars[node] += len(" ".join(text.split()))
+        for node in range(n - 1, 0, -1):
+            if not self.out[node]:
+                chars[self.parent[node]] += chars[node]
+                own = self.tag[node] in ("article", "main") and not self.named[node]
+                holds[self.parent[node]] = holds[self.parent[node]] or holds[node] or own
+        for node in range(1, n):
+            cut = self.named[node] and self.tag[node] not in ("body", "html", "article", "main")
+            kept = holds[node] or not holds[0] and 2 * chars[node] > chars[0]
+            self.out[node] = self.out[node] or self.out[self.parent[node]] or cut and not kept
 
     def _text(self, text: str) -> None:
         if text:
@@ -90,10 +121,12 @@ class Page:
         self.parent.append(above)
         self.end.append(node + 1)
         out = self.out[above] or name in OUTSIDE or name == "header" and "article" not in (self.tag[n] for n in self.stack)
-        if not out and attributes and name not in ("body", "html", "article", "main"):
-            for kind, value in ATTRIBUTE.findall(attributes):
-                kind, value = kind.lower(), value.strip("\"'")
-                out = out or kind == "hidden" or bool((HIDDEN if kind == "style" else NAMES).search(value))
+        known: dict[str, str] = {}
+        for kind, value in ATTRIBUTE.findall(attributes):
+            known.setdefault(kind.lower(), value.strip("\"'"))
+        self.named.append(any(named(known.get(kind, "")) for kind in ("class", "id", "role")))
+        if name not in ("body", "html", "article", "main"):
+            out = out or "hidden" in known or bool(HIDDEN.search(known.get("style", "")))
         self.out.append(out)
         if name in BLOCK:
             self.pieces.append((node, None))

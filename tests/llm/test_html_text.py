@@ -25,6 +25,23 @@ def test_plain_containers_are_told_by_density():
     assert main_text(page) == "\n".join([CLEAN] * 4)
 
 
+def test_names_of_layout_leave_the_article():
+    """A listed word inside a longer name, or a name on what holds the article, cuts nothing."""
+    menu = '<div class="menu">' + "".join(f'<a href="/{i}">entry {i}</a>' for i in range(9)) + "</div>"
+    prose = f"<p>{LOREM}</p>" * 3
+    want = "\n".join([CLEAN] * 3)
+    for given in ("class='content has-sidebar'", "class=no-sidebar", 'class="post comments-open"', "id='page-with-menu'", "aria-hidden='false'", "title='the hidden cost'", "data-role='menu'", "data-id=ad", "class='sidebar'", "class='widget'"):
+        for inner in (prose, f"<article>{prose}</article>", f"<main>{prose}</main>"):
+            assert main_text(f"<body>{menu}<div {given}>{inner}</div></body>") == want, (given, inner[:9])
+
+
+def test_named_parts_of_an_article_go():
+    for given in ("class='share-buttons'", "class='x ad'", "id=comments", "role=navigation", "hidden", "HIDDEN=''", "style='display: none'", "class='related_posts'", "class='ad-3'"):
+        assert main_text(f"<body><article><p>{LOREM}</p><div {given}>Not this</div></article></body>") == CLEAN, given
+    comments = f"<article class='comment'><p>{LOREM}</p></article>" * 3
+    assert main_text(f"<body><article><p>{LOREM}</p></article><div id='comments'>{comments}</div></body>") == CLEAN
+
+
 def test_odd_sources():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("just text &lt;b&gt;") == "just text <b>"
