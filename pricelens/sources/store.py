@@ -9,10 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir or the checkpoint folder of the session. Only a session that
+    runs in one machine may do without; it gets a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if root is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/snapshots-{uuid.uuid4().hex}"
+
+
+def lineage_cut(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back from it, so that a lost executor costs no recomputation."""
+    shared_root(rows.sparkSession)
+    return rows.checkpoint(eager=True)
 
 
 def write_snapshots(rows: DataFrame, folder: str, day: str = "snapshot_date") -> None:
