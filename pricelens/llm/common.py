@@ -23,20 +23,27 @@ def text_of(column: str | Column) -> Column:
 
 def lineage_cut(df: DataFrame) -> DataFrame:
     """The rows, written to the folder that all executors share and read back from it."""
-    shared_folder(df.sparkSession)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a local one is set where none is (in tests)."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir or the session's checkpoint folder. Only a session that runs
+    in one machine may do without; it gets a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if root is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:
@@ -55,13 +62,17 @@ def attach(rows: DataFrame, key: str, facts: DataFrame, how: str = "inner", by:
     """Rows with the columns of facts, which has one row to a value of key. A value may have a third of all rows, so rows
     are dealt by key and a salt (a hash of the columns named in by, all if None), and facts are copied only to the salts
     that a value has."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(salts)).cast("int"))
-    needed = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.join(needed, [key, "_salt"], how).drop("_salt")
+    salt = fresh([*rows.columns, *facts.columns], "salt")[0]
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(salts)).cast("int"))
+    needed = salted.select(key, salt).distinct().join(facts, key)
+    return salted.join(needed, [key, salt], how).drop(salt)
 
 
 def bounded_sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """At most n rows, those with the smallest hashes of their key: reruns take the same ones, and only hashes are sorted."""
-    place = F.xxhash64(key)
-    last = rows.select(place.alias("place")).orderBy("place").limit(n).agg(F.max("place")).first()[0]
-    return rows.where(place <= F.lit(last)).limit(n) if last is not None else rows.limit(0)
+    """At most n rows, those with the smallest hashes of their key and columns, so that reruns take the same ones. Only two
+    hashes of a row are sorted; equal rows count once."""
+    place = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(*rows.columns).alias("b"))
+    last = rows.select(place.alias("place")).orderBy("place").limit(n).agg(F.max("place").alias("p")).select("p.a", "p.b").first()
+    if last is None or last.a is None:
+        return rows.limit(0)
+    return rows.where(place <= F.struct(F.lit(last.a).alias("a"), F.lit(last.b).alias("b"))).distinct()
