@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from pricelens.llm import html_text
 from pricelens.llm.html_text import main_text
@@ -42,6 +43,58 @@ def test_named_parts_of_an_article_go():
     assert main_text(f"<body><article><p>{LOREM}</p></article><div id='comments'>{comments}</div></body>") == CLEAN
 
 
+def test_density_decides_without_article_or_main():
+    links = "<ul>" + "".join(f'<li><a href="/{i}">entry number {i}</a></li>' for i in range(20)) + "</ul>"
+    prose, teaser = f"<p>{LOREM}</p>", '<p><a href="/z">A teaser of another text that is one link from end to end</a></p>'
+    for inner, want in (
+        (f"<h2>Title</h2><div>{prose * 3}</div>", ["Title", *[CLEAN] * 3]),
+        (f"<div>{prose * 3}</div><div>{prose * 2}</div>", [CLEAN] * 5),
+        (f"{prose}<div>{prose * 4}</div>", [CLEAN] * 5),
+        (f"<p><b>{LOREM}</b></p>", [CLEAN]),
+        (f"<table><tr><td>{LOREM}<tr><td>{LOREM}</table>", [CLEAN] * 2),
+    ):
+        page = f"<body><div>{links}</div><div id=x>{inner}</div><div>{teaser * 4}</div>{links}</body>"
+        assert main_text(page).split("\n") == want, inner[:30]
+    # A tag named article is no reason to take it.
+    page = f"<body>{links}<div>{prose * 5}</div><article><p>{LOREM[:40]}</p></article></body>"
+    assert main_text(page).split("\n") == [CLEAN] * 5
+
+
+def test_density_follows_its_formula():
+    from math import e, log
+
+    from pricelens.llm.html_text import Page
+
+    page = Page("<body><div><p>" + "a" * 60 + '<a href="/x">' + "b" * 20 + "</a></p><p>" + "c" * 50 + "</p></div></body>")
+    density, total, chars, _ = page.densities()
+    at = {t: i for i, t in reversed(list(enumerate(page.tag)))}
+    share = 20 / 130
+    first = 80 / 1 * log(80 / 20 * 1 / 1) / log(log(80 / 60 * 20 + share * 80 + e))
+    second = 50 / 1 * log(50) / log(log(50 / 50 + share * 50 + e))
+    whole = 130 / 3 * log(130 / 20 * 3 / 1) / log(log(130 / 110 * 20 + share * 130 + e))
+    assert abs(density[at["p"]] - first) < 1e-9 and abs(total[at["div"]] - first - second) < 1e-9 and abs(density[at["div"]] - whole) < 1e-9
+    assert chars[at["div"]] == 130
+
+
+def test_hard_sources_take_linear_time():
+    for piece in ("a", "<a ", "<b x='", "<!", "</b x='", "<a b=\"'", "<script></script", "&amp"):
+        for end in ("", ">"):
+            source, began = piece * (1_000_000 // len(piece)) + end, time.time()
+            main_text(source)
+            assert time.time() - began < 2, piece
+    for piece in ("<p><span>", "</i>", "<td>", "<div><header>", "<b>", "<x>'\""):  # many elements: ten times as many, about ten times as long
+        took = []
+        for n in (3_000, 30_000):
+            began = time.time()
+            main_text(piece * n)
+            took.append(time.time() - began)
+        assert took[1] < 30 * took[0] + 0.5, piece
+
+
+def test_tags_with_open_quotes_end_at_the_first_bracket():
+    assert main_text("<p>one</p><a href='oops>two</a><b>three</b><img alt=\"x>y\">four<p>five") == "one\ntwothreefour\nfive"
+
+
 def test_odd_sources():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("just text &lt;b&gt;") == "just text <b>"
