@@ -3,11 +3,13 @@
 Four patterns find e-mail addresses, IP addresses, card numbers and phone numbers of full shape. The field decides on
 what they leave: its nodes are a document's tokens with digits or an at sign, labelled with a kind or none. Node potentials
 come from a token's shape and neighbourhood, chain potentials join tokens that stand next to each other, and skip potentials
-join a token to the next one in the document that has the same digits or letters, however far away. Loopy message passing
-makes their labels agree, so that a number that is a phone number in one place is found where it stands in part.
+join a token to the next one in the document that is the same or similar, however far away: one table of potentials for
+tokens with the same digits or letters, another for tokens that agree in part (the last seven digits, the first three parts
+of an address, the user or the host of an e-mail). Loopy message passing makes their labels agree, so that a number that is
+a phone number in one place is found where it stands in part.
 
-Tokens that the patterns matched keep their kind. All potentials are trained piecewise on them and on the other tokens of
-a bounded number of documents.
+Tokens that the patterns matched keep their kind. All potentials are trained together on them and on the other tokens of
+a bounded number of documents. The nodes are chosen and joined in time linear in the text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import bounded_sample
+from pricelens.llm.common import bounded_sample, fresh
 from pricelens.llm.secrets import replace_spans
 
 #: Kinds in the order in which equal starts are listed; label 0 is none.
@@ -29,17 +31,22 @@ KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base scan; quantifiers are possessive where that can't change a match.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TOKEN = re.compile(r"[A-Za-z0-9@._%+()-]*[0-9@][A-Za-z0-9@._%+()-]*")
+#: A whole run of these characters with a digit or an at sign; what stands before tells where a run starts, so no run is
+#: read twice.
+TOKEN = re.compile(r"(?<![A-Za-z0-9@._%+()-])[A-Za-z._%+()-]*+[0-9@][A-Za-z0-9@._%+()-]*+")
 WORDS_BEFORE = re.compile(r"(?:phone|tel|call|fax|mail|ip|card|visa)\W*$", re.IGNORECASE)
 #: Characters between tokens that count as next to each other, at most.
 NEAR = 2
 #: Rounds of message passing, damping, and the probability from which a token gets a kind.
-ROUNDS, DAMPING, LEAST = 12, 0.3, 0.9
-TRAIN_DOCS, TRAIN_STEPS = 4000, 300
+ROUNDS, DAMPING, LEAST = 12, 0.3, 0.8
+#: Documents to train on at most, and steps of the training, their rate and the decay of weights.
+TRAIN_DOCS, TRAIN_STEPS, RATE, DECAY = 4000, 300, 1.0, 1e-4
+#: Log potential by which the same tokens agree on a kind before training.
+AGREE = 2.0
 
 
 def luhn(digits: str) -> bool:
@@ -77,7 +84,8 @@ class Tokens:
     features: np.ndarray
     label: np.ndarray  # of tokens in base spans, else 0
     chain: np.ndarray  # pairs of nodes
-    skip: np.ndarray
+    skip: np.ndarray  # of the same tokens
+    alike: np.ndarray  # of similar tokens
 
 
 N_FEATURES = 22
@@ -90,17 +98,32 @@ def _features(text: str, start: int, end: int, before: str) -> list[bool]:
     quad = len(parts) == 4 and all(p.isdigit() for p in parts)
     user, at, host = token.partition("@")
     lead = text[max(0, start - 16) : start]
+    valid = 14 <= n <= 19 and token.isdigit() and luhn(digits)
     return [
         True, n == 0, 1 <= n <= 2, n == 3, 4 <= n <= 6, n == 7, 8 <= n <= 13, 14 <= n <= 19, n > 19,
-        n >= 14 and token.isdigit() and luhn(digits), n >= 14 and token.isdigit() and not luhn(digits),
+        valid, 14 <= n <= 19 and token.isdigit() and not valid,
         quad, quad and all(len(p) < 4 and int(p) <= 255 for p in parts), token.startswith("+"), token.startswith("(") and token.endswith(")"),
         bool(re.fullmatch(r"[0-9]{3}-[0-9]{4}\W*", token)), bool(at and user and "." in host.strip(".")), bool(at),
         any(c.isalpha() for c in token), before.startswith("+"), before.startswith("(") and before.endswith(")"), bool(WORDS_BEFORE.search(lead)),
     ]
 
 
+def keys(token: str) -> tuple[str, list[str]]:
+    """What the same tokens share, and what similar ones share at least one of; empty where there is too little to tell."""
+    if "@" in token:
+        user, _, host = token.lower().partition("@")
+        same = re.sub(r"[^0-9a-z]", "", user + host)
+        return same, [f"{x}{part}" for x, part in (("u", user.strip(".")), ("h", host.strip("."))) if len(part) >= 4]
+    digits = re.sub(r"[^0-9]", "", token)
+    parts = token.strip(".").split(".")
+    alike = [f"q{'.'.join(parts[:3])}"] if len(parts) == 4 and all(p.isdigit() for p in parts) else []
+    if len(digits) >= 7:
+        alike.append(f"d{digits[-7:]}")
+    return digits if len(digits) >= 4 else "", alike
+
+
 def tokens(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Tokens:
-    spans, features, label, chain, skip = [], [], [], [], []
+    spans, features, label, chain, skip, alike = [], [], [], [], [], []
     for doc, (text, base) in enumerate(zip(texts, bases, strict=True)):
         seen: dict[str, int] = {}
         at, before, stop = 0, "", -99
@@ -116,14 +139,19 @@ def tokens(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Tokens:
             label.append(kind)
             if near:
                 chain.append((node - 1, node))
-            same = re.sub(r"[^0-9a-z]", "", m[0].lower()) if "@" in m[0] else "".join(c for c in m[0] if c in "0123456789")
-            if len(same) >= 4:
-                if same in seen:
-                    skip.append((seen[same], node))
+            same, parts = keys(m[0])
+            last = seen.get(same, -1) if same else -1
+            if last >= 0:
+                skip.append((last, node))
+            # Each node is joined to the last one of each key alone, so edges are as many as keys.
+            near_ones = {seen[x] for x in parts if x in seen} - {last}
+            alike += [(x, node) for x in sorted(near_ones)]
+            seen.update(dict.fromkeys(parts, node))
+            if same:
                 seen[same] = node
             before, stop = m[0], end
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Tokens(spans, np.array(features, float).reshape(-1, N_FEATURES), np.array(label, np.int64), pairs(chain), pairs(skip))
+    return Tokens(spans, np.array(features, float).reshape(-1, N_FEATURES), np.array(label, np.int64), pairs(chain), pairs(skip), pairs(alike))
 
 
 @dataclass
@@ -131,28 +159,29 @@ class Field:
     weights: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels, log potentials
     skip: np.ndarray
+    alike: np.ndarray
 
 
 def train(sample: Tokens, steps: int = TRAIN_STEPS) -> Field:
-    """Piecewise: node potentials by softmax regression on shapes, pair potentials as log ratios of joint to separate counts."""
-    k, x, y = len(KINDS) + 1, sample.features, sample.label
-    weights = np.zeros((N_FEATURES, k))
-    if len(y):
-        goal = np.eye(k)[y]
-        for _ in range(steps):
-            score = x @ weights
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights += 2.0 * (x.T @ (goal - p) / len(y) - 1e-4 * weights)
-
-    def pair(edges: np.ndarray) -> np.ndarray:
-        joint = np.full((k, k), 0.5)
-        np.add.at(joint, (y[edges[:, 0]], y[edges[:, 1]]), 1.0)
-        joint = (joint + joint.T) / joint.sum() / 2
-        alone = joint.sum(axis=0)
-        return np.clip(np.log(joint / np.outer(alone, alone)), -4, 4)
-
-    return Field(weights, pair(sample.chain), pair(sample.skip))
+    """All potentials together by pseudo-likelihood: a softmax of a token's label from its shape and its neighbours' labels.
+    Weights decay towards a prior that same tokens agree, and similar ones half as much. Tokens whose base match failed are
+    among those without a kind; the field may still give them one."""
+    k, y = len(KINDS) + 1, sample.label
+    x = sample.features
+    for edges in (sample.chain, sample.skip, sample.alike):
+        beside = np.zeros((len(y), k))
+        np.add.at(beside, (edges[:, 0], y[edges[:, 1]]), 1.0)
+        np.add.at(beside, (edges[:, 1], y[edges[:, 0]]), 1.0)
+        x = np.concatenate([x, beside], axis=1)
+    prior = np.concatenate([np.zeros((N_FEATURES + k, k)), AGREE * np.eye(k), AGREE / 2 * np.eye(k)])
+    weights, goal = prior.copy(), np.eye(k)[y]
+    for _ in range(steps if len(y) else 0):
+        score = x @ weights
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        weights += RATE * (x.T @ (goal - p) / len(y) - DECAY * (weights - prior))
+    tables = [(t + t.T) / 2 for t in np.split(weights[N_FEATURES:], 3)]
+    return Field(weights[:N_FEATURES], *tables)
 
 
 def infer(field: Field, nodes: Tokens) -> np.ndarray:
@@ -162,8 +191,8 @@ def infer(field: Field, nodes: Tokens) -> np.ndarray:
     fixed = nodes.label > 0
     own[fixed] = -30.0
     own[fixed, nodes.label[fixed]] = 30.0
-    edges = np.concatenate([nodes.chain, nodes.skip])
-    tables = np.concatenate([np.repeat(field.chain[None], len(nodes.chain), 0), np.repeat(field.skip[None], len(nodes.skip), 0)])
+    edges = np.concatenate([nodes.chain, nodes.skip, nodes.alike])
+    tables = np.concatenate([np.repeat(t[None], len(e), 0) for t, e in ((field.chain, nodes.chain), (field.skip, nodes.skip), (field.alike, nodes.alike))])
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
@@ -212,29 +241,30 @@ def fit(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> Field:
     def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             _, t = prepare(list(frame["text"]))
-            yield pd.DataFrame({"f": [x.tobytes() for x in t.features.astype(np.int8)], "y": t.label, "doc": [s[0] for s in t.spans], "one": 1})[["f", "y"]].assign(
-                n=_after(t.chain, len(t.label)), m=_after(t.skip, len(t.label))
-            )
+            edges = {"e": t.chain, "s": t.skip, "a": t.alike}
+            rows = pd.DataFrame({"f": [x.tobytes() for x in t.features.astype(np.int8)], "y": t.label})
+            yield rows.assign(**{k: _before(e, len(t.label)) for k, e in edges.items()})
 
-    # y is the token's label; n and m are the labels' distances to the next node of its chain and skip edge, 0 if none.
-    rows = sample.mapInPandas(shapes, "f binary, y long, n long, m long").toPandas()
+    # y is the token's label; e, s and a are the distances to the nodes before it on chain, skip and similarity edges.
+    rows = sample.mapInPandas(shapes, "f binary, y long, e array<long>, s array<long>, a array<long>").toPandas()
     x = np.array([np.frombuffer(b, np.int8) for b in rows.f], float).reshape(-1, N_FEATURES)
-    edge = lambda step: np.array([(i, i + d) for i, d in enumerate(step) if d], np.int64).reshape(-1, 2)
-    return train(Tokens([], x, rows.y.to_numpy(), edge(rows.n), edge(rows.m)))
+    edge = lambda steps: np.array([(i - d, i) for i, ds in enumerate(steps) for d in ds], np.int64).reshape(-1, 2)
+    return train(Tokens([], x, rows.y.to_numpy(), edge(rows.e), edge(rows.s), edge(rows.a)))
 
 
-def _after(edges: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    out[edges[:, 0]] = edges[:, 1] - edges[:, 0]
+def _before(edges: np.ndarray, n: int) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in range(n)]
+    for a, b in edges.tolist():
+        out[b].append(b - a)
     return out
 
 
 def find(docs: DataFrame, field: Field | None = None, least: float = LEAST) -> DataFrame:
     """The documents with base and pii, arrays of (kind, start, end) by start, then kind: code points, end exclusive.
 
-    base is what the patterns find, pii that and what the field adds. Null and empty texts have none. A document is judged
-    by itself, so repeated rows agree. The field is fitted on docs if none is given. Existing columns of these names are
-    replaced."""
+    base is what the patterns find, pii that and what the field adds. Null and empty texts have none, very long ones are
+    read whole in linear time. A document is judged by itself, so repeated rows and ties of doc_id agree. The field is fitted
+    on docs if none is given. Existing columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if field is None else field)
     span = "array<struct<kind:string,start:int,end:int>>"
 
@@ -246,8 +276,9 @@ def find(docs: DataFrame, field: Field | None = None, least: float = LEAST) -> D
             more = added_spans(nodes, infer(shared.value, nodes), least)
             yield pd.DataFrame({"base": [shown(b) for b in bases], "pii": [shown(b + more.get(i, [])) for i, b in enumerate(bases)]})
 
-    found = docs.withColumn("pii", search("text"))
-    return found.withColumn("base", F.col("pii")["base"]).withColumn("pii", F.col("pii")["pii"])
+    docs = docs.drop("base", "pii")
+    both = fresh(docs.columns, "found")[0]
+    return docs.withColumn(both, search("text")).select(*docs.columns, f"{both}.base", f"{both}.pii")
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -259,10 +290,11 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
         mark = lambda x: [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in x]
         return pd.Series([replace_spans(t, mark(x)) for t, x in zip(texts, spans, strict=True)], dtype=object)
 
-    found = find(docs.select("*", F.struct(*docs.columns).alias("_row")).select("_row", "text", "doc_id"), field)
-    text = F.when(F.size("pii") > 0, cleaned("text", "pii")).otherwise(F.col("text"))
-    out = found.select("_row", text.alias("_text"))
-    given = [F.col("_row")[c].alias(c) if c != "text" else F.col("_text").alias("text") for c in docs.columns]
-    n_chars = next((f for f in docs.schema if f.name == "n_chars"), None)
-    out = out.select(*given)
-    return out.withColumn("n_chars", F.char_length("text").cast(n_chars.dataType)) if n_chars else out
+    row, done = fresh(["text", "doc_id", "base", "pii"], "row", "done")
+    found = find(docs.select(F.struct(*docs.columns).alias(row), "text", "doc_id"), field)
+    out = found.select(row, F.when(F.size("pii") > 0, cleaned("text", "pii")).otherwise(F.col("text")).alias(done))
+    given = {c: F.col(done) if c.lower() == "text" else F.col(row)[c] for c in docs.columns}
+    n_chars = next((f for f in docs.schema if f.name.lower() == "n_chars"), None)
+    if n_chars:
+        given[n_chars.name] = F.char_length(done).cast(n_chars.dataType)
+    return out.select(*[x.alias(c) for c, x in given.items()])
