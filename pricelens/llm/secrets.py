@@ -1,10 +1,11 @@
 """Secret scans by character Markov models.
 
-Three patterns find secrets of known shapes. What they miss is found among long unbroken tokens: a first-order Markov
-model of characters is trained on random strings, another one on ordinary words and identifiers, and a token is a
-secret if the first explains it better by a margin for each character. Both models are trained from labelled samples:
-tokens that the patterns call secret, with random strings over the usual alphabets, and the other tokens of a bounded
-number of documents.
+Three patterns find secrets of known shapes. Beside them stand two first-order Markov models of characters, one of random
+strings, one of ordinary words and identifiers. Every unbroken token of some length is judged by both, whether a pattern
+matched there or not: it is a secret if the first explains it better, by so much in all and by so much for each character.
+So the models find keys without a pattern, and confirm those that a pattern found (`token = 9f...` has a span of either,
+`token = undefined` one of the pattern alone). Both are trained from labelled samples: tokens that the patterns call
+secret, with random strings over the usual alphabets, and the other tokens of a bounded number of documents.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 KEYWORDS = ("passw", "secret", "token", "api")
 
-#: Tokens that the models judge: unbroken, this long, with a digit and not digits alone.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Log-likelihood ratio for each character from which a token is a secret.
-MARGIN = 0.5
+#: Tokens that the models judge: unbroken, this long, not digits alone.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Log-likelihood ratio for each character, and in all, from which a token is a secret. The latter weighs against how rare
+#: secrets are: exp(12) is about 160 000 ordinary tokens to a secret.
+MARGIN, EVIDENCE = 0.5, 12.0
 #: Documents from which the models are trained (the smallest by a hash of doc_id), and random strings beside them.
 TRAIN_DOCS, RANDOM_STRINGS = 2000, 4000
 #: ASCII characters; all others share one more place.
@@ -65,28 +67,19 @@ def train(tokens: list[str]) -> np.ndarray:
 
 
 def margin(token: str, ratio: np.ndarray) -> float:
+    """The log-likelihood ratio for each character; below any threshold if there is too little of it in all."""
     x = _codes(token)
-    return float(ratio[x[:-1], x[1:]].sum()) / (len(x) - 1)
+    total = float(ratio[x[:-1], x[1:]].sum())
+    return total / (len(x) - 1) if total >= EVIDENCE else -np.inf
 
 
-def model_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, least: float = MARGIN) -> list[tuple[int, int, int]]:
-    """Spans of tokens that look random and overlap no base span."""
-    out, at = [], 0
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if not candidate(token):
-            continue
-        while at < len(base) and base[at][2] <= m.start() and (at + 1 >= len(base) or base[at + 1][0] <= m.start()):
-            at += 1
-        if any(a < m.end() and m.start() < b for a, _, b in base[max(0, at - 2) : at + 3]):
-            continue
-        if margin(token, ratio) >= least:
-            out.append((m.start(), 3, m.end()))
-    return out
+def model_spans(text: str, ratio: np.ndarray, least: float = MARGIN) -> list[tuple[int, int, int]]:
+    """Spans of tokens that look random, and not like words."""
+    return [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if candidate(m[0]) and margin(m[0], ratio) >= least]
 
 
 def candidate(token: str) -> bool:
-    return len(token) >= 20 and not token.isdigit() and any(c.isdigit() for c in token)
+    return len(token) >= 12 and not token.isdigit()
 
 
 def random_strings(n: int = RANDOM_STRINGS, seed: int = 7) -> list[str]:
@@ -112,25 +105,27 @@ def fit(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> np.ndarray:
                     rest.append(text[at:start])
                     at = max(at, end)
                 for token in {t for part in [*rest, text[at:]] for t in re.findall(r"[A-Za-z0-9+/_=-]{3,}", part)}:
-                    if not candidate(token):  # those may be secrets without a label
+                    if not (candidate(token) and any(c.isdigit() for c in token)):  # those may be secrets without a label
                         rows[token, 0] = 1
             yield pd.DataFrame(list(rows), columns=["token", "secret"])
 
     # Counts of character pairs would do too; distinct tokens of a bounded sample are few and keep the model simple.
     tokens = sample.mapInPandas(split, "token string, secret int").distinct().toPandas().sort_values(["secret", "token"])
     secret = [*tokens.token[tokens.secret == 1], *random_strings()]
-    # Identifiers join words by signs and end in numbers; that is no sign of a key.
+    # Identifiers join words by signs or capitals, end in numbers, or stand in capitals; that is no sign of a key.
     plain = list(tokens.token[tokens.secret == 0])
     joined = [f"{a}{sign}{b}{n}" for sign, (a, b, n) in zip("_-/" * (len(plain) // 3 + 1), zip(plain, plain[1:] + plain[:1], [*range(10), ""] * (len(plain) // 11 + 1)), strict=False)]
-    return train(secret) - train(plain + joined)
+    camel = ["".join(x.capitalize() for x in three) for three in zip(plain[::3], plain[1::3], plain[2::3], strict=False)]
+    return train(secret) - train(plain + joined + camel + [x.upper() for x in plain])
 
 
 def scan(docs: DataFrame, ratio: np.ndarray | None = None, least: float = MARGIN) -> DataFrame:
     """The documents with secrets, an array of (kind, start, end) by start, then kind: code points, end exclusive.
 
-    Kinds assign, access and hex are the patterns'; model is what the Markov models add. Null and empty texts have none.
-    Each row is judged by itself, so repeated rows agree. The models are fitted on docs if none are given; on an empty
-    table they know the random strings alone. An existing column secrets is replaced."""
+    Kinds assign, access and hex are the patterns'; model is what the Markov models add, which may lie inside one of those.
+    Null and empty texts have none, very long ones are read whole in linear time. Each row is judged by itself, so repeated
+    rows and ties of doc_id agree. The models are fitted on docs if none are given; on an empty table they know the random
+    strings alone. An existing column secrets is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if ratio is None else ratio)
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
@@ -139,7 +134,7 @@ def scan(docs: DataFrame, ratio: np.ndarray | None = None, least: float = MARGIN
             out = []
             for text in texts:
                 base = base_spans(text) if text else []
-                spans = sorted(base + model_spans(text, base, shared.value, least)) if text else []
+                spans = sorted(base + model_spans(text, shared.value, least)) if text else []
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
             yield pd.Series(out, dtype=object)
 

@@ -131,6 +131,39 @@ def test_models_add_random_tokens_and_leave_words_alone(spark):
     assert clean[1] == f"see [SECRET] and {names[0]}" and clean[2] is None
 
 
+def test_models_find_planted_keys_and_confirm_those_of_patterns(spark):
+    """Keys without a pattern put into every tenth document: recall and precision; and plain likelihoods of both models."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ratio = secrets.fit(docs)
+    draw, rows, planted = random.Random(4), [], {}
+    alphabets = ("ghijkmnpqrstuvwxyzGHJKLMNPQRSTUVWXYZ23456789", "ABCDEFGHJKLMNPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz")
+    for r in docs.collect():
+        text = r.text or ""
+        if r.doc_id % 10 == 3:
+            key, at = "".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 40))), draw.choice([m.start() for m in re.finditer("^| ", text)])
+            text = f"{text[:at]} {key} {text[at:]}"
+            planted[r.doc_id] = (at + 1, at + 1 + len(key))
+        rows.append((r.doc_id, text, 0, ""))
+    hits = false = confirmed = patterns = 0
+    for r in secrets.scan(spark.createDataFrame(rows, DOCS), ratio).collect():
+        base = [x for x in r.secrets if x.kind != "model"]
+        patterns += sum(x.kind == "hex" for x in base)
+        for x in r.secrets:
+            if x.kind == "model":
+                inside = any(b.start <= x.start and x.end <= b.end for b in base)
+                hit = (x.start, x.end) == planted.get(r.doc_id)
+                hits, false, confirmed = hits + hit, false + (not hit and not inside), confirmed + inside
+    assert len(planted) > 50 and hits >= 0.97 * len(planted) and false <= 0.02 * hits and confirmed >= 0.97 * patterns > 0
+    counts, sample = {}, ["ab-1", "zz", "Q9Q9"]
+    for token in sample:
+        for a, b in zip("\0" + token, token + "\0", strict=True):
+            counts[a, b] = counts.get((a, b), 0) + 1
+    logs = secrets.train(sample)
+    for a, b in itertools.product("\0ab-1zQ9x", repeat=2):
+        total = sum(n for (x, _), n in counts.items() if x == a) + 0.1 * secrets.ALPHABET
+        assert abs(logs[ord(a), ord(b)] - np.log((counts.get((a, b), 0) + 0.1) / total)) < 1e-9
+
+
 def test_field_carries_a_kind_to_repeated_tokens(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     field = pii.fit(docs)
