@@ -1,10 +1,11 @@
 """Quality rules as weak supervision.
 
 Each rule looks at a document's word statistics and votes good (1) or bad (0), or abstains (-1). No rule is trusted
-beforehand: expectation-maximisation over the patterns of votes estimates, without labels, how often each rule votes
-what for good and for bad documents, and Bayes' rule turns a document's votes into the probability that it is good.
-The patterns are at most 3 ** rules, whatever the number of documents, so the estimation runs as one SQL expression over
-one small row of pattern counts.
+beforehand: expectation-maximisation over the patterns of votes estimates, without labels, the part of good documents and
+of each rule two accuracies, how often its vote is right on good documents and on bad ones. Bayes' rule turns a document's
+votes into the probability that it is good. A rule that no other one supports is taken to err on good documents; rules that
+agree on the same documents earn trust. The patterns are at most 3 ** rules, whatever the number of documents, so the
+estimation runs as one SQL expression over one small row of pattern counts.
 
 All of it is DataFrame expressions. A document's statistics are computed within its row, so no text is shuffled.
 """
@@ -23,30 +24,32 @@ WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 #: A document with fewer words, or with more repeated words in a hundred, fails before the rules vote.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: The part of good documents (documents without votes say nothing of it, so it is given), a rule's accuracy before EM
-#: and its bounds (a rule beats chance).
-GOOD = 0.9
-FIRST_ACCURACY, LEAST_ACCURACY, MOST_ACCURACY = 0.88, 0.6, 0.88
+#: EM starts from the guess that a document without bad votes is good and any other is bad, with this probability. Votes on good
+#: documents are right at least so often (a rule that isn't is no rule), and so large a part of documents is good.
+FIRST, LEAST_RIGHT, LEAST_GOOD, MOST_GOOD = 0.95, 0.95, 0.5, 0.99
 ROUNDS = 40
 #: A document stays if it is good with at least this probability.
 KEEP = 0.5
 
-#: name: (measure, good if so, bad if so); x stands for the measure. Every kind of junk shows in more than one rule, since
-#: only rules that agree with others can earn trust. These rules abstain where they see nothing: that a text lacks one
-#: kind of junk is no sign that it lacks the others, and most documents would get such votes.
+#: name: (measure, good if so, bad if so); x stands for the measure. Between both the rule abstains. Every kind of junk shows in
+#: two measures at least, each of its own: symbols in the letters and in the length of words, copies in lines and in words,
+#: stuttering in the words and in their variety, shouting in capitals and in exclamation marks.
 RULES: dict[str, tuple[str, str, str]] = {
-    "length": ("n_words", "false", "x < 20"),
-    "symbols": ("100 * n_symbols / greatest(1, word_chars)", "false", "x > 5"),
-    "symbol_runs": ("100 * n_symbol_runs / greatest(1, n_words)", "false", "x > 15"),
-    "symbol_lines": ("100 * n_symbol_lines / greatest(1, n_lines)", "false", "x > 60"),
-    "dup_lines": ("100 * n_dup_lines / greatest(1, n_lines)", "false", "x > 30"),
-    "repeats": ("100 * n_repeat_words / greatest(1, n_words)", "false", "x > 25"),
-    "variety": ("100 * n_distinct_windows / greatest(1, n_windows)", "false", "x < 60"),
-    "capitals": ("100 * n_capital_words / greatest(1, n_words)", "false", "x > 40"),
-    "shouts": ("100 * n_bangs / greatest(1, n_words)", "false", "x > 30"),
+    "symbols": ("100 * n_symbols / greatest(1, word_chars)", "x < 0.5", "x > 3"),
+    "word_length": ("word_chars / greatest(1, n_words)", "x >= 4.5 AND x <= 5.7", "x < 4.2 OR x > 6.8"),
+    "letters": ("100 * n_letters / greatest(1, word_chars)", "x >= 95", "x < 88 AND n_words >= 60"),
+    "sentences": ("100 * n_ends / greatest(1, n_words)", "x >= 5 AND x <= 13", "x < 2 OR x > 40"),
+    "dup_lines": ("100 * n_dup_lines / greatest(1, n_lines)", "x <= 0", "x > 40"),
+    "repeats": ("100 * n_repeat_words / greatest(1, n_words)", "x <= 0", "x > 12"),
+    "stutter": ("100 * n_stutters / greatest(1, n_words)", "x < 1", "x > 8"),
+    "variety": ("100 * n_distinct_words / greatest(1, n_words)", "x >= 60", "x < 45 AND n_words < 200"),
+    "capitals": ("100 * n_capital_words / greatest(1, n_words)", "x <= 0", "x > 30"),
+    "shouts": ("100 * n_bangs / greatest(1, n_words)", "x <= 0", "x > 15"),
 }
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_symbol_runs", "n_lines", "n_symbol_lines", "n_dup_lines", "n_repeat_words", "n_windows", "n_distinct_windows", "n_capital_words", "n_bangs")
+STATS = ("n_words", "word_chars", "n_symbols", "n_letters", "n_ends", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters", "n_distinct_words", "n_capital_words", "n_bangs")
+#: Letters: what is neither ASCII without being a letter nor white space.
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _bits(hashes: str) -> Column:
@@ -82,7 +85,8 @@ def word_stats(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty: all are 0 (a line is one that has a word). Columns of these names are replaced; all others
     are kept. Windows are compared within one document by hashes of their words, of 64 bits less
-    those that number the windows (a false match in 20 000 words has a chance below one in a million)."""
+    those that number the windows (a false match in 20 000 words has a chance below one in a million). A very long text takes
+    memory in proportion to its words."""
     docs = docs.drop(*STATS)
     words, lines, one, hashes, varied, ordered, text, core = fresh(docs.columns, "words", "lines", "one", "hashes", "varied", "ordered", "body", "core")
     none, space = F.array().cast("array<bigint>"), F.lit(" \t\n\x0b\f\r")
@@ -103,13 +107,13 @@ def word_stats(docs: DataFrame) -> DataFrame:
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_symbol_runs": F.regexp_count(text, F.lit(f"{SYMBOLS}+")).cast("long"),
+        "n_letters": F.regexp_count(text, F.lit(LETTERS)).cast("long"),
+        "n_ends": F.regexp_count(text, F.lit("[.!?]")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-        "n_symbol_lines": F.size(F.filter(lines, lambda x: x.rlike(SYMBOLS))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.coalesce(_covered(_starts(ordered)), F.lit(0)).cast("long"),
-        "n_windows": F.size(hashes).cast("long"),
-        "n_distinct_windows": F.col(varied).cast("long"),
+        "n_stutters": F.size(F.filter(one, lambda h, i: F.coalesce(F.get(F.col(one), i - 1) == h, F.lit(False)))).cast("long"),
+        "n_distinct_words": F.size(F.array_distinct(one)).cast("long"),
         "n_capital_words": F.regexp_count(text, F.lit("[A-Z]{2,}")).cast("long"),
         "n_bangs": F.regexp_count(text, F.lit("!+")).cast("long"),
     })
@@ -126,44 +130,45 @@ def votes(docs: DataFrame, rules: dict[str, tuple[str, str, str]] = RULES) -> Da
     return docs.withColumns({f"vote_{k}": vote(*rule) for k, rule in rules.items()})
 
 
-def estimate(voted: DataFrame, rules: dict[str, tuple[str, str, str]] = RULES, rounds: int = ROUNDS, prior: float = GOOD) -> dict[str, float]:
-    """By rule, how often its vote is right where it votes, estimated by expectation-maximisation.
+def estimate(voted: DataFrame, rules: dict[str, tuple[str, str, str]] = RULES, rounds: int = ROUNDS) -> list[float]:
+    """The part of good documents, then of each rule how often its vote is right on good documents, then the same on bad ones,
+    all estimated by expectation-maximisation.
 
     One aggregation gives the number of documents by pattern of votes (3 ** rules at most); the rounds of EM fold over
-    that one row. Abstaining says nothing. Counts are smoothed by one vote; with no documents the first guesses stand."""
-    names = list(rules)
-    patterns = voted.groupBy(*[f"vote_{k}" for k in names]).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pattern = F.struct(F.array(*[F.col(f"vote_{k}") for k in names]).alias("v"), F.col("n"))
+    that one row. Abstaining says nothing. Counts are smoothed by a vote of either kind, so an empty table gives one half each."""
+    names, k = list(rules), len(rules)
+    patterns = voted.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pattern = F.struct(F.array(*[F.col(f"vote_{n}") for n in names]).alias("v"), F.col("n"))
     row = patterns.agg(F.array_sort(F.collect_list(pattern)).alias("p"))
-    right = lambda i, vote: f"CASE e.v[{i}] WHEN {vote} THEN acc[{i}] WHEN {1 - vote} THEN 1 - acc[{i}] ELSE double(1) END"
-    chance = lambda vote: " * ".join(right(i, vote) for i in range(len(names)))
-    expect = f"transform(p, e -> named_struct('v', e.v, 'n', e.n, 'x', double({prior}) * {chance(1)}, 'y', double({1 - prior}) * {chance(0)}))"
-    soft = f"transform({expect}, e -> named_struct('v', e.v, 'n', e.n, 'g', e.n * e.x / (e.x + e.y)))"
+    # acc is empty before the first round: then the first guess stands for the posterior.
+    part = lambda first, vote: " * ".join(f"CASE e.v[{i}] WHEN {vote} THEN acc[{first + i}] WHEN {1 - vote} THEN 1 - acc[{first + i}] ELSE double(1) END" for i in range(k))
+    odds = f"transform(array(named_struct('x', acc[0] * {part(1, 1)}, 'y', (1 - acc[0]) * {part(1 + k, 0)})), o -> o.x / (o.x + o.y))[0]"
+    guess = f"if(array_contains(e.v, 0), double({1 - FIRST}), double({FIRST}))"
+    soft = f"transform(p, e -> named_struct('v', e.v, 'n', e.n, 'g', e.n * CASE WHEN size(acc) = 0 THEN {guess} ELSE {odds} END))"
     total = lambda what: f"aggregate(s, double(0), (a, e) -> a + {what})"
-    accuracy = ", ".join(
-        f"greatest(double({LEAST_ACCURACY}), least(double({MOST_ACCURACY}), ({total(f'CASE e.v[{i}] WHEN 1 THEN e.g WHEN 0 THEN e.n - e.g ELSE double(0) END')}"
-        f" + {FIRST_ACCURACY}) / ({total(f'if(e.v[{i}] >= 0, e.n, double(0))')} + 1)))"
-        for i in range(len(names))
-    )
-    first = ", ".join([f"double({FIRST_ACCURACY})"] * len(names))
-    fold = f"aggregate(sequence(1, {rounds}), array({first}), (acc, i) -> transform(array({soft}), s -> array({accuracy}))[0])"
-    return dict(zip(names, row.select(F.expr(fold).alias("x")).first()["x"], strict=True))
+    count = lambda i, vote, of: total(f"if(e.v[{i}] = {vote}, {of}, double(0))")
+    rate = lambda i, vote, of: f"({count(i, vote, of)} + 1) / ({count(i, 0, of)} + {count(i, 1, of)} + 2)"
+    new = [f"greatest(double({LEAST_GOOD}), least(double({MOST_GOOD}), ({total('e.g')} + 1) / ({total('e.n')} + 2)))"]
+    new += [f"greatest(double({LEAST_RIGHT}), {rate(i, 1, 'e.g')})" for i in range(k)] + [rate(i, 0, "(e.n - e.g)") for i in range(k)]
+    fold = f"aggregate(sequence(1, {rounds}), cast(array() as array<double>), (acc, i) -> transform(array({soft}), s -> array({', '.join(new)}))[0])"
+    return list(row.select(F.expr(fold).alias("x")).first()["x"])
 
 
-def posterior(accuracy: dict[str, float], prior: float = GOOD) -> Column:
+def posterior(estimates: list[float], rules: dict[str, tuple[str, str, str]] = RULES) -> Column:
     """The probability that a document with these votes is good."""
-    good, bad = F.lit(prior), F.lit(1 - prior)
-    for k, right in accuracy.items():
-        vote = F.col(f"vote_{k}")
-        good = good * F.when(vote == 1, right).when(vote == 0, 1 - right).otherwise(1.0)
-        bad = bad * F.when(vote == 0, right).when(vote == 1, 1 - right).otherwise(1.0)
+    k = len(rules)
+    good, bad = F.lit(estimates[0]), F.lit(1 - estimates[0])
+    for i, name in enumerate(rules):
+        vote, on_good, on_bad = F.col(f"vote_{name}"), estimates[1 + i], estimates[1 + k + i]
+        good = good * F.when(vote == 1, on_good).when(vote == 0, 1 - on_good).otherwise(1.0)
+        bad = bad * F.when(vote == 0, on_bad).when(vote == 1, 1 - on_bad).otherwise(1.0)
     return good / (good + bad)
 
 
 def judge(voted: DataFrame, rules: dict[str, tuple[str, str, str]] = RULES, keep: float = KEEP) -> DataFrame:
     """Rows of votes() with quality (posterior probability), base_failed and kept. It reads them twice: cut the lineage before."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = voted.withColumn("quality", posterior(estimate(voted, rules))).withColumn("base_failed", failed)
+    judged = voted.withColumn("quality", posterior(estimate(voted, rules), rules)).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
 
 

@@ -80,18 +80,22 @@ FROM p JOIN f USING (h)
 
 def _quality() -> str:
     """Word statistics, votes and EM, spelled in DuckDB's lists; only the rules and constants are shared with the operator."""
-    from pricelens.llm.quality import FIRST_ACCURACY, GOOD, KEEP, LEAST_ACCURACY, MAX_REPEAT_PERCENT, MIN_WORDS, MOST_ACCURACY, ROUNDS, RULES
+    from pricelens.llm.quality import FIRST, KEEP, LEAST_GOOD, LEAST_RIGHT, MAX_REPEAT_PERCENT, MIN_WORDS, MOST_GOOD, ROUNDS, RULES
 
     def vote(measure: str, good: str, bad: str) -> str:
         good, bad = (re.sub(r"\bx\b", f"({measure.replace('/', '::DOUBLE /')})", x) for x in (good, bad))
         return f"CASE WHEN {good} THEN 1 WHEN {bad} THEN 0 ELSE -1 END"
 
     k = len(RULES)
-    part = lambda e, acc, vote: " * ".join(f"CASE {e}.v[{i + 1}] WHEN {vote} THEN {acc}[{i + 1}] WHEN {1 - vote} THEN 1 - {acc}[{i + 1}] ELSE 1.0::DOUBLE END" for i in range(k))
-    good = lambda e, acc: f"({GOOD}::DOUBLE * {part(e, acc, 1)} / ({GOOD}::DOUBLE * {part(e, acc, 1)} + {1 - GOOD}::DOUBLE * {part(e, acc, 0)}))"
-    rate = lambda i: f"""greatest({LEAST_ACCURACY}::DOUBLE, least({MOST_ACCURACY}::DOUBLE, (list_sum(list_transform(p, lambda e: CASE e.v[{i + 1}] WHEN 1 THEN e.n * {good("e", "acc")}
-    WHEN 0 THEN e.n - e.n * {good("e", "acc")} ELSE 0.0::DOUBLE END)) + {FIRST_ACCURACY}::DOUBLE) / (list_sum(list_transform(p, lambda e: CASE WHEN e.v[{i + 1}] >= 0 THEN e.n ELSE 0.0::DOUBLE END)) + 1)))"""
-    first = f"[{', '.join([f'{FIRST_ACCURACY}::DOUBLE'] * k)}]"
+    part = lambda v, first, vote: " * ".join(f"CASE {v}[{i + 1}] WHEN {vote} THEN acc[{first + i}] WHEN {1 - vote} THEN 1 - acc[{first + i}] ELSE 1.0::DOUBLE END" for i in range(k))
+    good = lambda v: f"(acc[1] * {part(v, 2, 1)})"
+    bad = lambda v: f"((1 - acc[1]) * {part(v, 2 + k, 0)})"
+    soft = f"list_transform(p, lambda e: e.n * CASE WHEN len(acc) = 0 THEN CASE WHEN list_contains(e.v, 0) THEN {1 - FIRST}::DOUBLE ELSE {FIRST}::DOUBLE END ELSE {good('e.v')} / ({good('e.v')} + {bad('e.v')}) END)"
+    total = lambda what: f"list_sum(list_transform(range(1, len(p) + 1), lambda j: {what}))"
+    count = lambda i, vote, of: total(f"CASE WHEN p[j].v[{i + 1}] = {vote} THEN {of} ELSE 0.0::DOUBLE END")
+    rate = lambda i, vote, of: f"({count(i, vote, of)} + 1) / ({count(i, 0, of)} + {count(i, 1, of)} + 2)"
+    new = [f"greatest({LEAST_GOOD}::DOUBLE, least({MOST_GOOD}::DOUBLE, ({total('s[j]')} + 1) / ({total('p[j].n')} + 2)))"]
+    new += [f"greatest({LEAST_RIGHT}::DOUBLE, {rate(i, 1, 's[j]')})" for i in range(k)] + [rate(i, 0, "(p[j].n - s[j])") for i in range(k)]
     return rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
@@ -102,20 +106,19 @@ WITH w AS (
 ), g AS (
   SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 8)) AS fresh FROM r
 ), c AS (SELECT doc_id, sum(fresh) AS n_repeat FROM g GROUP BY doc_id
-), d AS (SELECT doc_id, count(DISTINCT win) AS n_distinct_windows FROM s GROUP BY doc_id
 ), f AS (
-  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs, len(ls) AS n_lines,
-    len(list_filter(ls, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_symbol_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
-    greatest(0, len(ws) - 7) AS n_windows, coalesce(n_distinct_windows, 0) AS n_distinct_windows, len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_capital_words, len(regexp_extract_all(t, '!+')) AS n_bangs
-  FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) AS n_letters,
+    len(regexp_extract_all(t, '[.!?]')) AS n_ends, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutters, len(list_distinct(ws)) AS n_distinct_words, len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_capital_words, len(regexp_extract_all(t, '!+')) AS n_bangs
+  FROM w LEFT JOIN c USING (doc_id)
 ), v AS (
   SELECT *, [{', '.join(vote(*rule) for rule in RULES.values())}] AS v FROM f
 ), p AS (
   SELECT list({{'v': v, 'n': n}} ORDER BY v) AS p FROM (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v)
 ), a AS (
-  SELECT list_reduce(list_transform(range({ROUNDS}), lambda i: {first}), lambda acc, i: [{', '.join(rate(i) for i in range(k))}], {first}) AS acc FROM p
+  SELECT list_reduce(list_transform(range({ROUNDS}), lambda i: []::DOUBLE[]), lambda acc, i: list_transform([{soft}], lambda s: [{', '.join(new)}])[1], []::DOUBLE[]) AS acc FROM p
 ), j AS (
-  SELECT *, {good("v", "acc")} AS q, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM v, a
+  SELECT *, {good("v")} / ({good("v")} + {bad("v")}) AS q, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM v, a
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= {KEEP} AS kept, round(q, 6) AS quality FROM j
 """

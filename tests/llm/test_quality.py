@@ -19,22 +19,28 @@ def brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def em(patterns, rounds=quality.ROUNDS):
-    """The same estimation in plain Python: {votes: documents} to accuracies."""
-    k = len(quality.RULES)
-    accuracy = [quality.FIRST_ACCURACY] * k
+def em(patterns, rounds=quality.ROUNDS, k=len(quality.RULES)):
+    """The same estimation in plain Python: {votes: documents} to the part of good ones and both accuracies of each rule."""
+    found, total = [], sum(patterns.values())
     for _ in range(rounds):
         soft = {}
         for votes in patterns:
-            good, bad = quality.GOOD, 1 - quality.GOOD
-            for v, a in zip(votes, accuracy, strict=True):
+            if not found:
+                soft[votes] = 1 - quality.FIRST if 0 in votes else quality.FIRST
+                continue
+            good, bad = found[0], 1 - found[0]
+            for v, a, b in zip(votes, found[1 : k + 1], found[k + 1 :], strict=True):
                 good *= {1: a, 0: 1 - a}.get(v, 1)
-                bad *= {0: a, 1: 1 - a}.get(v, 1)
+                bad *= {0: b, 1: 1 - b}.get(v, 1)
             soft[votes] = good / (good + bad)
-        right = [sum(n * (soft[v] if v[i] == 1 else 1 - soft[v]) for v, n in patterns.items() if v[i] >= 0) for i in range(k)]
-        cast = [sum(n for v, n in patterns.items() if v[i] >= 0) for i in range(k)]
-        accuracy = [max(quality.LEAST_ACCURACY, min(quality.MOST_ACCURACY, (r + quality.FIRST_ACCURACY) / (c + 1))) for r, c in zip(right, cast, strict=True)]
-    return accuracy
+        part = (sum(n * soft[v] for v, n in patterns.items()) + 1) / (total + 2)
+        found = [max(quality.LEAST_GOOD, min(quality.MOST_GOOD, part))]
+        for right, share in ((1, lambda v: soft[v]), (0, lambda v: 1 - soft[v])):
+            for i in range(k):
+                cast = {c: sum(n * share(v) for v, n in patterns.items() if v[i] == c) for c in (0, 1)}
+                rate = (cast[right] + 1) / (cast[0] + cast[1] + 2)
+                found.append(max(quality.LEAST_RIGHT, rate) if right else rate)
+    return found
 
 
 def test_base_and_em_match_plain_versions(spark):
@@ -45,7 +51,37 @@ def test_base_and_em_match_plain_versions(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.text)
     patterns = Counter(tuple(r[f"vote_{k}"] for k in quality.RULES) for r in rows)
     got = quality.estimate(voted)
-    assert all(abs(a - b) < 1e-9 for a, b in zip(got.values(), em(patterns), strict=True))
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, em(patterns), strict=True))
+    # Rules disagree, and none stands at a bound.
+    cast = [{r[f"vote_{k}"] for k in quality.RULES} for r in rows]
+    assert sum({0, 1} <= c for c in cast) > 50
+    assert quality.LEAST_GOOD < got[0] < quality.MOST_GOOD and all(quality.LEAST_RIGHT < x < 1 for x in got[1 : len(quality.RULES) + 1])
+
+
+def voted(spark, counts):
+    names = [f"vote_{k}" for k in RULES3]
+    rows = [v for v, n in counts.items() for _ in range(n)]
+    return spark.createDataFrame(rows, ", ".join(f"{x} int" for x in names))
+
+
+RULES3 = {"a": ("n_words", "x > 0", "x < 0"), "b": ("n_words", "x > 0", "x < 0"), "c": ("n_words", "x > 0", "x < 0")}
+
+
+def test_a_rules_own_data_decide_its_trust(spark):
+    """Two rules that agree are believed against a third; once the third one's votes go with another's, it is believed too."""
+    clean = {(1, 1, 1): 900, (0, 0, 1): 60, (0, 0, -1): 10, (1, 1, 0): 30}
+    joined = {(1, 1, 1): 900, (0, 0, 1): 40, (0, 0, 0): 30, (1, 0, 0): 25, (1, 1, 0): 5}
+    seen = {}
+    for name, counts in (("alone", clean), ("with others", joined)):
+        frame = voted(spark, counts)
+        found = quality.estimate(frame, RULES3)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(found, em(Counter(counts), k=3), strict=True))
+        q = {tuple(r)[:3]: r.q for r in frame.distinct().withColumn("q", quality.posterior(found, RULES3)).collect()}
+        seen[name] = found, q
+    (alone, q), (others, r) = seen["alone"], seen["with others"]
+    assert q[1, 1, 0] > 0.5 > q[0, 0, 1] and r[0, 0, 0] < 0.5 and r[1, 0, 0] < 0.5
+    assert others[3] > alone[3] and others[6] > alone[6] + 0.2  # rule c on good documents, on bad ones
+    assert abs(r[0, 0, 1] - q[0, 0, 1]) > 1e-6
 
 
 def test_junk_goes_and_clean_text_stays(spark):
