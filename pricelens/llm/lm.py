@@ -92,10 +92,9 @@ def _lows(code: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     if not low:
         return np.zeros(len(at), np.uint64)
     bit, lows = at * low, code["lows"]
-    byte, shift, raw = bit >> 3, (bit & 7).astype(np.uint64), np.zeros(len(at), np.uint64)
-    for k in range((low + 14) // 8):  # at most 8 bytes, as low is at most 56 and the shift 7
-        raw |= lows[byte + k].astype(np.uint64) << np.uint64(8 * k)
-    return raw >> shift & np.uint64((1 << low) - 1)
+    # Eight bytes from any byte on hold a value, as low is at most 56 and the shift 7.
+    raw = np.ndarray((len(lows) - 7,), np.dtype("<u8"), buffer=lows, strides=(1,))[bit >> 3]
+    return raw >> (bit & 7).astype(np.uint64) & np.uint64((1 << low) - 1)
 
 
 def access(code: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -113,8 +112,16 @@ def search(code: dict[str, np.ndarray], target: np.ndarray) -> np.ndarray:
     high = (target >> np.uint64(low)).astype(np.int64)
     asked = np.flatnonzero(high < int(code["zeros"][-1]))
     high, rest = high[asked], target[asked] & np.uint64((1 << low) - 1)
-    after = _select(code["words"], code["zeros"], high, True) - high
     begin = np.where(high > 0, _select(code["words"], code["zeros"], np.maximum(high - 1, 0), True) - np.maximum(high - 1, 0), 0)
+    # The bucket's values are the ones up to the next zero; more than the rest of a word has are counted by the zero itself.
+    place = begin + high
+    last = len(code["words"]) - 1
+    bits = ~(code["words"][np.minimum(place >> 6, last)] >> (place & 63).astype(np.uint64))
+    run = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+    after = begin + run
+    beyond = np.flatnonzero((run >= 64 - (place & 63)) | (place >> 6 > last))
+    if beyond.size:
+        after[beyond] = _select(code["words"], code["zeros"], high[beyond], True) - high[beyond]
     end = after.copy()
     while (active := np.flatnonzero(begin < end)).size:
         middle = (begin[active] + end[active]) >> 1
@@ -141,9 +148,12 @@ def level(parents: np.ndarray, words: np.ndarray) -> dict[str, dict[str, np.ndar
 
 
 def lookup(code: dict, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The place of each entry (parent, word), or -1: successor search relative to the parent's context."""
+    """The place of each entry (parent, word), or -1: successor search relative to the parent's context. Entries with the same
+    parent stand together, so that the parent is looked up once."""
     out = np.full(len(parents), -1, np.int64)
-    own, back = np.unique(parents, return_inverse=True)
+    first = np.ones(len(parents), bool)
+    first[1:] = parents[1:] != parents[:-1]
+    own, back = parents[first], np.cumsum(first) - 1
     head = search(code["heads"], own.astype(np.uint64))
     base, begin, end = (np.zeros(len(own), np.int64) for _ in range(3))
     have = np.flatnonzero(head >= 0)
@@ -209,16 +219,22 @@ def read(folder: str, name: str) -> dict:
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts, each text's words and then the end; and where each text begins."""
-    words, sizes = [], []
-    for text in texts:
-        own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and ASCII white space only
-        words += own
-        words.append(END)
-        sizes.append(len(own) + 1)
-    coded = pc.dictionary_encode(pa.array(words, pa.large_binary()))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return hashes[coded.indices.to_numpy()], np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    low = pc.ascii_lower(pc.fill_null(pa.array(texts, pa.large_string()), ""))
+    parts = pc.ascii_split_whitespace(low)  # white space at either end leaves an empty word
+    of = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    coded = pc.dictionary_encode(parts.flatten())
+    _, offsets, raw = coded.dictionary.buffers()
+    edge = np.frombuffer(offsets, np.int64)[: len(coded.dictionary) + 1] if len(coded.dictionary) else np.zeros(1, np.int64)
+    digest, raw, edges = xxhash.xxh64_intdigest, memoryview(raw or b""), edge.tolist()
+    hashes = np.fromiter((digest(raw[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)), np.uint64, len(edges) - 1)
+    codes = coded.indices.to_numpy()
+    word = np.diff(edge)[codes] > 0
+    starts = np.concatenate(([0], np.cumsum(np.bincount(of[word], minlength=len(texts)) + 1))).astype(np.int64)
+    out = np.full(starts[-1], digest(END), np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[starts[1:] - 1] = False
+    out[inner] = hashes[codes[word]]
+    return out, starts
 
 
 def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[list[str | None]]:
@@ -275,17 +291,23 @@ class Model:
         """Of each entry (parent, word) of a level its number (-1 if new), its log10 probability and its count (0 at the top)."""
         number, stored, count = np.full(len(parents), -1, np.int64), np.zeros(len(parents)), np.zeros(len(parents), np.int64)
         ask = np.flatnonzero((parents >= 0) & (words >= 0))
-        shard = shard_of(parents[ask], words[ask], self.shards)
+        ask = ask[_order(parents[ask], words[ask])]
+        first = np.ones(len(ask), bool)
+        first[1:] = (parents[ask[1:]] != parents[ask[:-1]]) | (words[ask[1:]] != words[ask[:-1]])
+        one, back = ask[first], np.cumsum(first) - 1  # each entry once, entries of a parent together
+        own, shown, seen = np.full(len(one), -1, np.int64), np.zeros(len(one)), np.zeros(len(one), np.int64)
+        shard = shard_of(parents[one], words[one], self.shards)
         turn = np.argsort(shard, kind="stable")
         edge = np.searchsorted(shard[turn], np.arange(self.shards + 1))
         for k in range(self.shards):
-            rows, code = ask[turn[edge[k] : edge[k + 1]]], read(self.folder, f"level{order}-{k}")
-            if len(rows) and code:
-                at = lookup(code, parents[rows], words[rows])
+            rows = turn[edge[k] : edge[k + 1]]
+            if len(rows) and (code := read(self.folder, f"level{order}-{k}")):
+                at = lookup(code, parents[one[rows]], words[one[rows]])
                 rows, at = rows[at >= 0], at[at >= 0]
-                number[rows], stored[rows] = at * self.shards + k, -STEP * code["quant"][at].astype(float)
+                own[rows], shown[rows] = at * self.shards + k, -STEP * code["quant"][at].astype(float)
                 if order < self.order:
-                    count[rows] = code["counts"][at]
+                    seen[rows] = code["counts"][at]
+        number[ask], stored[ask], count[ask] = own[back], shown[back], seen[back]
         return number, stored, count
 
     def walk(self, hashes: np.ndarray, starts: np.ndarray, order: int) -> dict[str, np.ndarray]:
@@ -306,10 +328,19 @@ class Model:
 # ---- Training --------------------------------------------------------------------------------------------------------
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """An order by these numbers, the first one first; two are sorted as one where they fit into 63 bits."""
+    if len(keys) == 2 and len(keys[0]):
+        high, low = (int(k.max()).bit_length() for k in keys)
+        if high + low < 64:
+            keys = ((keys[0].astype(np.int64) << low) | keys[1].astype(np.int64),)
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def _merge(parts: list[tuple[np.ndarray, ...]], keys: int) -> tuple[np.ndarray, ...]:
     """Rows with equal keys (the first arrays) made one: counts (the next array) are summed, of the rest any stays; sorted."""
     arrays = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    turn = np.lexsort(arrays[:keys][::-1])
+    turn = _order(*arrays[:keys])
     arrays = [a[turn] for a in arrays]
     new = np.ones(len(turn), bool)
     new[1:] = np.any([a[1:] != a[:-1] for a in arrays[:keys]], axis=0)

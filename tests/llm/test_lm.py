@@ -34,6 +34,22 @@ def test_levels_find_their_entries_alone(pairs):
     assert lm.lookup(code, every[:, 0], every[:, 1]).tolist() == [want.get((a, b), -1) for a, b in every.tolist()]
 
 
+def test_full_buckets_and_word_borders():
+    """Runs of values with the same high bits, longer than a machine word."""
+    x = np.array(sorted({*range(0, 3000, 1), *range(2**40, 2**40 + 500), *(2**45 + i * 2**30 for i in range(3000))}), np.uint64)
+    code = lm.encode(x)
+    assert (lm.search(code, x) == np.arange(len(x))).all() and (lm.access(code, np.arange(len(x))) == x).all()
+    assert (lm.search(code, np.arange(3000, 9000, dtype=np.uint64)) == -1).all()
+
+
+def test_tokens_of_odd_texts():
+    texts = [" The\tCAT\u00a0sat ", None, "", " \n", "É é A", "x" * 100_000]
+    hashes, starts = lm._tokens(texts)
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert hashes[a:b].tolist() == [lm.xxhash.xxh64_intdigest(lm.END if w is None else w) for w in words_of(text)]
+    assert len(lm._tokens([])[0]) == 0 and len(lm._tokens([None, ""])[0]) == 2
+
+
 def words_of(text):
     return [*(text or "").encode().lower().split(), None]
 
