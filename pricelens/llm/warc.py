@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import attach, lineage_cut, text_of
+from pricelens.llm.common import attach, lineage_cut, shared_folder, text_of
 
 MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
@@ -75,9 +75,15 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, block, at, value): what stands behind each magic, and before the first, in the files' order."""
+    """(file, block, at, value): what stands behind each magic, and before the first, in the files' order.
+
+    at numbers the rows of a file's split in their order, but how splits are dealt to tasks, and so its value, may differ from
+    one scan to the next. So the cuts are written to a table once, and all that follows reads that."""
     lines = spark.read.option("lineSep", MAGIC).text(folder)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    cuts = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    written = shared_folder(spark)
+    cuts.write.option("compression", "zstd").parquet(written)
+    return spark.read.parquet(written)
 
 
 def _field(name: str, headers: Column) -> Column:

@@ -32,6 +32,27 @@ def test_round_trip_with_traps(spark, tmp_path):
         assert r.payload is None if r.refers_to is not None else bytes(r.payload).decode() == (t or "")
 
 
+def test_other_splits_after_the_chain(spark, tmp_path, monkeypatch):
+    """Executors come and go: what was numbered before and what is read after must still agree."""
+    folder = f"file://{tmp_path}/warc"
+    rows = [(i, "u", f"<p>{i}</p>" + (f"text {TRAP} more" if i % 10 == 3 else "words " * (i % 50)), "x") for i in range(400)]
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA).repartition(8), folder)
+    chain = warc.chain
+
+    def changed(found):
+        judged = chain(found)
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")
+        return judged
+
+    monkeypatch.setattr(warc, "chain", changed)
+    spark.conf.set("spark.sql.files.minPartitionNum", "2")
+    try:
+        got = warc.read_archives(spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted((r.page_id, r.payload_digest) for r in got) == [(i, digest(t)) for i, _, t, _ in rows]
+
+
 def test_small_payloads_and_repeated_ids(spark, tmp_path):
     rows = [(1, "u", "aa", "x"), (2, "u", "aa", "x"), (3, "u", "aaaa", "x"), (4, "u", "aaaa", "x"), (3, "u", "aaaa", "x"), (None, "u", "aaaa", "x")]
     got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in trip(spark, tmp_path, rows, least_bytes=3))
