@@ -97,7 +97,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
 def groups(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in the edges (a, b): the smallest node that it reaches. Each round hooks a node's label
     to the smallest label beside it and then jumps once over labels; it ends when a round changes nothing."""
-    both = lineage_cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = lineage_cut(edges.select(ends.alias("e")).select("e.a", "e.b").distinct())
     label = lineage_cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         beside = attach(both, "b", label.withColumnRenamed("node", "b")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -119,7 +120,7 @@ def labelled(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
     label = groups(links(nodes, radius, crowd))
     named = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = lineage_cut(named.join(least, "label").select("fp", "component_id", "label"))
+    by_fp = lineage_cut(attach(named, "label", least, by=["fp"]).select("fp", "component_id", "label"))
     return attach(marked, "fp", by_fp)
 
 
