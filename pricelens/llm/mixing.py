@@ -71,35 +71,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     Needs doc_id, source and text; every other column is carried along (one that is named like a result is replaced).
     Null text and text without words have size 0 and are taken 0 times. A null source is a source, the last one. Rows
-    with the same doc_id are separate documents, next to each other in the order; a null doc_id is an id like another.
+    with the same doc_id are separate documents, next to each other in the order (those of one size are alike to it); a null
+    doc_id is an id like another. Very long texts are counted whole.
     An empty table gives an empty result. Reruns agree, as the order depends on ids alone."""
     docs = docs.drop("size", "source_size", "target", "taken")
-    skey, place, rng, before, size = fresh(docs.columns, "skey", "place", "rng", "before", "size")
+    skey, place, rng, before, size, width, words, salt = fresh([*docs.columns, "source_size", "target", "taken"], "skey", "place", "rng", "before", "size", "width", "words", "salt")
     digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15)
     rows = docs.withColumns({size: words_in("text"), skey: source_key("source"), place: F.conv(digits, 16, 10).cast("long")})
+    # Sums read the counts from here, so that texts are read once for them and once for the result.
+    counts = lineage_cut(rows.select(skey, place, size))
 
-    sizes = rows.groupBy(F.col(skey).alias("skey")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    sizes = counts.groupBy(F.col(skey).alias("skey")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = lineage_cut(source_targets(sizes, weights, share, most))
     ranges = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("n_docs") / RANGE_ROWS)).cast("double"))).cast("long")
     # Ranges are powers of two, so a range is the place divided by the width of one.
-    sources = sources.select(F.col("skey").alias(skey), "source_size", "target", (F.lit(1 << 60) / ranges).cast("long").alias("_width"))
-    if sources.count() <= BROADCAST_SOURCES:
-        placed = rows.join(F.broadcast(sources), skey)
-    else:
-        salt = fresh(docs.columns, "salt")[0]
-        copies = sources.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        placed = rows.withColumn(salt, F.pmod(F.col(place), F.lit(SALTS)).cast("int")).join(copies, [skey, salt]).drop(salt)
-    placed = placed.withColumn(rng, F.floor(F.col(place) / F.col("_width")).cast("long")).drop("_width")
-
-    sums = placed.groupBy(skey, rng).agg(F.sum(size).alias("_words"))
+    sources = sources.select(F.col("skey").alias(skey), "source_size", "target", (F.lit(1 << 60) / ranges).cast("long").alias(width))
+    few = sources.count() <= BROADCAST_SOURCES
+    copies = sources.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def placed(x: DataFrame) -> DataFrame:
+        joined = x.join(F.broadcast(sources), skey) if few else x.withColumn(salt, F.pmod(F.col(place), F.lit(SALTS)).cast("int")).join(copies, [skey, salt]).drop(salt)
+        return joined.withColumn(rng, F.floor(F.col(place) / F.col(width)).cast("long")).drop(width)
+
+    sums = placed(counts).groupBy(skey, rng).agg(F.sum(size).alias(words))
     upto = Window.partitionBy(skey).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(skey, rng, F.coalesce(F.sum("_words").over(upto), F.lit(0)).alias(before))
+    offsets = sums.select(skey, rng, F.coalesce(F.sum(words).over(upto), F.lit(0)).alias(before))
     inside = Window.partitionBy(skey, rng).orderBy(place, F.col("doc_id"), size).rowsBetween(Window.unboundedPreceding, 0)
     at = F.col(before) + F.sum(size).over(inside) - F.col(size)
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(F.try_divide(budget, F.col("source_size")))).otherwise(0).cast("long")
     last = F.greatest(F.lit(0), F.least(F.col(size), budget - passes * F.col("source_size") - at))
-    return placed.join(offsets, [skey, rng]).withColumn("taken", (passes * F.col(size) + last).cast("long")).drop(skey, place, rng, before)
+    found = placed(rows).join(offsets, [skey, rng]).withColumn("taken", (passes * F.col(size) + last).cast("long"))
+    return found.select(*docs.columns, F.col(size).alias("size"), "source_size", "target", "taken")
 
 
 def mixed(decided: DataFrame) -> DataFrame:

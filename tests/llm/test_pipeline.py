@@ -89,3 +89,7 @@ def test_mixing_edges(spark):
     for rows_of in by.values():
         assert sum(r.taken for r in rows_of) == round(rows_of[0].target) and all(r.taken <= 2 * r.size for r in rows_of)
     assert mixing.mix(frame.limit(0)).count() == 0
+    odd = frame.selectExpr("*", "1 AS _width", "2 AS width", "3 AS skey", "4 AS Place", "5 AS _words", "6 AS words", "7 AS salt")
+    got = mixing.mix(odd)
+    assert got.columns == [*[c for c in odd.columns if c != "size"], "size", "source_size", "target", "taken"]
+    assert {tuple(r)[4:11] for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
