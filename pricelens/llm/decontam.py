@@ -6,7 +6,8 @@ which gives at every word the length of the longest sequence ending there that s
 reaches a window (13 words, or a whole item that is shorter), the words of the match are hit.
 
 The automaton is broadcast, so it covers a bounded number of item words: a larger benchmark is cut into blocks of items,
-each with an automaton of its own, and the documents are streamed once for each block.
+each with an automaton of its own. The documents are then streamed once for each block, one job after the other, so that no
+worker ever holds more than one automaton; only the rows that are hit come out of such a job.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import fresh
+from pricelens.llm.common import fresh, lineage_cut
 
 WINDOW = 13
 #: A document is contaminated if at least this part of its words is hit: 1 / 20.
@@ -30,6 +31,10 @@ BLOCK_WORDS = 100_000
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
+#: The words of a text as it is, for Spark.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
@@ -175,14 +180,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
         return found("text")
 
-    columns = []
-    name = fresh(docs.columns, "found")[0]
-    for k, block in enumerate(blocks(benchmark, block_words)):
-        docs = docs.withColumn(f"{name}{k}", scan(spark.sparkContext.broadcast(Automaton(block, window))))
-        columns.append(f"{name}{k}")
-    hits = F.flatten(F.array(*[F.col(c)["spans"] for c in columns]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)["items"] for c in columns]))))
-    return docs.withColumns({"n_words": F.col(columns[0])["n_words"], "hits": merged(hits) if len(columns) > 1 else hits, "items": items}).drop(*columns)
+    row, name = fresh([*docs.columns, "spans", "items"], "row", "found")
+    parts = blocks(benchmark, block_words)
+    block, after = next(parts), next(parts, None)
+    if after is None:
+        found = docs.withColumn(name, scan(spark.sparkContext.broadcast(Automaton(block, window))))
+        return found.select(*docs.columns, F.col(name)["n_words"].alias("n_words"), F.col(name)["spans"].alias("hits"), F.col(name)["items"].alias("items"))
+    docs = lineage_cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts, hit = docs.select(row, "text"), None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        some = lineage_cut(texts.withColumn(name, scan(shared)).where(F.size(F.col(name)["spans"]) > 0).select(row, f"{name}.spans", f"{name}.items"))
+        shared.unpersist()
+        hit = some if hit is None else hit.unionByName(some)
+        block, after = after, next(parts, None)
+    whole = hit.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    counted = docs.join(whole, row, "left").withColumn("n_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    return counted.withColumn("hits", merged(none("hits", "array<struct<start:int,end:int>>"))).withColumn("items", none("items", "array<string>")).drop(row)
 
 
 def merged(spans):
@@ -219,10 +234,23 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def remove_spans(found: DataFrame) -> DataFrame:
-    """The text of rows of find_hits() without the hit spans."""
+    """The text of rows of find_hits() without the hit spans; rows without hits stay as they are."""
 
     @F.pandas_udf("string")
     def removed(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return found.withColumn("text", removed("text", "hits"))
+    return found.withColumn("text", F.when(F.size("hits") > 0, removed("text", "hits")).otherwise(F.col("text")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents whose hit words stay below the coverage limit, without their hit spans; the columns are those of docs.
+    n_chars, where docs has it, is counted anew for texts that were cut."""
+    row = fresh(["text"], "row")[0]
+    found = decontaminate(docs.select(F.struct(*docs.columns).alias(row), "text"), benchmark, window, coverage, block_words)
+    kept = remove_spans(found.where(~F.col("contaminated")))
+    given = {c: F.col("text") if c.lower() == "text" else F.col(row)[c] for c in docs.columns}
+    for f in docs.schema:
+        if f.name.lower() == "n_chars":
+            given[f.name] = F.when(F.size("hits") > 0, F.char_length("text").cast(f.dataType)).otherwise(F.col(row)[f.name])
+    return kept.select(*[x.alias(c) for c, x in given.items()])

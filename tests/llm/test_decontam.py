@@ -53,7 +53,9 @@ def test_operator_matches_brute_force_in_any_number_of_blocks(spark):
     frame, bench, docs, items = tables(spark)
     named = [(str(i), decontam.words_of(t)) for i, t in enumerate(items)]
     for block_words in (100_000, 30):
-        got = decontam.decontaminate(frame.withColumn("row", F.col("n_hit")), bench, block_words=block_words).collect()
+        odd = frame.withColumn("row", F.col("n_hit")).withColumn("found0", F.lit(7)).withColumn("found", F.lit(8))
+        got = decontam.decontaminate(odd, bench, block_words=block_words).collect()
+        assert {(r.found0, r.found) for r in got} == {(7, 8)}
         assert len(got) == len(docs)
         for r in got:
             words = decontam.words_of(docs[r.row][1])
@@ -71,6 +73,23 @@ def test_spans_are_cut_and_no_window_is_left(spark):
     assert re.sub(r"\s", "", decontam.cut("a b", [(0, 2)])) == ""
 
 
+def test_clean_drops_the_contaminated_and_cuts_the_rest(spark):
+    frame, bench, docs, items = tables(spark)
+    named = [(str(i), decontam.words_of(t)) for i, t in enumerate(items)]
+    for block_words in (100_000, 30):
+        kept = {}
+        for i, (_, text) in enumerate(docs):
+            words = decontam.words_of(text)
+            hit, _ = brute(words, named, 13)
+            if not hit or 20 * len(hit) < len(words):
+                kept[i] = [w for k, w in enumerate(words) if k not in hit]
+        out = decontam.clean(frame.withColumn("row", F.col("n_hit")).withColumn("n_chars", F.lit(-1)), bench, block_words=block_words)
+        assert out.columns == ["doc_id", "text", "n_hit", "row", "n_chars"]
+        got = {r.row: r for r in out.collect()}
+        assert {i: decontam.words_of(r.text) for i, r in got.items()} == kept
+        assert all(r.text == docs[i][1] and r.n_chars == -1 or r.n_chars == len(r.text) for i, r in got.items())
+
+
 def test_empty_tables(spark):
     frame, bench, docs, _ = tables(spark)
     assert decontam.decontaminate(frame.limit(0), bench).count() == 0
