@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import shared_folder
+from pricelens.llm.common import fresh, shared_folder
 
 #: Levels of the trie.
 ORDER = 3
@@ -434,7 +434,8 @@ def in_training(column: str = "doc_id"):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with n_tokens, n_known (tokens seen in training), base_score (unigram) and score (the trie's log10
-    probability of the text). A null or empty text is an end alone. Existing columns of these names are replaced."""
+    probability of the text). A null or empty text is an end alone; a very long one is scored whole. Each text is scored by
+    itself, so repeated rows and ties of doc_id agree. Existing columns of these names are replaced."""
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -447,4 +448,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 parts.append(pd.DataFrame({"n_tokens": np.diff(starts), "n_known": total((at["count"] > 0).astype(np.int64)), "base_score": total(at["base"]), "score": total(at["best"])}))
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_tokens": [], "n_known": [], "base_score": [], "score": []})
 
-    return docs.drop("n_tokens", "n_known", "base_score", "score").withColumn("_lm", judge("text")).select("*", "_lm.*").drop("_lm")
+    docs = docs.drop("n_tokens", "n_known", "base_score", "score")
+    found = fresh(docs.columns, "found")[0]
+    return docs.withColumn(found, judge("text")).select(*docs.columns, f"{found}.*")

@@ -122,4 +122,6 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "")], PUNCTUATION_FREE)
     model = lm.train(docs.limit(0))
     assert model.tokens == 0 and lm.score(docs, model).count() == 1
+    odd = docs.selectExpr("*", "5 AS _lm", "6 AS found")
+    assert lm.score(odd, model).select("_lm", "found").first() == (5, 6)
     assert lm.score(docs.limit(0), lm.train(docs)).count() == 0
