@@ -2,7 +2,7 @@
 
 1. toxicity: documents that score 0.7 or more go.
 2. near_duplicates: of each group of near copies the document with the smallest doc_id stays.
-3. decontamination: documents of which a twentieth or more are benchmark windows go.
+3. decontamination: documents of which a twentieth or more are benchmark windows go; others lose the words of such windows.
 4. personal_data: spans of personal data in the texts are replaced by their kind.
 5. mixing: size, source_size, target and taken are added, the words of each document that the training mix takes.
 
@@ -13,7 +13,6 @@ passes over a source repeat its documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pricelens.llm import decontam, mixing, pii, simhash, toxicity
 from pricelens.llm.common import lineage_cut, table
@@ -28,8 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
