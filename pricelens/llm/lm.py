@@ -7,8 +7,8 @@ entry, made monotone over the whole level by adding what the entry before ended
 low bits packed, high bits in unary with counts to jump by. A follower is found by a search between two pointers, relative
 to its context. Beside each entry stands its smoothed log probability, quantised to one byte.
 
-Counting, smoothing and coding run as Spark jobs over shards (an n-gram belongs to the shard of its hash, so that no shard
-grows with a common context); shards are files in the folder that all executors share, and scoring maps them into memory,
+Counting, smoothing and coding run as Spark jobs over shards (an n-gram belongs to the shard of its context's hash, that of a
+common context to the shard of its own hash, so that no shard grows with one); shards are files in the folder that all executors share, and scoring maps them into memory,
 so that tasks share pages and read only what they touch.
 
 Probabilities are smoothed by a Dirichlet prior: p(w | c) = (n(c w) + m p(w | c')) / (n(c) + m), where c' is the shorter
@@ -19,6 +19,7 @@ the count of a context is that of its n-gram, which its own level holds.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 from collections.abc import Iterator
 
@@ -27,8 +28,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import fresh, shared_folder
@@ -39,6 +41,8 @@ ORDER = 3
 PRIOR, ADDED = 4.0, 0.1
 #: Tokens that a task counts before it hands counts on, tokens that it scores at once, tokens to a shard, about.
 COUNT_TOKENS, SCORE_TOKENS, SHARD_TOKENS = 700_000, 200_000, 3_000_000
+#: A context that occurs more often than a shard's tokens divided by this has its entries in all shards.
+HOT = 64
 #: Bytes to a token, about.
 TOKEN_BYTES = 6
 #: The end of a text; no word has a space.
@@ -251,8 +255,11 @@ def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[list[str | N
         yield texts
 
 
-def shard_of(parents: np.ndarray, words: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (parents.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def shard_of(parents: np.ndarray, words: np.ndarray, totals: np.ndarray, shards: int, hot: int) -> np.ndarray:
+    """The shard of entries (parent, word): a parent's entries share one, so that its pointers are stored once; those of a parent
+    that occurs more than `hot` times (totals) are dealt by word."""
+    mixed = parents.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.where(totals > hot, mixed ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), mixed)
     return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
@@ -260,8 +267,8 @@ class Model:
     """A trained trie in a shared folder; opens its shards where it is used. An entry of a level above 1 is numbered by its
     place in its shard and the shard."""
 
-    def __init__(self, folder: str, shards: int, order: int):
-        self.folder, self.shards, self.order = folder, shards, order
+    def __init__(self, folder: str, shards: int, order: int, hot: int):
+        self.folder, self.shards, self.order, self.hot = folder, shards, order, hot
         self.tokens = self.words = 0
         self.starts = [0] * shards
 
@@ -287,8 +294,8 @@ class Model:
         """log10 of the unigram probability with added counts."""
         return np.log10((counts + ADDED) / (self.tokens + ADDED * (self.words + 1)))
 
-    def find(self, order: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each entry (parent, word) of a level its number (-1 if new), its log10 probability and its count (0 at the top)."""
+    def find(self, order: int, parents: np.ndarray, words: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each entry (parent, word) of a level, given its parent's count, its number (-1 if new), its log10 probability and its count (0 at the top)."""
         number, stored, count = np.full(len(parents), -1, np.int64), np.zeros(len(parents)), np.zeros(len(parents), np.int64)
         ask = np.flatnonzero((parents >= 0) & (words >= 0))
         ask = ask[_order(parents[ask], words[ask])]
@@ -296,7 +303,7 @@ class Model:
         first[1:] = (parents[ask[1:]] != parents[ask[:-1]]) | (words[ask[1:]] != words[ask[:-1]])
         one, back = ask[first], np.cumsum(first) - 1  # each entry once, entries of a parent together
         own, shown, seen = np.full(len(one), -1, np.int64), np.zeros(len(one)), np.zeros(len(one), np.int64)
-        shard = shard_of(parents[one], words[one], self.shards)
+        shard = shard_of(parents[one], words[one], totals[one], self.shards, self.hot)
         turn = np.argsort(shard, kind="stable")
         edge = np.searchsorted(shard[turn], np.arange(self.shards + 1))
         for k in range(self.shards):
@@ -319,7 +326,7 @@ class Model:
         before = lambda x, k, none: np.where(place >= k, np.roll(x, 1), none)
         best, context, total = base.copy(), before(number, 1, -1), before(count, 1, 0)
         for k in range(2, order + 1):
-            found, stored, own = self.find(k, context, number)
+            found, stored, own = self.find(k, context, number, total)
             best = np.where(found >= 0, stored, best + np.log10(PRIOR / (total + PRIOR)))
             context, total = before(found, k, -1), before(own, k, 0)
         return {"number": number, "count": count, "base": base, "best": best, "context": context, "total": total}
@@ -348,20 +355,38 @@ def _merge(parts: list[tuple[np.ndarray, ...]], keys: int) -> tuple[np.ndarray,
     return (*[a[first] for a in arrays[:keys]], np.add.reduceat(arrays[keys], first), *[a[first] for a in arrays[keys + 1 :]])
 
 
+def _fit(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest bytes that hold the largest."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns, the first one sorted, compressed: of the first the differences."""
-    columns = (np.diff(columns[0].view(np.uint64), prepend=np.uint64(0)), *columns[1:])
-    table, sink = pa.table({f"c{i}": c for i, c in enumerate(columns)}), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+    """Columns of unsigned numbers, the first one sorted, compressed: of the first the differences; each in few bytes, and those of
+    one rank together, as the high ones hardly vary."""
+    columns = tuple(_fit(c) for c in (np.diff(columns[0].view(np.uint64), prepend=np.uint64(0)), *columns[1:]))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    head = " ".join([str(len(columns[0])), *[c.dtype.str for c in columns]]).encode()
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    columns = [c.to_numpy() for c in pa.ipc.open_stream(blob).read_all().columns]
+    at = 4 + int.from_bytes(blob[:4], "little")
+    n, *kinds = blob[4:at].decode().split(" ")
+    flat, n, at, columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at:]), np.uint8), int(n), 0, []
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        columns.append(np.ascontiguousarray(flat[at : at + size].reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += size
     return (np.cumsum(columns[0], dtype=np.uint64), *columns[1:])
 
 
+def _heads(parents: np.ndarray) -> np.ndarray:
+    """Whether an entry is the first of its parent."""
+    out = np.ones(len(parents), bool)
+    out[1:] = parents[1:] != parents[:-1]
+    return out
+
+
 def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Model:
     """A trie over all tokens of the documents given, written below the shared folder.
 
@@ -369,11 +394,13 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     of a task are packed by shard, shuffled, and merged and coded by shard; nothing but a row to a shard comes to the driver."""
     texts = docs.select("text")
     size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES)).first()[0] or 0
-    model = Model(shared_folder(docs.sparkSession), max(1, -(-size // (TOKEN_BYTES * shard_tokens))), order)
+    model = Model(shared_folder(docs.sparkSession), max(1, -(-size // (TOKEN_BYTES * shard_tokens))), order, shard_tokens // HOT)
     for k in range(1, order + 1):
         counted = texts.mapInPandas(functools.partial(_count, model, k), "shard int, blob binary")
         coded = counted.repartition(model.shards, "shard").groupBy("shard").applyInPandas(_coder(model, k), "shard int, entries long, tokens long")
         made = {r.shard: r for r in coded.collect()}
+        del counted, coded
+        forget_shuffles(docs.sparkSession)
         if k == 1:
             words = [made[i].entries if i in made else 0 for i in range(model.shards)]
             model.starts = [sum(words[:i]) for i in range(model.shards)]
@@ -381,6 +408,12 @@ def train(docs: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS)
     return model
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so when the driver collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _count(model: Model, order: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Packed counts by shard: of words; or of entries, with the probability of their word in the shorter context."""
     for part in _batches(frames, COUNT_TOKENS * TOKEN_BYTES):
@@ -394,12 +427,15 @@ def _count(model: Model, order: int, frames: Iterator[pd.DataFrame]) -> Iterator
             at = model.walk(hashes, starts, order - 1)
             own = np.flatnonzero(at["context"] >= 0)
             rows = _merge([(at["context"][own], at["number"][own], np.ones(len(own), np.int32), at["total"][own], at["best"][own])], 2)
-            shard = shard_of(rows[0], rows[1], model.shards)
+            shard = shard_of(rows[0], rows[1], rows[3], model.shards, model.hot)
             turn = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[turn], np.arange(model.shards + 1))
             quantised = np.minimum(255, np.round(-rows[4] / STEP)).astype(np.uint8)
-            columns = (rows[0].astype(np.uint64), rows[1].astype(np.int64), rows[2].astype(np.int32), rows[3].astype(np.int64), quantised)
-            blobs = [(k, _pack(*[c[t] for c in columns])) for k in range(model.shards) if len(t := turn[edge[k] : edge[k + 1]])]
+            blobs = []
+            for k in range(model.shards):
+                if len(t := turn[edge[k] : edge[k + 1]]):
+                    # The parent's count stands at its first entry only.
+                    blobs.append((k, _pack(rows[0][t].astype(np.uint64), rows[1][t], rows[2][t], rows[3][t] * _heads(rows[0][t]), quantised[t])))
         yield pd.DataFrame(blobs, columns=["shard", "blob"])
 
 
@@ -415,12 +451,13 @@ def _code(model: Model, order: int, key: tuple, frame: pd.DataFrame) -> pd.DataF
     shard, parts = int(key[0]), [_unpack(b) for b in frame["blob"]]
     if order == 1:
         hashes, n = _merge([(p[0], p[1].astype(np.int64)) for p in parts], 1)
-        write(model.folder, f"level1-{shard}", {"hashes": encode(hashes), "counts": n})
+        write(model.folder, f"level1-{shard}", {"hashes": encode(hashes), "counts": _fit(n)})
         return pd.DataFrame({"shard": [shard], "entries": [len(hashes)], "tokens": [int(n.sum())]})
-    parents, words, n, total, shorter = _merge([(p[0], p[1], p[2].astype(np.int64), *p[3:]) for p in parts], 2)
+    parts = [(p[0], p[1], p[2].astype(np.int64), p[3][_heads(p[0])][np.cumsum(_heads(p[0])) - 1], p[4]) for p in parts]
+    parents, words, n, total, shorter = _merge(parts, 2)
     p = (n + PRIOR * 10.0 ** (-STEP * shorter)) / (total + PRIOR)
     arrays = level(parents, words) | {"quant": np.minimum(255, np.round(-np.log10(p) / STEP)).astype(np.uint8)}
-    write(model.folder, f"level{order}-{shard}", arrays | ({"counts": n} if order < model.order else {}))
+    write(model.folder, f"level{order}-{shard}", arrays | ({"counts": _fit(n)} if order < model.order else {}))
     return pd.DataFrame({"shard": [shard], "entries": [len(words)], "tokens": [int(n.sum())]})
 
 
