@@ -54,9 +54,9 @@ STEP = 0.04
 # ---- Elias-Fano sequences --------------------------------------------------------------------------------------------
 
 
-def encode(values: np.ndarray) -> dict[str, np.ndarray]:
-    """A rising sequence of unsigned numbers: packed low bits, high bits in unary, and the ones and zeros before each word of
-    the latter."""
+def encode(values: np.ndarray, searched: bool = True) -> dict[str, np.ndarray]:
+    """A rising sequence of unsigned numbers: packed low bits, high bits in unary, and the ones and, if it is to be searched,
+    the zeros before each word of the latter."""
     n = len(values)
     top = int(values[-1]) if n else 0
     low = min(56, max(0, (top // max(1, n)).bit_length() - 1))
@@ -65,7 +65,7 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     unary[high + np.arange(n)] = 1
     words = np.packbits(unary, bitorder="little").view(np.uint64)
     ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64))))
-    counts = {"ones": ones, "zeros": 64 * np.arange(len(ones)) - ones}
+    counts = {"ones": ones} | ({"zeros": 64 * np.arange(len(ones)) - ones} if searched else {})
     counts = {k: v.astype(np.uint32 if len(unary) < 2**32 else np.uint64) for k, v in counts.items()}
     packed = [np.zeros(0, np.uint8)]
     for at in range(0, n if low else 0, 1 << 16):  # whole bytes each time, in bounded memory
@@ -148,7 +148,7 @@ def level(parents: np.ndarray, words: np.ndarray) -> dict[str, dict[str, np.ndar
     ends = words[begins[1:].astype(np.int64) - 1].astype(np.uint64) + np.uint64(1)
     base = np.concatenate(([np.uint64(0)], np.cumsum(ends)[:-1])).astype(np.uint64) if len(heads) else np.zeros(0, np.uint64)
     sizes = np.diff(begins.astype(np.int64))
-    return {"heads": encode(heads.astype(np.uint64)), "begins": encode(begins), "words": encode(words.astype(np.uint64) + np.repeat(base, sizes)), "bases": encode(base)}
+    return {"heads": encode(heads.astype(np.uint64)), "begins": encode(begins, False), "words": encode(words.astype(np.uint64) + np.repeat(base, sizes)), "bases": encode(base, False)}
 
 
 def lookup(code: dict, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
