@@ -114,9 +114,9 @@ SELECT band, label, count(model_id) AS n, coalesce(max(model_id) FILTER (gated_i
   round(min(price) FILTER (price > 0), 6) AS cheapest_price, coalesce(string_agg(model_id, ',' ORDER BY place) FILTER (place <= 8), '') AS member_ids
 FROM b LEFT JOIN m USING (band) GROUP BY band, label"""
 
-CHEAPEST_ABOVE = f"""WITH {_ELIGIBLE}, t AS (SELECT threshold::DOUBLE AS threshold, model_id, round(price, 4) AS price,
-  row_number() OVER (PARTITION BY threshold ORDER BY e.price, composite_deal_score DESC, intelligence_score DESC, model_id) AS n FROM e, (VALUES (25.0), (40.0), (50.0)) v(threshold) WHERE price > 0 AND intelligence_score >= threshold)
-SELECT threshold, model_id, price FROM t WHERE n = 1"""
+CHEAPEST_ABOVE = f"""WITH {_ELIGIBLE}, w(threshold) AS (VALUES (25.0::DOUBLE), (40.0::DOUBLE), (50.0::DOUBLE), (1000.0::DOUBLE)), t AS (SELECT threshold, model_id, round(price, 4) AS price,
+  row_number() OVER (PARTITION BY threshold ORDER BY CASE WHEN e.price > 0 THEN e.price ELSE 'inf'::DOUBLE END, composite_deal_score DESC, intelligence_score DESC, model_id) AS n FROM e, w WHERE price IS NOT NULL AND band IS NOT NULL AND intelligence_score >= threshold)
+SELECT w.threshold, model_id, price FROM w LEFT JOIN (SELECT * FROM t WHERE n = 1) b ON b.threshold = w.threshold"""
 
 _DAYS = f"""hist AS ({HIST}), days AS (SELECT snapshot_date, count(*) FILTER (price > 0 AND intelligence_score IS NOT NULL) AS priced, threshold, min(price) FILTER (price > 0 AND intelligence_score >= threshold) AS cheapest,
   median(price) FILTER (price > 0 AND intelligence_score >= threshold) AS median, count(price) FILTER (price > 0 AND intelligence_score >= threshold) AS n
@@ -140,7 +140,7 @@ SELECT snapshot_date, before, coalesce(date_diff('day', before, snapshot_date) >
 _SNAP = f"""raw AS ({SNAP}), snap AS (SELECT *, list_distinct([concat('src', low_source), concat('src', top_source)]) AS pages FROM raw),
 days AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM snap)),
 cmp AS (SELECT coalesce(t.snapshot_date, p.snapshot_date) AS snapshot_date, coalesce(t.model_id, p.model_id) AS model_id, t.model_id IS NOT NULL AS has_t, p.model_id IS NOT NULL AS has_p,
-  t.intelligence_score AS ti, p.intelligence_score AS pi, t.price AS tp, p.price AS pp, t.output_speed_tps AS ts, p.output_speed_tps AS ps, p.pages AS ppages
+  t.intelligence_score AS ti, p.intelligence_score AS pi, t.price AS tp, p.price AS pp, t.output_speed_tps AS ts, p.output_speed_tps AS ps, p.pages AS ppages, coalesce(t.name, p.name) AS name
   FROM (SELECT s.* FROM snap s JOIN days USING (snapshot_date) WHERE before IS NOT NULL) t FULL OUTER JOIN (
     SELECT days.snapshot_date, s.* EXCLUDE (snapshot_date) FROM snap s JOIN days ON s.snapshot_date = days.before) p ON t.model_id = p.model_id AND t.snapshot_date = p.snapshot_date),
 src AS (SELECT snapshot_date, source, count(*) AS n FROM (SELECT snapshot_date, unnest(pages) AS source FROM snap) GROUP BY ALL),
@@ -152,24 +152,38 @@ guard AS (SELECT snapshot_date, count(*) FILTER (has_p) AS n_before, count(*) FI
 _EVENTS = f"""{_SNAP}, both_days AS (SELECT * FROM cmp WHERE has_t AND has_p), fast AS (
   SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY abs((ts - ps) / ps) DESC, model_id) AS n FROM both_days WHERE ts <> 0 AND ps <> 0 AND abs((ts - ps) / ps) >= 0.25),
 ev AS (
-  SELECT snapshot_date, model_id, 'new' AS kind, NULL AS direction, NULL::DOUBLE AS old, ti AS new, NULL::DOUBLE AS pct, NULL::DOUBLE AS delta FROM cmp WHERE NOT has_p
-  UNION ALL SELECT snapshot_date, model_id, 'removed', NULL, pi, NULL, NULL, NULL FROM gone JOIN guard USING (snapshot_date) WHERE open_removal AND NOT n_left > greatest(20, floor(0.05 * n_before))
-  UNION ALL SELECT snapshot_date, model_id, 'price', CASE WHEN tp > pp THEN 'hike' ELSE 'cut' END, round(pp, 6), round(tp, 6), round(round(100 * ((tp - pp) / pp), 6), 1), NULL FROM both_days WHERE tp <> 0 AND pp > 0 AND abs((tp - pp) / pp) >= 0.05
-  UNION ALL SELECT snapshot_date, model_id, 'intelligence', CASE WHEN ti > pi THEN 'up' ELSE 'down' END, pi, ti, NULL, round(round(ti - pi, 6), 1) FROM both_days WHERE abs(ti - pi) >= 0.5
-  UNION ALL SELECT snapshot_date, model_id, 'speed', CASE WHEN ts > ps THEN 'up' ELSE 'down' END, round(ps), round(ts), round(round(100 * ((ts - ps) / ps), 6), 1), NULL FROM fast WHERE n <= 15)"""
+  SELECT snapshot_date, model_id, 'new' AS kind, NULL AS direction, NULL::DOUBLE AS old, ti AS new, NULL::DOUBLE AS pct, NULL::DOUBLE AS delta, name, tp AS price, NULL::DOUBLE AS composite FROM cmp WHERE NOT has_p
+  UNION ALL SELECT snapshot_date, model_id, 'removed', NULL, pi, NULL, NULL, NULL, name, pp, NULL FROM gone JOIN guard USING (snapshot_date) WHERE open_removal AND NOT n_left > greatest(20, floor(0.05 * n_before))
+  UNION ALL SELECT snapshot_date, model_id, 'price', CASE WHEN tp > pp THEN 'hike' ELSE 'cut' END, round(pp, 6), round(tp, 6), round(round(100 * ((tp - pp) / pp), 6), 1), NULL, name, NULL, NULL FROM both_days WHERE tp <> 0 AND pp > 0 AND abs((tp - pp) / pp) >= 0.05
+  UNION ALL SELECT snapshot_date, model_id, 'intelligence', CASE WHEN ti > pi THEN 'up' ELSE 'down' END, pi, ti, NULL, round(round(ti - pi, 6), 1), name, NULL, NULL FROM both_days WHERE abs(ti - pi) >= 0.5
+  UNION ALL SELECT snapshot_date, model_id, 'speed', CASE WHEN ts > ps THEN 'up' ELSE 'down' END, round(ps), round(ts), round(round(100 * ((ts - ps) / ps), 6), 1), NULL, name, NULL, NULL FROM fast WHERE n <= 15)"""
 
 CHANGE_EVENTS = f"WITH {_EVENTS} SELECT * FROM ev"
 CHANGE_COUNTS = f"WITH {_EVENTS} SELECT snapshot_date, kind, direction, count(*) AS n FROM ev GROUP BY ALL"
-CHANGE_SUMMARY = f"""WITH {_SNAP} SELECT snapshot_date, before, coalesce(n_before, 0) AS n_before, coalesce(n_left, 0) AS n_left,
-  CASE WHEN before IS NULL THEN 'first_run' WHEN n_left > greatest(20, floor(0.05 * n_before)) THEN 'degraded' WHEN n_lost > 0 THEN 'partial' ELSE 'ok' END AS data_quality FROM days LEFT JOIN guard USING (snapshot_date)"""
-CHANGE_DIGEST = f"""WITH {_EVENTS}, k(section) AS (VALUES ('price'), ('new'), ('removed'), ('intelligence'), ('speed'), ('rank'), ('frontier')), c AS (
-  SELECT snapshot_date, kind, CASE WHEN kind = 'speed' THEN least(5, count(*)) ELSE count(*) END AS n FROM ev GROUP BY snapshot_date, kind)
-SELECT d.snapshot_date, section, greatest(1, coalesce(n, 0)) AS lines, CAST(n IS NULL AS INTEGER) AS is_none FROM (SELECT DISTINCT snapshot_date FROM ev) d, k LEFT JOIN c ON c.snapshot_date = d.snapshot_date AND c.kind = k.section"""
+_QUALITY = "CASE WHEN before IS NULL THEN 'first_run' WHEN n_left > greatest(20, floor(0.05 * n_before)) THEN 'degraded' WHEN n_lost > 0 THEN 'partial' ELSE 'ok' END"
+_SUMMARY = f"""summed AS (SELECT days.snapshot_date, before, coalesce(n_before, 0) AS n_before, coalesce(n_left, 0) AS n_left, {_QUALITY} AS data_quality,
+  CASE WHEN {_QUALITY} = 'partial' THEN array_to_string(list_sort(lost.gone), ', ') ELSE '' END AS sources_out FROM days LEFT JOIN guard ON guard.snapshot_date = days.snapshot_date LEFT JOIN lost ON lost.snapshot_date = days.snapshot_date)"""
+CHANGE_SUMMARY = f"WITH {_SNAP}, {_SUMMARY} SELECT * FROM summed"
+_LABEL = "CASE WHEN {x} IS NULL THEN 'n/a' WHEN {x} < 1 THEN printf('$%.3f', {x}) ELSE printf('$%.2f', {x}) END"
+CHANGE_DIGEST = f"""WITH {_EVENTS}, {_SUMMARY}, o AS (
+  SELECT *, row_number() OVER (PARTITION BY snapshot_date, kind ORDER BY CASE kind WHEN 'price' THEN abs(pct) WHEN 'speed' THEN abs(pct) WHEN 'intelligence' THEN abs(delta) ELSE 0 END DESC, model_id) AS place FROM ev
+), l AS (
+  SELECT snapshot_date, CAST(place AS INTEGER) AS place, CASE kind WHEN 'price' THEN 1 WHEN 'new' THEN 2 WHEN 'intelligence' THEN 3 WHEN 'removed' THEN 5 ELSE 6 END AS section_no,
+    CASE kind WHEN 'price' THEN concat(name, ': ', {_LABEL.format(x="old")}, ' -> ', {_LABEL.format(x="new")}, ' (', CASE WHEN round_even(pct, 0) >= 0 THEN '+' ELSE '' END, CAST(CAST(round_even(pct, 0) AS INTEGER) AS VARCHAR), '%, ', direction, ')')
+      WHEN 'new' THEN concat(name, ': intelligence ', CAST(new AS VARCHAR), ', price ', {_LABEL.format(x="price")}, ', deal None')
+      WHEN 'intelligence' THEN concat(name, ': ', CAST(old AS VARCHAR), ' -> ', CAST(new AS VARCHAR), ' (', CASE WHEN delta >= 0 THEN '+' ELSE '' END, printf('%.1f', delta), ' pts, ', direction, ')')
+      WHEN 'removed' THEN concat(name, ' (was intelligence ', CAST(old AS VARCHAR), ', ', {_LABEL.format(x="price")}, ')')
+      ELSE concat(name, ': ', CAST(CAST(old AS INTEGER) AS VARCHAR), ' -> ', CAST(CAST(new AS INTEGER) AS VARCHAR), ' t/s (', CASE WHEN round_even(pct, 0) >= 0 THEN '+' ELSE '' END, CAST(CAST(round_even(pct, 0) AS INTEGER) AS VARCHAR), '%)') END AS line
+  FROM o WHERE kind <> 'speed' OR place <= 5
+), k(section_no, section) AS (VALUES (1, 'PRICE CHANGES'), (2, 'NEW MODELS'), (3, 'INTELLIGENCE CHANGES'), (4, 'RANK / FRONTIER MOVES'), (5, 'REMOVED MODELS'), (6, 'SPEED CHANGES'))
+SELECT d.snapshot_date, k.section_no, section, coalesce(place, 0) AS place, coalesce(line, 'none') AS line FROM summed d CROSS JOIN k LEFT JOIN l ON l.snapshot_date = d.snapshot_date AND l.section_no = k.section_no
+UNION ALL SELECT snapshot_date, 0, 'STATUS', 1, concat('Changes since ', coalesce(CAST(before AS VARCHAR), 'N/A'), '. Data quality: ', CASE WHEN data_quality = 'first_run' THEN 'ok' ELSE data_quality END,
+  CASE WHEN sources_out <> '' THEN concat(', unavailable sources: ', sources_out) ELSE '' END, '.', CASE WHEN before IS NULL THEN ' First snapshot.' ELSE '' END) FROM summed"""
 CHURN = f"""WITH {_SNAP} SELECT snapshot_date, count(*) FILTER (has_p) AS n_before, count(*) FILTER (has_t) AS n_now, count(*) FILTER (has_t AND has_p) AS common, count(*) FILTER (NOT has_p) AS added, count(*) FILTER (NOT has_t) AS removed FROM cmp GROUP BY snapshot_date"""
 SOURCE_COUNTS = f"WITH {_SNAP} SELECT snapshot_date, source, n FROM src"
 FIELD_NOISE = f"""WITH {_SNAP}, f AS (SELECT 'intelligence_score' AS field, ti AS new, pi AS old FROM cmp UNION ALL SELECT 'price', tp, pp FROM cmp UNION ALL SELECT 'output_speed_tps', ts, ps FROM cmp),
 m AS (SELECT field, abs(100 * (new - old) / old) AS move FROM f WHERE new IS NOT NULL AND old IS NOT NULL AND old <> 0)
-SELECT field, count(*) AS pairs, round(100.0 * count(*) FILTER (move > 0) / count(*), 2) AS changed_pct, round(quantile_cont(move, 0.5) FILTER (move > 0), 4) AS median, round(quantile_cont(move, 0.95) FILTER (move > 0), 4) AS p95, round(max(move), 4) AS largest FROM m GROUP BY field"""
+SELECT field, count(*) AS pairs, round(100.0 * count(*) FILTER (move > 0) / count(*), 2) AS changed_pct, round(quantile_cont(move, 0.5) FILTER (move > 0), 4) AS median, round(quantile_cont(move, 0.9) FILTER (move > 0), 4) AS p90, round(quantile_cont(move, 0.95) FILTER (move > 0), 4) AS p95, round(quantile_cont(move, 0.99) FILTER (move > 0), 4) AS p99, round(max(move), 4) AS largest FROM m GROUP BY field"""
 
 MERGED_CATALOG = f"""WITH raws AS ({RAWS}), r AS (SELECT *, CASE source WHEN 'leaderboard' THEN 0 WHEN 'coding' THEN 1 WHEN 'arena-text' THEN 3 WHEN 'openrouter' THEN 5 ELSE 50 END AS prio,
   trim(regexp_replace(lower(regexp_replace(regexp_replace(name, ' \\(Nov 24\\)', ''), ' v1\\.2', '')), '[^a-z0-9 ]', '', 'g')) AS norm FROM raws),
@@ -230,12 +244,12 @@ FRONTIER_AND_RANK_EVENTS = (
     RESCORED_HISTORY.rpartition("\nSELECT s.snapshot_date")[0]
     + """, days AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM raw)
 ), x AS (
-  SELECT a.snapshot_date, a.model_id, t.frontier_rank_intel AS place, q.frontier_rank_intel AS was FROM raw a JOIN days ON days.snapshot_date = a.snapshot_date
-  JOIN raw b ON b.snapshot_date = days.before AND b.model_id = a.model_id LEFT JOIN f t ON t.snapshot_date = a.snapshot_date AND t.model_id = a.model_id LEFT JOIN f q ON q.snapshot_date = days.before AND q.model_id = a.model_id
+  SELECT days.snapshot_date, b.model_id, a.model_id IS NOT NULL AS here, t.frontier_rank_intel AS place, q.frontier_rank_intel AS was FROM days JOIN raw b ON b.snapshot_date = days.before
+  LEFT JOIN raw a ON a.snapshot_date = days.snapshot_date AND a.model_id = b.model_id LEFT JOIN f t ON t.snapshot_date = days.snapshot_date AND t.model_id = b.model_id LEFT JOIN f q ON q.snapshot_date = days.before AND q.model_id = b.model_id
 ), y AS (
   SELECT *, coalesce(place <= 20 AND was IS NOT NULL AND ((place <= 10 AND was > 10) OR abs(place - was) >= 3), false) AS moved, coalesce(was <= 10 AND coalesce(place > 10, true), false) AS dropped FROM x
 )
-SELECT snapshot_date, model_id, 'frontier' AS kind, CASE WHEN place IS NOT NULL THEN 'entered' ELSE 'left' END AS direction, NULL::DOUBLE AS old, NULL::DOUBLE AS new FROM x WHERE (place IS NULL) <> (was IS NULL)
+SELECT snapshot_date, model_id, 'frontier' AS kind, CASE WHEN place IS NOT NULL THEN 'entered' ELSE 'left' END AS direction, NULL::DOUBLE AS old, NULL::DOUBLE AS new FROM x WHERE here AND (place IS NULL) <> (was IS NULL)
 UNION ALL
 SELECT snapshot_date, model_id, 'rank', CASE WHEN dropped AND NOT moved THEN 'left_top' WHEN place <= 10 AND was > 10 THEN 'entered_top' WHEN place < was THEN 'up' ELSE 'down' END, was::DOUBLE, place::DOUBLE FROM y WHERE moved OR dropped"""
 )

@@ -117,7 +117,7 @@ def band_members(spark, sf_dir):
 
 @query
 def cheapest_above(spark, sf_dir):
-    return bands.cheapest_above(scored(spark, sf_dir))
+    return bands.cheapest_above(scored(spark, sf_dir), (*bands.THRESHOLDS, 1000.0))
 
 
 @query
@@ -166,8 +166,8 @@ def change_counts(spark, sf_dir):
 
 @query
 def change_digest(spark, sf_dir):
-    lines = changes.digest(changes.change_events(views.snapshots(spark, sf_dir)))
-    return lines.groupBy("snapshot_date", "section").agg(F.count(F.lit(1)).alias("lines"), F.max(F.when(F.col("line") == "none", 1).otherwise(0)).alias("is_none"))
+    rows = views.snapshots(spark, sf_dir)
+    return changes.digest(changes.change_events(rows), changes.change_summary(rows))
 
 
 @query

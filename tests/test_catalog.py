@@ -78,7 +78,7 @@ def test_bands_leader_cheapest_and_thresholds(spark):
     assert (got["flagship"].leader_id, got["flagship"].cheapest_id, got["flagship"].n) == ("b", "a", 2)
     assert got["budget"].n == 0 and got["budget"].member_ids == [] and got["workhorse"].member_ids == ["c"]
     above = {r.threshold: r.model_id for r in bands.cheapest_above(spark.createDataFrame(rows[1:], schema)).collect()}
-    assert above == {25.0: "c", 40.0: "b"}
+    assert above == {25.0: "c", 40.0: "b", 50.0: None}
 
 
 def day(n):
@@ -123,6 +123,33 @@ def test_outage_guards(spark):
     assert [r.data_quality for r in changes.change_summary(many).orderBy("snapshot_date").collect()] == ["first_run", "degraded"]
 
 
+def test_a_gone_item_of_the_top_ten_has_left_it(spark):
+    """m3 has no row today; under another scoring version there are no rank events at all."""
+    day = lambda n: datetime.date(2026, 1, 1 + n)
+    today = [m for m in ("m%d" % i for i in range(1, 14)) if m != "m3"]
+    schema = "snapshot_date date, model_id string, name string, intelligence_score double, price double, output_speed_tps double, source_pages array<string>, frontier_rank_intel int, is_frontier_intel boolean, scoring_version int"
+    for version in (2, 3):
+        rows = [(day(0), f"m{i}", f"m{i}", 1.0, 1.0, 1.0, ["a"], i, True, 2) for i in range(1, 13)]
+        rows += [(day(1), m, m, 1.0, 1.0, 1.0, ["a"], i + 1, True, version) for i, m in enumerate(today)]
+        got = {(r.model_id, r.kind): (r.direction, r.old, r.new) for r in changes.change_events(spark.createDataFrame(rows, schema)).collect()}
+        want = {("m3", "removed"): (None, 1.0, None), ("m13", "new"): (None, None, 1.0)}
+        if version == 2:
+            want |= {("m3", "rank"): ("left_top", 3.0, None), ("m11", "rank"): ("entered_top", 11.0, 10.0)}
+        assert got == want
+
+
+def test_digest_has_all_sections_on_quiet_days_too(spark):
+    day = lambda n: datetime.date(2026, 1, 1 + n)
+    rows = [(day(n), "a", "Model A", 40.0, p, s, ["x"]) for n, p, s in ((0, 0.5, 10.0), (1, 0.5, 10.0), (2, 2.0, 20.0))] + [(day(2), "b", "Model B", 30.5, 1.25, 1.0, ["x"])]
+    rows = spark.createDataFrame(rows, "snapshot_date date, model_id string, name string, intelligence_score double, price double, output_speed_tps double, source_pages array<string>")
+    found = changes.digest(changes.change_events(rows), changes.change_summary(rows)).orderBy("snapshot_date", "section_no", "place").collect()
+    by_day = {n: [r.line for r in found if r.snapshot_date == day(n)] for n in range(3)}
+    assert by_day[0] == ["Changes since N/A. Data quality: ok. First snapshot.", *["none"] * 6]
+    assert by_day[1] == ["Changes since 2026-01-01. Data quality: ok.", *["none"] * 6]
+    assert by_day[2] == ["Changes since 2026-01-02. Data quality: ok.", "Model A: $0.500 -> $2.00 (+300%, hike)", "Model B: intelligence 30.5, price $1.25, deal None", "none", "none", "none", "Model A: 10 -> 20 t/s (+100%)"]
+    assert [r.section for r in found[:7]] == ["STATUS", *[name for name, _ in changes.SECTIONS]]
+
+
 def test_rank_moves(spark):
     order = [["m%d" % i for i in range(1, 13)], "m1 m2 m4 m6 m7 m5 m8 m12 m9 m10 m11".split()]
     rows = [(day(n), m, m, 1.0, 1.0, 1.0, ["a"], i + 1, True) for n, ms in enumerate(order) for i, m in enumerate(ms)] + [(day(1), "m3", "m3", 1.0, 1.0, 1.0, ["a"], None, False)]
