@@ -210,7 +210,8 @@ SNAPSHOT_DATES = f"WITH raw AS ({SNAP}) SELECT DISTINCT snapshot_date FROM raw"
 JSON_HISTORY_ROUNDTRIP = f"WITH raw AS ({SNAP}) SELECT snapshot_date, count(*) AS n, round(sum(price), 3) AS price FROM raw GROUP BY snapshot_date"
 PREVIOUS_SNAPSHOT = f"WITH raw AS ({SNAP}) SELECT snapshot_date, model_id, price FROM raw WHERE snapshot_date = (SELECT max(snapshot_date) FROM raw WHERE snapshot_date < DATE '2000-06-15')"
 
-API_ITEMS = """SELECT concat('openai/p', p_partkey) AS item_id, p_name AS name, 'OpenAI' AS creator, round((p_partkey % 90) * 1e6, 4)::DOUBLE AS price_input, NULL::DOUBLE AS price_output,
+API_ITEMS = """SELECT concat(['openai/', 'Anthropic/', 'z-ai/', 'nobody/', 'openai', 'tülu3/'][p_partkey % 6 + 1], 'p', p_partkey) AS item_id, p_name AS name,
+  CASE p_partkey % 6 WHEN 0 THEN 'OpenAI' WHEN 1 THEN 'Anthropic' WHEN 2 THEN 'Z.ai' WHEN 5 THEN 'Ai2' END AS creator, round((p_partkey % 90) * 1e6, 4)::DOUBLE AS price_input, NULL::DOUBLE AS price_output,
   CASE WHEN p_partkey > 0 THEN p_partkey END AS context_k FROM part WHERE p_partkey % 7 > 1 AND p_partkey % 90 > 0"""
 
 MARKDOWN_LEADERBOARD = """SELECT concat('p-', p_partkey) AS model_id, concat('Part ', p_partkey) AS name, p_brand AS creator, 1000 + p_partkey % 700 AS score, p_partkey % 9 AS ci, 1.0::DOUBLE AS price_input, (p_partkey % 30)::DOUBLE AS price_output FROM part"""

@@ -280,7 +280,8 @@ def api_items(spark, sf_dir):
     """API documents of up to 50 items each, made of the parts, read back."""
     k = F.col("p_partkey")
     price = F.when(k % 7 == 0, F.lit("oops")).when(k % 7 == 1, F.lit("0")).otherwise((k % 90).cast("string"))
-    item = F.struct(F.concat(F.lit("openai/p"), k.cast("string")).alias("id"), F.col("p_name").alias("name"), (k * 1000.0).alias("context_length"), F.struct(price.alias("prompt"), F.lit("0").alias("completion")).alias("pricing"))
+    maker = F.element_at(F.array(*map(F.lit, ("openai/", "Anthropic/", "z-ai/", "nobody/", "openai", "tülu3/"))), (k % 6 + 1).cast("int"))
+    item = F.struct(F.concat(maker, F.lit("p"), k.cast("string")).alias("id"), F.col("p_name").alias("name"), (k * 1000.0).alias("context_length"), F.struct(price.alias("prompt"), F.lit("0").alias("completion")).alias("pricing"))
     docs = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.floor(k / 50).alias("doc")).agg(F.collect_list(item).alias("data"))
     return landed.api_items(docs.select(F.to_json(F.struct("data")).alias("body")))
 
