@@ -164,7 +164,7 @@ _QUALITY = "CASE WHEN before IS NULL THEN 'first_run' WHEN n_left > greatest(20,
 _SUMMARY = f"""summed AS (SELECT days.snapshot_date, before, coalesce(n_before, 0) AS n_before, coalesce(n_left, 0) AS n_left, {_QUALITY} AS data_quality,
   CASE WHEN {_QUALITY} = 'partial' THEN array_to_string(list_sort(lost.gone), ', ') ELSE '' END AS sources_out FROM days LEFT JOIN guard ON guard.snapshot_date = days.snapshot_date LEFT JOIN lost ON lost.snapshot_date = days.snapshot_date)"""
 CHANGE_SUMMARY = f"WITH {_SNAP}, {_SUMMARY} SELECT * FROM summed"
-_LABEL = "CASE WHEN {x} IS NULL THEN 'n/a' WHEN {x} < 1 THEN printf('$%.3f', {x}) ELSE printf('$%.2f', {x}) END"
+_LABEL = "CASE WHEN {x} IS NULL THEN 'n/a' WHEN round({x}, 3) < 1 THEN printf('$%.3f', round({x}, 3)) ELSE concat('$', CAST(round(CAST(round({x}, 3) AS DECIMAL(12, 3)), 2) AS DECIMAL(12, 2))) END"
 CHANGE_DIGEST = f"""WITH {_EVENTS}, {_SUMMARY}, o AS (
   SELECT *, row_number() OVER (PARTITION BY snapshot_date, kind ORDER BY CASE kind WHEN 'price' THEN abs(pct) WHEN 'speed' THEN abs(pct) WHEN 'intelligence' THEN abs(delta) ELSE 0 END DESC, model_id) AS place FROM ev
 ), l AS (
