@@ -40,7 +40,7 @@ ORDER = 3
 #: Weight of the shorter context, in tokens; the unigram's added count.
 PRIOR, ADDED = 4.0, 0.1
 #: Tokens that a task counts before it hands counts on, tokens that it scores at once, tokens to a shard, about.
-COUNT_TOKENS, SCORE_TOKENS, SHARD_TOKENS = 700_000, 200_000, 3_000_000
+COUNT_TOKENS, SCORE_TOKENS, SHARD_TOKENS = 700_000, 700_000, 3_000_000
 #: A context that occurs more often than a shard's tokens divided by this has its entries in all shards.
 HOT = 64
 #: Bytes to a token, about.
@@ -142,13 +142,14 @@ def search(code: dict[str, np.ndarray], target: np.ndarray) -> np.ndarray:
 
 
 def level(parents: np.ndarray, words: np.ndarray) -> dict[str, dict[str, np.ndarray]]:
-    """The level of entries (parent, word), sorted: the parents that have followers, where each one's begin, the followers."""
+    """The level of entries (parent, word), sorted: the parents that have followers, where each one's begin, the followers.
+    What is added to a parent's followers is one more than the last value before them, so it isn't stored."""
     heads, begins = np.unique(parents, return_index=True)
     begins = np.append(begins, len(parents)).astype(np.uint64)
     ends = words[begins[1:].astype(np.int64) - 1].astype(np.uint64) + np.uint64(1)
     base = np.concatenate(([np.uint64(0)], np.cumsum(ends)[:-1])).astype(np.uint64) if len(heads) else np.zeros(0, np.uint64)
     sizes = np.diff(begins.astype(np.int64))
-    return {"heads": encode(heads.astype(np.uint64)), "begins": encode(begins, False), "words": encode(words.astype(np.uint64) + np.repeat(base, sizes)), "bases": encode(base, False)}
+    return {"heads": encode(heads.astype(np.uint64)), "begins": encode(begins, False), "words": encode(words.astype(np.uint64) + np.repeat(base, sizes))}
 
 
 def lookup(code: dict, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -161,8 +162,9 @@ def lookup(code: dict, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
     head = search(code["heads"], own.astype(np.uint64))
     base, begin, end = (np.zeros(len(own), np.int64) for _ in range(3))
     have = np.flatnonzero(head >= 0)
-    base[have] = access(code["bases"], head[have])
     begin[have], end[have] = access(code["begins"], head[have]), access(code["begins"], head[have] + 1)
+    later = np.flatnonzero(begin > 0)
+    base[later] = access(code["words"], begin[later] - 1) + np.uint64(1)
     ask = np.flatnonzero((head >= 0)[back])
     context = back[ask]
     place = search(code["words"], (words[ask] + base[context]).astype(np.uint64))
@@ -221,8 +223,9 @@ def read(folder: str, name: str) -> dict:
 # ---- Tokens ----------------------------------------------------------------------------------------------------------
 
 
-def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts, each text's words and then the end; and where each text begins."""
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, the end last; all tokens of the texts by their places among these, each text's words
+    and then the end; and where each text begins."""
     low = pc.ascii_lower(pc.fill_null(pa.array(texts, pa.large_string()), ""))
     parts = pc.ascii_split_whitespace(low)  # white space at either end leaves an empty word
     of = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
@@ -234,11 +237,11 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     codes = coded.indices.to_numpy()
     word = np.diff(edge)[codes] > 0
     starts = np.concatenate(([0], np.cumsum(np.bincount(of[word], minlength=len(texts)) + 1))).astype(np.int64)
-    out = np.full(starts[-1], digest(END), np.uint64)
+    out = np.full(starts[-1], len(hashes), np.int64)
     inner = np.ones(len(out), bool)
     inner[starts[1:] - 1] = False
-    out[inner] = hashes[codes[word]]
-    return out, starts
+    out[inner] = codes[word]
+    return np.append(hashes, np.uint64(digest(END))), out, starts
 
 
 def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[list[str | None]]:
@@ -317,12 +320,12 @@ class Model:
         number[ask], stored[ask], count[ask] = own[back], shown[back], seen[back]
         return number, stored, count
 
-    def walk(self, hashes: np.ndarray, starts: np.ndarray, order: int) -> dict[str, np.ndarray]:
+    def walk(self, hashes: np.ndarray, tokens: np.ndarray, starts: np.ndarray, order: int) -> dict[str, np.ndarray]:
         """Of each token: number and count, base (its unigram log10 probability), best (that by n-grams up to order), and as
         context of the next order the entry of the last `order` tokens before it, and that entry's count as total."""
         number, count = self.numbers(hashes)
-        base = self.base(count)
-        place = np.arange(len(hashes)) - np.repeat(starts[:-1], np.diff(starts))
+        number, count, base = number[tokens], count[tokens], self.base(count)[tokens]
+        place = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
         before = lambda x, k, none: np.where(place >= k, np.roll(x, 1), none)
         best, context, total = base.copy(), before(number, 1, -1), before(count, 1, 0)
         for k in range(2, order + 1):
@@ -417,14 +420,15 @@ def forget_shuffles(spark: SparkSession) -> None:
 def _count(model: Model, order: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Packed counts by shard: of words; or of entries, with the probability of their word in the shorter context."""
     for part in _batches(frames, COUNT_TOKENS * TOKEN_BYTES):
-        hashes, starts = _tokens(part)
+        hashes, tokens, starts = _tokens(part)
         if order == 1:
-            own, n = np.unique(hashes, return_counts=True)
+            n = np.bincount(tokens, minlength=len(hashes))
+            own, n = _merge([(hashes[n > 0], n[n > 0])], 1)
             edge = model.edges(own)
             edge[-1] = len(own)
             blobs = [(k, _pack(own[a:b], n[a:b].astype(np.int32))) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
         else:
-            at = model.walk(hashes, starts, order - 1)
+            at = model.walk(hashes, tokens, starts, order - 1)
             own = np.flatnonzero(at["context"] >= 0)
             rows = _merge([(at["context"][own], at["number"][own], np.ones(len(own), np.int32), at["total"][own], at["best"][own])], 2)
             shard = shard_of(rows[0], rows[1], rows[3], model.shards, model.hot)
@@ -479,8 +483,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             parts = []
             for some in _batches(iter([pd.DataFrame({"text": texts})]), SCORE_TOKENS * TOKEN_BYTES):
-                hashes, starts = _tokens(some)
-                at = model.walk(hashes, starts, model.order)
+                hashes, tokens, starts = _tokens(some)
+                at = model.walk(hashes, tokens, starts, model.order)
                 total = lambda x: np.add.reduceat(x, starts[:-1])
                 parts.append(pd.DataFrame({"n_tokens": np.diff(starts), "n_known": total((at["count"] > 0).astype(np.int64)), "base_score": total(at["base"]), "score": total(at["best"])}))
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_tokens": [], "n_known": [], "base_score": [], "score": []})
