@@ -4,10 +4,8 @@
 2. near_duplicates: of each group of near copies the document with the smallest doc_id stays.
 3. decontamination: documents of which a twentieth or more are benchmark windows go; others lose the words of such windows.
 4. personal_data: spans of personal data in the texts are replaced by their kind.
-5. mixing: size, source_size, target and taken are added, the words of each document that the training mix takes.
-
-The result is the mix itself: documents behind a source's cut are gone, the one at the border ends at its word, and whole
-passes over a source repeat its documents.
+5. mixing: the training mix itself. Documents behind a source's cut are gone, the one at the border ends at its word, and
+   whole passes over a source repeat its documents; size, source_size, target, taken and copy are added.
 """
 
 from __future__ import annotations
@@ -35,7 +33,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mixed(mixing.mix(docs))
 
 
 STAGES = [
@@ -51,11 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents; each stage's rows are written before the next one reads them. The
-    last stage decides for every document what the mix takes of it; what is returned is the mix."""
+    """The stages over the table documents; each stage's rows are written before the next one reads them."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = lineage_cut(docs)
-    return mixing.mixed(docs)
+    return docs
