@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import bounded_sample
+from pricelens.llm.common import bounded_sample, lineage_cut
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 18, 4, 3, 6
 #: Labelled documents from which the layers are trained, at most.
@@ -32,8 +32,8 @@ LEAST_Z = 5.0
 THRESHOLD = 0.7
 #: Words whose numbers a task keeps; beyond that it forgets them and starts anew.
 CACHE = 300_000
-#: Texts that are split at once.
-TEXTS = 200
+#: Texts that are split at once, and words that are hashed at once.
+TEXTS, WORDS = 200, 20_000
 _BASE = 1_000_003
 _EDGES = ".,;:!?#$%&*|\"'()[]<>"
 
@@ -80,55 +80,66 @@ class Model:
         return SCALE * (self.table @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
 
-def _average(values: np.ndarray, of: np.ndarray, size: int, weight: np.ndarray) -> np.ndarray:
+def _sums(values: np.ndarray, of: np.ndarray, size: int, weight: np.ndarray) -> np.ndarray:
     """Sums of weighted values by the number in `of`."""
     return np.stack([np.bincount(of, v * weight, size) for v in values.T], axis=1)
 
 
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text as rows of the embedding table, each once, and how much each counts in the average of the text's words. However
+    long the text, there are at most BUCKETS rows; words are hashed in blocks."""
+    words, counts = np.unique(np.array(words_of(text), dtype=object), return_counts=True)
+    total, weight = max(1, counts.sum()), np.zeros(0)
+    rows = np.zeros(0, np.int64)
+    for at in range(0, len(words), WORDS):
+        found, sizes = features(words[at : at + WORDS].tolist())
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        rows, back = np.unique(np.concatenate([rows, found]), return_inverse=True)
+        weight = np.bincount(back, np.concatenate([weight, counts[at + own] / total / sizes[own]]), len(rows))
+    return rows, weight
+
+
+def telling(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether rows are learned, from seen (the clean and the toxic documents that hold each) and n (those there are)."""
+    share = seen.sum(axis=0) / n.sum()
+    error = np.sqrt(np.maximum(share * (1 - share), 1 / n.sum()) * (1 / n[0] + 1 / n[1]))
+    return np.abs(seen[1] / n[1] - seen[0] / n[0]) / error >= LEAST_Z
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
+    """A model of a few texts, all in this process."""
+    known = [(bag(t), int(y)) for t, y in zip(texts, toxic, strict=True) if words_of(t)]
+    seen, n = np.zeros((2, BUCKETS)), np.zeros(2)
+    for (rows, _), y in known:
+        seen[y, rows] += 1
+        n[y] += 1
+    return train_bags([b for b, _ in known], [y for _, y in known], telling(seen, n) if n.all() else np.zeros(BUCKETS, bool), seed)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], learned: np.ndarray, seed: int = 11) -> Model:
+    """Both layers together, by Adam on all documents at once. learned marks the rows of the table that are no zeros."""
     draw = np.random.default_rng(seed)
     model = Model(np.zeros((BUCKETS, WIDTH)), draw.normal(0, 0.5, (WIDTH, 2)), np.zeros(2))
-    docs, y, ids = [], [], {}
-    for text, label in zip(texts, toxic, strict=True):
-        if words := words_of(text):
-            docs.append(np.unique([ids.setdefault(w, len(ids)) for w in words], return_counts=True))
-            y.append(int(label))
-    y = np.array(y)
-    if not 0 < y.sum() < len(y):  # nothing to learn: nothing is toxic
-        model.weights[:], model.bias[:] = 0, (4.0, 0.0)
-        return model
-    # Three layers of sparse links, each with its weights: row to word, word to document.
-    row, sizes = features(list(ids))
-    word_of = np.repeat(np.arange(len(ids)), sizes)
-    word, count = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs]).astype(float)
-    doc_of = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    count /= np.bincount(doc_of, count)[doc_of]
-    starts, seen, n = _starts(sizes), np.zeros((2, BUCKETS)), np.bincount(y, minlength=2).astype(float)
-    for (words, _), label in zip(docs, y, strict=True):
-        seen[label, np.unique(np.concatenate([row[starts[w] : starts[w] + sizes[w]] for w in words]))] += 1
-    share = seen.sum(axis=0) / n.sum()
-    error = np.sqrt(np.maximum(share * (1 - share), 1 / n.sum()) * (1 / n[0] + 1 / n[1]))
-    learned = (np.abs(seen[1] / n[1] - seen[0] / n[0]) / error >= LEAST_Z)[row]
-    if not learned.any():
+    y = np.array(toxic, dtype=np.int64)
+    if not 0 < y.sum() < len(y) or not learned.any():  # nothing to learn: nothing is toxic
         model.weights[:], model.bias[:] = 0, (4.0, 0.0)
         return model
-    row, word_of = row[learned], word_of[learned]
+    doc_of = np.repeat(np.arange(len(bags)), [len(rows) for rows, _ in bags])
+    row, part = np.concatenate([rows for rows, _ in bags]).astype(np.int64), np.concatenate([weight for _, weight in bags])
+    row, doc_of, part = row[learned[row]], doc_of[learned[row]], part[learned[row]]
     own, row = np.unique(row, return_inverse=True)
     model.table[own] = draw.normal(0, 0.01, (len(own), WIDTH))
-    part = 1.0 / sizes[word_of]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[:, None]
     goal, layers = np.eye(2)[y], [model.table[own], model.weights, model.bias]
     first, second = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
     for step in range(1, STEPS + 1):
         table, weights, bias = layers
-        vectors = _average(table[row], word_of, len(ids), part)
-        means = SCALE * _average(vectors[word], doc_of, len(docs), count)
+        means = SCALE * _sums(table[row], doc_of, len(bags), part)
         score = means @ weights + bias
         p = np.exp(score - score.max(axis=1, keepdims=True))
         error = weight * (p / p.sum(axis=1, keepdims=True) - goal)
         by_doc = SCALE * error @ weights.T
-        by_word = _average(by_doc[doc_of], word, len(ids), count)
-        by_row = _average(by_word[word_of], row, len(own), part)
+        by_row = _sums(by_doc[doc_of], row, len(own), part)
         for k, grad in enumerate((by_row, means.T @ error, error.sum(axis=0))):
             grad = grad + DECAY * layers[k] * (weight.mean() if k == 0 else 1)
             first[k] = 0.9 * first[k] + 0.1 * grad
@@ -144,13 +155,41 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Model:
-    """A model from at most n_toxic and n_clean labelled documents that are not held out; their ids are broadcast."""
+    """A model from at most n_toxic and n_clean labelled documents that are not held out; their ids are broadcast.
+
+    Of rows that share a doc_id the one with the smallest hash of its text counts. Tasks turn texts into bags and count in how
+    many documents each row of the table stands; the driver gets those counts (at most BUCKETS) and then, of each document, the
+    weights of the rows that are learned: no texts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_sample(known.where("toxic = 1"), n_toxic).unionByName(bounded_sample(known.where("toxic = 0"), n_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * (n_toxic + n_clean)).toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    return train([t or "" for t in rows.text], rows.toxic.tolist())
+    one = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+
+    def to_bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc, text, toxic in zip(frame["doc_id"], frame["text"], frame["toxic"], strict=True):
+                if words_of(text):
+                    rows, weights = bag(text)
+                    yield pd.DataFrame({"doc_id": [doc], "toxic": [toxic], "rows": [rows.astype(np.int32)], "weights": [weights]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bags = lineage_cut(one.mapInPandas(to_bags, f"doc_id {kind}, toxic int, rows array<int>, weights array<double>"))
+    n, seen = np.zeros(2), np.zeros((2, BUCKETS))
+    for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[r.toxic] = r.n
+    counts = bags.select("toxic", F.explode("rows").alias("row")).groupBy("row").agg(F.sum(F.col("toxic")).alias("toxic"), F.count(F.lit(1)).alias("n")).toPandas()
+    rows = counts["row"].to_numpy(np.int64)
+    seen[1, rows], seen[0, rows] = counts["toxic"], counts["n"] - counts["toxic"]
+    learned = telling(seen, n) if n.all() else np.zeros(BUCKETS, bool)
+    kept = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(learned))
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            of = [np.isin(r, kept.value) for r in frame["rows"]]
+            yield frame.assign(rows=[r[k] for r, k in zip(frame["rows"], of, strict=True)], weights=[w[k] for w, k in zip(frame["weights"], of, strict=True)])
+
+    small = bags.mapInPandas(told, bags.schema).toPandas().sort_values("doc_id", kind="stable")
+    return train_bags(list(zip(small["rows"], small["weights"], strict=True)), small["toxic"].tolist(), learned)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
