@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import ann, decontam, html_text, lm, mixing, pii, quality, secrets, simhash, toxicity, warc
+from pricelens.llm import align, ann, decontam, html_text, lm, mixing, pii, quality, secrets, simhash, toxicity, warc
 from pricelens.llm.common import lineage_cut, shared_folder, table
 from pricelens.llm.sql import ORACLES
 
@@ -86,6 +86,10 @@ def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
