@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import align, ann, decontam, html_text, lm, mixing, pii, quality, secrets, simhash, toxicity, warc
+from pricelens.llm import align, ann, decontam, html_text, lm, mixing, pii, quality, secrets, simhash, toxicity, trie, warc
 from pricelens.llm.common import lineage_cut, shared_folder, table
 from pricelens.llm.sql import ORACLES
 
@@ -82,6 +82,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 

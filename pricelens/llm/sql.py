@@ -124,4 +124,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES = {"op1_quality": _quality(), "op9_warc": WARC, "op5_decontam": DECONTAM, "op8_mixing": MIXING}
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), lambda acc, b:
+  list_reduce(list_concat([xor(acc, b)], range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), l AS (
+  SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(concat(strlen(r), ':', r, x))) AS l FROM t GROUP BY conv_id
+), c AS (
+  SELECT conv_id, l, conv_id - conv_id % 100 AS base, {_CRC.format(x="CAST(conv_id AS VARCHAR)")} % 6 AS h FROM l
+), r AS (
+  SELECT c.conv_id, list_concat(CASE WHEN b.l IS NULL THEN c.l[1:0] ELSE b.l[1:c.h] END, c.l[c.h + 1:]) AS s FROM c LEFT JOIN l b ON b.conv_id = c.base
+), p AS (
+  SELECT conv_id, d, s[1:d] AS k, len(s) = d AS ended FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)
+), n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM p GROUP BY k, d
+), f AS (
+  SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), o AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.k[n.d].x) END AS own FROM n LEFT JOIN f ON f.k = n.k AND f.d = n.d
+), u AS (
+  SELECT k[1:a] AS k, a AS d, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM o) GROUP BY ALL
+)
+SELECT o.conv_id, o.d AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN u ON u.k = o.k AND u.d = o.d LEFT JOIN n q ON o.d > 0 AND q.d = o.d - 1 AND q.k = o.k[1:o.d - 1]
+"""
+
+
+ORACLES = {"op1_quality": _quality(), "op9_warc": WARC, "op5_decontam": DECONTAM, "op8_mixing": MIXING, "op11_trie": TRIE}

@@ -1,0 +1,106 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from pricelens.llm import trie
+from pricelens.llm.sql import ORACLES
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth string, n long"
+NAMES = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def brute(rows):
+    """Every prefix of every rebuilt conversation, as a tuple."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest(), (role, text)))
+    own = {c: [x[-1] for x in sorted(v)] for c, v in own.items()}
+    made = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        made[c] = own.get(c - int(np.fmod(c, 100)), [])[:h] + v[h:]
+    members = defaultdict(list)
+    for c, v in made.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    leaves, saved, children = defaultdict(int), defaultdict(int), defaultdict(int)
+    for k in members:
+        if k:
+            children[k[:-1]] += 1
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1]) if k else 0
+            leaves[k[:d]] += children[k] == 0
+    text = lambda k, m: hashlib.sha256(",".join(map(str, sorted(c for c in m if len(made[c]) == len(k)))).encode()).hexdigest()
+    return sorted((min(m), len(k), min(members[k[:-1]]) if k else -1, len(m), children[k], leaves[k], saved[k], text(k, m)) for k, m in members.items())
+
+
+def got(spark, rows, **more):
+    frame = spark.createDataFrame([(*r, "x", 5) for r in rows], SCHEMA)
+    return sorted(tuple(-1 if r[c] is None and c == "parent_conv_id" else r[c] for c in NAMES) for r in trie.prefix_trie(frame, **more).collect())
+
+
+def dialogues(draw, n, words, longest):
+    rows = []
+    for c in draw.sample(range(-300, 3000), n):
+        for t in range(draw.randint(1, longest)):
+            rows.append((c, draw.choice([t, t, t, None, 0]), draw.choice(["user", "bot", None]), draw.choice(words)))
+    return rows
+
+
+@pytest.mark.parametrize("shard", [3, trie.SHARD])
+def test_equals_brute_force(spark, shard):
+    draw = random.Random(shard)
+    words = ["hi", "", None, "what?", "é" * 3, "long " * 50, ",", "x:y"]
+    rows = dialogues(draw, 120, words[:3], 12) + [(5000 + i, t, "user", "same") for i in range(60) for t in range(20)] + [(7000, t, "u", f"{t % 3}") for t in range(90)] + [(7001, t, "u", f"{t % 3}") for t in range(61)]
+    rows += [(None, 1, "u", "no id"), (8000, 1, "u", "twice"), (8000, 1, "u", "twice"), (8101, 1, "u", "alone")]
+    draw.shuffle(rows)
+    assert got(spark, rows, shard=shard) == brute(rows)
+
+
+def test_one_turn_and_no_turns(spark):
+    assert got(spark, []) == [] and got(spark, [(None, 1, "a", "b")]) == []
+    lost = next(c for c in range(101, 200) if zlib.crc32(str(c).encode()) % 6 == 5)
+    rows = [(lost, 1, "u", "goes"), (3, None, None, None)]
+    assert got(spark, rows) == brute(rows) and any(r[3] == 2 for r in brute(rows))
+
+
+def test_many_members_are_hashed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(trie, "PIECE", 7)
+    rows = [(c, 0, "u", "same") for c in range(-40, 400, 3)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_given_table_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = base.sql(f"SELECT {', '.join(NAMES)} FROM ({ORACLES['op11_trie']})").fetchall()
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in want) == got(spark, rows) == brute(rows)
+
+
+def test_double_array_holds_its_words_and_no_others():
+    draw = np.random.default_rng(1)
+    words = draw.integers(0, 40, (500, 6))
+    for row, n in zip(words, draw.integers(1, 7, 500), strict=True):
+        row[n:] = -1
+    packed, known = trie.DoubleArray(words), {tuple(r[r >= 0][:d].tolist()) for r in words for d in range(1, 7)}
+    state, slots = np.zeros(500, np.int64), {}
+    for d, symbols in enumerate(words.T):
+        state = packed.step(state, symbols)
+        assert ((state >= 0) == (symbols >= 0)).all()
+        for r, s in zip(words, state.tolist(), strict=True):
+            if s >= 0:
+                assert slots.setdefault(s, tuple(r[: d + 1])) == tuple(r[: d + 1])
+    assert len(slots) == len({k for k in known}) and len(packed.base) < 4 * len(slots)
+    for other in draw.integers(0, 40, (500, 2)):
+        at = packed.step(packed.step(np.zeros(1, np.int64), other[:1]), other[1:])[0]
+        assert (at >= 0) == (tuple(other.tolist()) in known)
