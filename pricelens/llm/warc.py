@@ -3,22 +3,25 @@
 Writing: one record to a page. Of pages with equal payloads the one with the smallest page_id is a response, the others
 are revisits without the payload that refer to it. A task's records make one archive.
 
-Reading: the archives are cut at every place where the magic line of a record stands, in parallel splits of any file; a
-payload may hold that line too, so each cut is only a candidate for a record. A candidate's header gives the offset of
+Reading: the archives are cut at every place where the magic of a record stands, in parallel splits of any file that is
+not compressed as a whole; a payload may hold it too, so each cut is only a candidate for a record. A candidate's header gives the offset of
 its successor. A file's true records are those that the chain of successors reaches from offset 0. Candidates that lead
 to the next candidate in the file form runs; a run leads where its last candidate leads; pointer jumping over runs
 doubles the reach in each round. Candidates that are not reached lie inside payloads and are put back into them.
-Only offsets are shuffled, besides the few records that hold the magic themselves.
+Only offsets are shuffled, besides the few records that hold the magic themselves; they are scanned in sorted ranges, so that
+one archive may hold all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import attach, lineage_cut, shared_folder, text_of
+from pricelens.operators import ranges
 
-MAGIC = "WARC/1.0\r\n"
+#: What every record begins with, and how its first line goes on: any version 1.x is read, 1.0 is written.
+MAGIC, VERSION = "WARC/1.", "0\r\n"
 BREAK = "\r\n\r\n"
 #: Payloads with fewer bytes are written out each time.
 LEAST_BYTES = 0
@@ -54,7 +57,7 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = "1970-
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     refers = F.concat(line("WARC-Refers-To", identity("first")), F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))
     header = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + VERSION),
         line("WARC-Type", kind),
         line("WARC-Record-ID", identity("page_id")),
         line("WARC-Date", F.lit(date)),
@@ -96,19 +99,21 @@ def _headers(value: str | Column) -> Column:
 
 def chain(found: DataFrame) -> DataFrame:
     """(file, block, at, real, owner, parts): whether a candidate is a record; if not, the at of the record that holds it;
-    parts: the candidates that make up the record. Only offsets go through the shuffle."""
+    parts: the candidates that make up the record. What stands before a file's first magic is no record either. Only offsets
+    go through the shuffle."""
     headers = _headers("value")
     length = F.try_to_number(F.nullif(F.trim(_field("Content-Length", headers)), F.lit("")), F.lit("9" * 18)).cast("long")
-    spots = found.select("file", "block", "at", F.octet_length("value").alias("bytes"), (F.octet_length(headers) + 4 + length + 4).alias("span"))
-    in_file = Window.partitionBy("file").orderBy("block", "at")
-    upto = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    spots = spots.withColumn("place", F.row_number().over(in_file)).withColumn("begin", F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(upto), F.lit(0)) - len(MAGIC))
-    spots = spots.where("place > 1").withColumn("succ", F.col("begin") + len(MAGIC) + F.col("span"))  # before the first magic is no record
-    by_begin = Window.partitionBy("file").orderBy("begin")
-    linked = spots.withColumn("regular", F.coalesce(F.col("succ") == F.lead("begin").over(by_begin), F.lit(False)))
-    opens = F.when(F.coalesce(F.lag("regular").over(by_begin), F.lit(False)), 0).otherwise(1)
-    linked = linked.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_begin.rowsBetween(Window.unboundedPreceding, 0)))
-    linked = lineage_cut(linked.select("file", "block", "at", "begin", "succ", "run"))
+    span = F.when(F.col("value").rlike(r"^[0-9]\r\n"), F.octet_length(headers) + 4 + length + 4)
+    order = ["block", "at"]
+    spots = ranges.ranged(found.select("file", *order, F.octet_length("value").alias("bytes"), span.alias("span")), ["file"], order)
+    upto = ranges.running(spots, ["file"], order, {"place": ("sum", F.lit(1).cast("long")), "upto": ("sum", (F.col("bytes") + len(MAGIC)).cast("long"))})
+    begin = F.when(F.col("place") > 1, F.col("upto") - F.col("bytes") - 2 * len(MAGIC))
+    spots = upto.withColumn("begin", begin).withColumn("succ", F.col("begin") + len(MAGIC) + F.col("span"))
+    # A candidate to which the one before it leads goes on with that one's run. The first piece of a file is a run of its own.
+    linked = ranges.running(spots, ["file"], order, {"led": ("last", F.struct("succ"))}, before=True)
+    opens = F.when(F.coalesce(F.col("led")["succ"] == F.col("begin"), F.lit(False)), 0).otherwise(1)
+    linked = ranges.running(linked.withColumn("opens", opens), ["file"], order, {"run": ("sum", F.col("opens").cast("long"))})
+    linked = lineage_cut(linked.select("file", *order, "begin", "succ", "run", ranges.PART))
 
     ends = linked.groupBy("file", "run").agg(F.max_by("succ", "begin").alias("entry"))
     target = linked.select("file", F.col("begin").alias("entry"), F.col("run").alias("next"))
@@ -124,18 +129,22 @@ def chain(found: DataFrame) -> DataFrame:
             break
         size, second = now, leaps.select("file", F.col("run").alias("next"), F.col("next").alias("far"), F.col("entry").alias("far_entry"))
         leaps = lineage_cut(leaps.join(second, ["file", "next"]).select("file", "run", F.col("far").alias("next"), F.col("far_entry").alias("entry")))
-    judged = linked.join(reached.withColumnRenamed("entry", "from"), ["file", "run"], "left").withColumn("real", F.coalesce(F.col("begin") >= F.col("from"), F.lit(False)))
-    owner = F.last(F.when(F.col("real"), F.struct("at", "succ")), ignorenulls=True).over(by_begin.rowsBetween(Window.unboundedPreceding, 0))
-    owned = judged.withColumn("own", owner).withColumn("owner", F.when(F.col("own")["succ"] > F.col("begin"), F.col("own")["at"]))
-    parts = F.count(F.lit(1)).over(Window.partitionBy("file", "owner"))
-    return owned.withColumn("parts", F.when(F.col("owner").isNotNull(), parts)).select("file", "block", "at", "real", "owner", "parts")
+    # A run is reached once, from its first reached candidate on, so facts about runs have a row to each.
+    entered = reached.groupBy("file", "run").agg(F.min("entry").alias("from"))
+    judged = linked.join(entered, ["file", "run"], "left").withColumn("real", F.coalesce(F.col("begin") >= F.col("from"), F.lit(False)))
+    owned = ranges.running(judged, ["file"], order, {"own": ("last", F.when(F.col("real"), F.struct("at", "succ")))})
+    owned = lineage_cut(owned.withColumn("owner", F.when(F.col("own")["succ"] > F.col("begin"), F.col("own")["at"])).select("file", *order, "real", "owner"))
+    parts = owned.where("owner is not null").groupBy("file", "owner").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return owned.join(parts, ["file", "owner"], "left").select("file", *order, "real", "owner", "parts")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row to a true record: page_id, url, record_type, refers_to, payload (null in a revisit), and of the full payload
     payload_bytes and payload_digest (of a response both are computed from what was read, of a revisit as it states them).
 
-    Bytes that no chain reaches from a file's start are left out, so is all of a file that doesn't start with a record."""
+    Records of any version 1.x are read, of any length that Spark's text source reads as a row (below 2 GB). Bytes that no
+    chain reaches from a file's start are left out, so is all of a file that doesn't start with a record. Files are told apart
+    by path, so rows that repeat stay; an empty folder gives no rows."""
     found = candidates(spark, folder)
     # Odd segments: no record, or a record of several segments. Most archives have none; the others are records as they are.
     odd = lineage_cut(chain(found).where("not real or parts > 1").select("file", "block", "at", "owner"))

@@ -61,3 +61,35 @@ def test_small_payloads_and_repeated_ids(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert trip(spark, tmp_path, []) == []
+
+
+def record(page, body, version="1.0"):
+    http = f"HTTP/1.1 200 OK\r\nContent-Length: {len(body)}\r\n\r\n{body}"
+    return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(http)}\r\n\r\n{http}\r\n\r\n"
+
+
+def read(spark, tmp_path, **files):
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    return sorted((r.page_id, bytes(r.payload).decode()) for r in warc.read_archives(spark, f"file://{tmp_path}").collect())
+
+
+def test_other_versions_and_files_without_a_leading_record(spark, tmp_path):
+    """No record is lost or invented: a file that starts with anything else is left out whole."""
+    both = record(1, "one", "1.1") + record(2, f"two {record(9, 'trap', '1.1')}", "1.1")
+    preamble = "WARC-Record-ID: <urn:page:77>\r\nContent-Length: 20\r\n\r\nHTTP/1.1 200 OK\r\n\r\nx\r\n\r\n" + record(3, "three")
+    got = read(spark, tmp_path, a=both, b=preamble, c="WARC/1.x\r\n" + record(4, "four"), d=record(5, "five") + "trailing", e="nothing at all", f=record(6, "says WARC/1.zero"))
+    assert got == [(1, "one"), (2, f"two {record(9, 'trap', '1.1')}"), (5, "five"), (6, "says WARC/1.zero")]
+
+
+def test_one_archive_in_many_splits(spark, tmp_path):
+    texts = {i: f"<p>{i}</p>" + ("word " * (i % 90)) + (record(1000 + i, "trap") if i % 7 == 0 else "") for i in range(600)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = "".join(record(i, t) for i, t in texts.items())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(whole) // 50))
+    try:
+        got = read(spark, tmp_path, one=whole)
+        assert spark.read.option("lineSep", warc.MAGIC).text(f"file://{tmp_path}").rdd.getNumPartitions() >= 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted(texts.items())
