@@ -89,6 +89,11 @@ class Tokens:
 
 
 N_FEATURES = 22
+#: Of these features, those of a token that is a card number, an address of four parts or of mail by itself, and that of a long
+#: number which fails the check of cards.
+WHOLE, WRONG = [9, 12, 16], 10
+#: Characters of texts that are one field at once (a longer text is one by itself).
+CHARS = 300_000
 
 
 def _features(text: str, start: int, end: int, before: str) -> list[bool]:
@@ -211,16 +216,18 @@ def infer(field: Field, nodes: Tokens) -> np.ndarray:
 
 
 def added_spans(nodes: Tokens, p: np.ndarray, least: float = LEAST) -> dict[int, list[tuple[int, int, int]]]:
-    """By document, the spans that the field adds: neighbours of one kind are one span, without punctuation at its end."""
+    """By document, the spans that the field adds: neighbours of one kind are one span, without punctuation at its end. A token
+    that is a whole address or card number is a span by itself; a number as long as a card's that fails its check is none."""
     out: dict[int, list[tuple[int, int, int]]] = {}
     best, sure = p[:, 1:].argmax(axis=1), p[:, 1:].max(axis=1) >= least
+    whole, wrong = nodes.features[:, WHOLE].any(axis=1), nodes.features[:, WRONG] > 0
     linked = {int(b): int(a) for a, b in nodes.chain}
     part_of: dict[int, tuple[int, int]] = {}
-    for node in np.flatnonzero(sure & (nodes.label == 0)).tolist():
+    for node in np.flatnonzero(sure & (nodes.label == 0) & ~wrong).tolist():
         doc, start, end = nodes.spans[node]
         spans, kind = out.setdefault(doc, []), int(best[node])
         before = linked.get(node)
-        if before in part_of and part_of[before][1] == kind:
+        if before in part_of and part_of[before][1] == kind and not whole[node] and not whole[before]:
             spans[-1] = (spans[-1][0], kind, end)
         else:
             spans.append((start, kind, end))
@@ -234,6 +241,21 @@ def prepare(texts: list[str | None]) -> tuple[list[list[tuple[int, int, int]]],
     return bases, tokens(whole, bases)
 
 
+def judged(texts: list[str | None], field: Field, least: float = LEAST) -> Iterator[tuple[list, list]]:
+    """(base, all) spans of each text. Documents share no edges, so a bounded number of characters is one field at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at] or "")
+        while end < len(texts) and size + len(texts[end] or "") <= CHARS:
+            size += len(texts[end] or "")
+            end += 1
+        bases, nodes = prepare(texts[at:end])
+        more = added_spans(nodes, infer(field, nodes), least)
+        for i, base in enumerate(bases):
+            yield sorted(base), sorted(base + more.get(i, []))
+        at = end
+
+
 def fit(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> Field:
     """A field trained on at most n_docs documents; only tokens with digits or an at sign come to the driver."""
     sample = bounded_sample(docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")), n_docs).select("text")
@@ -270,11 +292,10 @@ def find(docs: DataFrame, field: Field | None = None, least: float = LEAST) -> D
 
     @F.pandas_udf(f"base {span}, pii {span}")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shown = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)]
+        shown = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
         for texts in batches:
-            bases, nodes = prepare(list(texts))
-            more = added_spans(nodes, infer(shared.value, nodes), least)
-            yield pd.DataFrame({"base": [shown(b) for b in bases], "pii": [shown(b + more.get(i, [])) for i, b in enumerate(bases)]})
+            both = list(judged(list(texts), shared.value, least))
+            yield pd.DataFrame({"base": [shown(b) for b, _ in both], "pii": [shown(x) for _, x in both]})
 
     docs = docs.drop("base", "pii")
     both = fresh(docs.columns, "found")[0]
@@ -283,16 +304,18 @@ def find(docs: DataFrame, field: Field | None = None, least: float = LEAST) -> D
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The documents with each stretch of personal data in text replaced by its kind in brackets; the columns stay the same.
-    n_chars, where docs has it, is counted anew."""
+    n_chars, where docs has it, is counted anew. Nulls, empty and very long texts, ties and repeated rows are as in find()."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs) if field is None else field)
 
     @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        mark = lambda x: [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in x]
-        return pd.Series([replace_spans(t, mark(x)) for t, x in zip(texts, spans, strict=True)], dtype=object)
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        mark = lambda x: [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in x]
+        for texts in batches:
+            found = judged(list(texts), shared.value)
+            yield pd.Series([replace_spans(t, mark(x)) if x else t for t, (_, x) in zip(texts, found, strict=True)], dtype=object)
 
-    row, done = fresh(["text", "doc_id", "base", "pii"], "row", "done")
-    found = find(docs.select(F.struct(*docs.columns).alias(row), "text", "doc_id"), field)
-    out = found.select(row, F.when(F.size("pii") > 0, cleaned("text", "pii")).otherwise(F.col("text")).alias(done))
+    row, done = fresh(["text"], "row", "done")
+    out = docs.select(F.struct(*docs.columns).alias(row), cleaned("text").alias(done))
     given = {c: F.col(done) if c.lower() == "text" else F.col(row)[c] for c in docs.columns}
     n_chars = next((f for f in docs.schema if f.name.lower() == "n_chars"), None)
     if n_chars:

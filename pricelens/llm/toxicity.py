@@ -31,9 +31,9 @@ SCALE = 50.0
 LEAST_Z = 5.0
 THRESHOLD = 0.7
 #: Words whose numbers a task keeps; beyond that it forgets them and starts anew.
-CACHE = 300_000
+CACHE = 100_000
 #: Texts that are split at once, and words that are hashed at once.
-TEXTS, WORDS = 200, 20_000
+TEXTS, WORDS = 200, 4_000
 _BASE = 1_000_003
 _EDGES = ".,;:!?#$%&*|\"'()[]<>"
 
@@ -205,9 +205,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for at in range(0, len(texts), TEXTS):
                 split = [words_of(t) for t in texts.iloc[at : at + TEXTS]]
-                if new := list(set().union(*split).difference(known)):
-                    found, sizes = features(new)
-                    known.update(zip(new, (np.add.reduceat(rows[found], _starts(sizes)) / sizes).tolist(), strict=True))
+                new = list(set().union(*split).difference(known))
+                for k in range(0, len(new), WORDS):
+                    found, sizes = features(new[k : k + WORDS])
+                    known.update(zip(new[k : k + WORDS], (np.add.reduceat(rows[found], _starts(sizes)) / sizes).tolist(), strict=True))
                 for words in split:
                     odds = bias + sum(map(known.__getitem__, words)) / max(1, len(words))
                     out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))

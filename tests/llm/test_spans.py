@@ -185,3 +185,21 @@ def test_pii_edges_of_the_input(spark):
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and {r.text for r in clean.where("doc_id = 1").collect()} == {"mail [EMAIL] now"}
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_whole_neighbours_stay_apart(spark):
+    """Two numbers side by side are two cards if both pass the check of cards; one that fails it is none."""
+    good, other, bad = "4111111111111111", "5500005555555559", "1234567812345678"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.fit(docs)
+    for text, want in ((f"card {good} {other} end", [good, other]), (f"card {bad} {good} end", [good]), (f"card {good} {bad} end", [good])):
+        (_, every), = pii.judged([text], field)
+        assert pii.base_spans(text) == [] and [text[a:b] for a, k, b in every if pii.KINDS[k] == "card"] == want, text
+
+
+def test_fields_of_bounded_size_agree(monkeypatch):
+    texts = ["a 4111111111111111 b@c.de", None, "", "x" * 50, "+1 555 010 9999 and 4111 1111", "1.2.3.4 " * 20]
+    field = pii.Field(np.random.default_rng(1).normal(0, 1, (pii.N_FEATURES, len(pii.KINDS) + 1)), *[np.eye(len(pii.KINDS) + 1)] * 3)
+    whole = list(pii.judged(texts, field))
+    monkeypatch.setattr(pii, "CHARS", 10)
+    assert list(pii.judged(texts, field)) == whole and len(whole) == len(texts)
