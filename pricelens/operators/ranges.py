@@ -43,20 +43,20 @@ def running(rows: DataFrame, groups: Sequence[str], order: Sequence[str | Column
     itself doesn't count: `last` is then the row before it."""
     g = list(groups)
     window = Window.partitionBy(PART, *g).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    names = {name: (f"_own{i}", f"_carry{i}") for i, name in enumerate(values)}
-    marked = rows.withColumns({f"_in{i}": x for i, (_, x) in enumerate(values.values())})
-    inside = marked.withColumns({names[name][0]: RUNNING[kind][0](F.col(f"_in{i}")).over(window) for i, (name, (kind, _)) in enumerate(values.items())})
+    names = {name: (f"_inside{i}", f"_carry{i}") for i, name in enumerate(values)}
+    marked = rows.withColumns({f"_value{i}": x for i, (_, x) in enumerate(values.values())})
+    inside = marked.withColumns({names[name][0]: RUNNING[kind][0](F.col(f"_value{i}")).over(window) for i, (name, (kind, _)) in enumerate(values.items())})
     # What a range holds of each group; the last row of a group in a range has its running value.
     ends = Window.partitionBy(*g).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     totals = []
     for i, (kind, x) in enumerate(values.values()):
-        last = F.max_by(f"_in{i}", F.when(F.col(f"_in{i}").isNotNull(), F.struct(*_keys(order)))) if kind == "last" else RUNNING[kind][0](F.col(f"_in{i}"))
-        totals.append(last.alias(f"_in{i}"))
-    edges = marked.groupBy(PART, *g).agg(*totals).withColumns({names[name][1]: RUNNING[kind][0](F.col(f"_in{i}")).over(ends) for i, (name, (kind, _)) in enumerate(values.items())})
+        last = F.max_by(f"_value{i}", F.when(F.col(f"_value{i}").isNotNull(), F.struct(*_keys(order)))) if kind == "last" else RUNNING[kind][0](F.col(f"_value{i}"))
+        totals.append(last.alias(f"_value{i}"))
+    edges = marked.groupBy(PART, *g).agg(*totals).withColumns({names[name][1]: RUNNING[kind][0](F.col(f"_value{i}")).over(ends) for i, (name, (kind, _)) in enumerate(values.items())})
     # A group that goes on from an earlier range is the first of its range, so there is at most one to a range.
     rank = F.row_number().over(Window.partitionBy(*g).orderBy(PART))
-    edges = edges.withColumn("_at", rank).where("_at > 1").select(F.col(PART).alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], *[c for _, c in names.values()])
-    joined = inside.join(F.broadcast(edges), same(inside, edges, [(PART, "_p"), *[(c, f"_g{i}") for i, c in enumerate(g)]]), "left")
+    edges = edges.withColumn("_piece", rank).where("_piece > 1").select(F.col(PART).alias("_at_range"), *[F.col(c).alias(f"_at_group{i}") for i, c in enumerate(g)], *[c for _, c in names.values()])
+    joined = inside.join(F.broadcast(edges), same(inside, edges, [(PART, "_at_range"), *[(c, f"_at_group{i}") for i, c in enumerate(g)]]), "left")
     return joined.select(*rows.columns, *[RUNNING[kind][1](F.col(names[name][0]), F.col(names[name][1])).alias(name) for name, (kind, _) in values.items()])
 
 
@@ -85,9 +85,9 @@ def percentiles(rows: DataFrame, value: str, at: Sequence[float], groups: Sequen
     held = held.withColumn("_all", F.sum("_held").over(whole))
     place = held.select("*", F.explode(F.array(*[F.lit(float(p)) for p in at])).alias("at")).withColumn("_place", (F.col("_all") - 1) * F.col("at"))
     ends = place.select("*", F.explode(F.array(F.floor("_place"), F.ceil("_place"))).alias("_end")).where("_end >= _before and _end < _before + _held")
-    wanted = ends.select(F.col(PART).alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], "at", "_place", "_end", "_before").distinct()
-    key = [(PART, "_p"), *[(c, f"_g{i}") for i, c in enumerate(g)]]
-    ranges = wanted.select("_p", *[f"_g{i}" for i in range(len(g))]).distinct()
+    wanted = ends.select(F.col(PART).alias("_at_range"), *[F.col(c).alias(f"_at_group{i}") for i, c in enumerate(g)], "at", "_place", "_end", "_before").distinct()
+    key = [(PART, "_at_range"), *[(c, f"_at_group{i}") for i, c in enumerate(g)]]
+    ranges = wanted.select("_at_range", *[f"_at_group{i}" for i in range(len(g))]).distinct()
     few = dealt.join(ranges, same(dealt, ranges, key), "left_semi")
     upto = few.withColumn("_upto", F.sum("_n").over(Window.partitionBy(PART, *g).orderBy("_v")))
     inside = (F.col("_end") - F.col("_before") >= F.col("_upto") - F.col("_n")) & (F.col("_end") - F.col("_before") < F.col("_upto"))
