@@ -27,14 +27,20 @@ def _leg(x: str, lo: float, hi: float) -> str:
 
 
 _PRICE = "coalesce(CASE WHEN price_blended > 0 THEN price_blended END, (2 * price_input + price_output) / 3, price_input, (2 * openrouter_price_input + openrouter_price_output) / 3, openrouter_price_input)"
+_FLOORED = "CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END"
+
+
+def _composite(value: str, coding: str) -> str:
+    return f"CASE WHEN {value} IS NULL AND {coding} IS NULL THEN NULL ELSE round(0.5 * {_leg(value, *_ENDS[value])} + 0.3 * {_leg(coding, *_ENDS[coding])} + 0.2 * {_leg('output_speed_tps', 20.0, 1000.0)}, 4) END"
+
+
+_ENDS = {"value_score": (5.0, 500.0), "coding_value": (5.0, 500.0), "arena_value": (50.0, 10000.0), "arena_coding_value": (50.0, 10000.0)}
 _SCORED = f"""cat AS ({CAT}), priced AS (SELECT *, {_PRICE} AS price FROM cat), ratios AS (
-  SELECT *, round(intelligence_score / CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 4) AS value_score,
-    round(arena_elo / CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 4) AS arena_value,
+  SELECT *, round(intelligence_score / {_FLOORED}, 4) AS value_score, round(coding_index / {_FLOORED}, 4) AS coding_value,
+    round(arena_elo / {_FLOORED}, 4) AS arena_value, round(arena_coding_elo / {_FLOORED}, 4) AS arena_coding_value,
     coalesce(greatest(uptime_30m, uptime_1d) >= 95, true) AS gated_in FROM priced
 ), scored AS (
-  SELECT *, CASE WHEN value_score IS NULL THEN NULL ELSE round(0.5 * {_leg("value_score", 5.0, 500.0)} + 0.3 * 0.5 + 0.2 * {_leg("output_speed_tps", 20.0, 1000.0)}, 4) END AS composite_deal_score,
-    CASE WHEN arena_value IS NULL THEN NULL ELSE round(0.5 * {_leg("arena_value", 50.0, 10000.0)} + 0.3 * 0.5 + 0.2 * {_leg("output_speed_tps", 20.0, 1000.0)}, 4) END AS arena_composite_score
-  FROM ratios
+  SELECT *, {_composite("value_score", "coding_value")} AS composite_deal_score, {_composite("arena_value", "arena_coding_value")} AS arena_composite_score FROM ratios
 )"""
 
 
@@ -58,7 +64,7 @@ def _frontier(view: str, quality: str, near: float, composite: str) -> str:
 ), f_{view} AS (SELECT *, CAST(row_number() OVER (ORDER BY frontier_score DESC, name, model_id) AS INTEGER) AS frontier_rank FROM s_{view})"""
 
 
-_BOTH = f"{_SCORED}, {_frontier('intel', 'intelligence_score', 0.5, 'composite_deal_score')}, {_frontier('arena', 'arena_elo', 5.0, 'arena_composite_score')}"
+_BOTH = f"{_SCORED}, {_frontier('intel', 'intelligence_score', 0.5, 'composite_deal_score')}, {_frontier('arena', 'coalesce(coding_index, arena_elo, arena_coding_elo)', 5.0, 'arena_composite_score')}"
 
 BEST_VALUE_FRONTIER = f"WITH RECURSIVE {_BOTH} SELECT model_id, name, round(price, 6) AS price, quality, frontier_score, frontier_rank FROM f_intel"
 
@@ -79,7 +85,7 @@ EFFECTIVE_PRICE = f"""WITH cat AS ({CAT}), p AS (SELECT model_id, {_PRICE} AS pr
 SELECT model_id, round(price, 6) AS price, round(CASE WHEN price IS NOT NULL THEN greatest(price, 0.05) END, 6) AS scoring_price,
   CASE WHEN price IS NULL THEN 'n/a' WHEN round(price, 3) < 1 THEN printf('$%.3f', round(price, 3)) ELSE concat('$', CAST(round(CAST(round(price, 3) AS DECIMAL(12, 3)), 2) AS DECIMAL(12, 2))) END AS label FROM p"""
 
-COMPOSITE_SCORES = f"""WITH {_SCORED} SELECT model_id, value_score, arena_value, composite_deal_score, arena_composite_score, gated_in, composite_deal_score IS NOT NULL AND gated_in AS candidate FROM scored"""
+COMPOSITE_SCORES = f"""WITH {_SCORED} SELECT model_id, value_score, coding_value, arena_value, arena_coding_value, composite_deal_score, arena_composite_score, gated_in, composite_deal_score IS NOT NULL AND gated_in AS candidate FROM scored"""
 
 def _tier(name: str) -> str:
     """A size tier by billions (a column) or by the first size word of a name."""
@@ -162,7 +168,7 @@ CHANGE_EVENTS = f"WITH {_EVENTS} SELECT * FROM ev"
 CHANGE_COUNTS = f"WITH {_EVENTS} SELECT snapshot_date, kind, direction, count(*) AS n FROM ev GROUP BY ALL"
 _QUALITY = "CASE WHEN before IS NULL THEN 'first_run' WHEN n_left > greatest(20, floor(0.05 * n_before)) THEN 'degraded' WHEN n_lost > 0 THEN 'partial' ELSE 'ok' END"
 _SUMMARY = f"""summed AS (SELECT days.snapshot_date, before, coalesce(n_before, 0) AS n_before, coalesce(n_left, 0) AS n_left, {_QUALITY} AS data_quality,
-  CASE WHEN {_QUALITY} = 'partial' THEN array_to_string(list_sort(lost.gone), ', ') ELSE '' END AS sources_out FROM days LEFT JOIN guard ON guard.snapshot_date = days.snapshot_date LEFT JOIN lost ON lost.snapshot_date = days.snapshot_date)"""
+  CASE WHEN {_QUALITY} = 'partial' THEN array_to_string(list_sort(lost.gone), ', ') ELSE '' END AS sources_out, false AS scoring_changed FROM days LEFT JOIN guard ON guard.snapshot_date = days.snapshot_date LEFT JOIN lost ON lost.snapshot_date = days.snapshot_date)"""
 CHANGE_SUMMARY = f"WITH {_SNAP}, {_SUMMARY} SELECT * FROM summed"
 _LABEL = "CASE WHEN {x} IS NULL THEN 'n/a' WHEN round({x}, 3) < 1 THEN printf('$%.3f', round({x}, 3)) ELSE concat('$', CAST(round(CAST(round({x}, 3) AS DECIMAL(12, 3)), 2) AS DECIMAL(12, 2))) END"
 CHANGE_DIGEST = f"""WITH {_EVENTS}, {_SUMMARY}, o AS (
@@ -245,13 +251,104 @@ FRONTIER_AND_RANK_EVENTS = (
     RESCORED_HISTORY.rpartition("\nSELECT s.snapshot_date")[0]
     + """, days AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS before FROM (SELECT DISTINCT snapshot_date FROM raw)
 ), x AS (
-  SELECT days.snapshot_date, b.model_id, a.model_id IS NOT NULL AS here, t.frontier_rank_intel AS place, q.frontier_rank_intel AS was FROM days JOIN raw b ON b.snapshot_date = days.before
+  SELECT days.snapshot_date, b.model_id, a.model_id IS NOT NULL AS here, a.intelligence_score AS ti, a.price AS tp, coalesce(a.name, b.name) AS name, t.frontier_rank_intel AS place, q.frontier_rank_intel AS was FROM days JOIN raw b ON b.snapshot_date = days.before
   LEFT JOIN raw a ON a.snapshot_date = days.snapshot_date AND a.model_id = b.model_id LEFT JOIN f t ON t.snapshot_date = days.snapshot_date AND t.model_id = b.model_id LEFT JOIN f q ON q.snapshot_date = days.before AND q.model_id = b.model_id
 ), y AS (
   SELECT *, coalesce(place <= 20 AND was IS NOT NULL AND ((place <= 10 AND was > 10) OR abs(place - was) >= 3), false) AS moved, coalesce(was <= 10 AND coalesce(place > 10, true), false) AS dropped FROM x
 )
-SELECT snapshot_date, model_id, 'frontier' AS kind, CASE WHEN place IS NOT NULL THEN 'entered' ELSE 'left' END AS direction, NULL::DOUBLE AS old, NULL::DOUBLE AS new FROM x WHERE here AND (place IS NULL) <> (was IS NULL)
+SELECT snapshot_date, model_id, 'frontier' AS kind, CASE WHEN place IS NOT NULL THEN 'entered' ELSE 'left' END AS direction, NULL::DOUBLE AS old, ti AS new FROM x WHERE here AND (place IS NULL) <> (was IS NULL)
 UNION ALL
 SELECT snapshot_date, model_id, 'rank', CASE WHEN dropped AND NOT moved THEN 'left_top' WHEN place <= 10 AND was > 10 THEN 'entered_top' WHEN place < was THEN 'up' ELSE 'down' END, was::DOUBLE, place::DOUBLE FROM y WHERE moved OR dropped"""
 )
 DATES["frontier_and_rank_events"] = ("snapshot_date",)
+
+
+EVENT_TOTALS = f"""WITH {_EVENTS} SELECT d.snapshot_date, count(kind) AS total, count(*) FILTER (kind = 'new') AS new, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'price') AS price,
+  count(*) FILTER (kind = 'intelligence') AS intelligence, count(*) FILTER (kind = 'speed') AS speed, count(*) FILTER (kind = 'rank') AS rank, count(*) FILTER (kind = 'frontier') AS frontier
+FROM days d LEFT JOIN ev USING (snapshot_date) GROUP BY d.snapshot_date"""
+DATES["event_totals"] = ("snapshot_date",)
+
+#: Days of even years are of scoring version 2, those of odd years of none, but from 1996 on all are of 2.
+_RANKED = (
+    FRONTIER_AND_RANK_EVENTS.rpartition("\nSELECT snapshot_date, model_id, 'frontier'")[0].replace("), days AS (SELECT snapshot_date, lag(snapshot_date)", "), rdays AS (SELECT snapshot_date, lag(snapshot_date)", 1).replace("FROM days JOIN raw b ON b.snapshot_date = days.before", "FROM rdays AS days JOIN raw b ON b.snapshot_date = days.before")
+    + f""", {_EVENTS.partition("raw AS (" + SNAP + "), ")[2]}, versions AS (
+  SELECT snapshot_date, before, CASE WHEN year(snapshot_date) >= 1996 OR year(snapshot_date) % 2 = 0 THEN 2 END AS v, CASE WHEN year(before) >= 1996 OR year(before) % 2 = 0 THEN 2 END AS w FROM days
+), same AS (SELECT snapshot_date, before IS NOT NULL AND v IS NOT DISTINCT FROM w AS same_scoring FROM versions
+), every AS (
+  SELECT ev.* EXCLUDE (composite), CASE WHEN kind = 'new' THEN s.comp END AS composite FROM ev LEFT JOIN s ON s.snapshot_date = ev.snapshot_date AND s.model_id = ev.model_id
+  UNION ALL SELECT x.snapshot_date, model_id, 'frontier', CASE WHEN place IS NOT NULL THEN 'entered' ELSE 'left' END, NULL, ti, NULL, NULL, name, tp, NULL FROM x JOIN same USING (snapshot_date) WHERE same_scoring AND here AND (place IS NULL) <> (was IS NULL)
+  UNION ALL SELECT y.snapshot_date, model_id, 'rank', CASE WHEN dropped AND NOT moved THEN 'left_top' WHEN place <= 10 AND was > 10 THEN 'entered_top' WHEN place < was THEN 'up' ELSE 'down' END, was, place, NULL, NULL, name, NULL, NULL FROM y JOIN same USING (snapshot_date) WHERE same_scoring AND (moved OR dropped)
+)"""
+)
+_PLUS = "CASE WHEN {x} >= 0 THEN '+' ELSE '' END, {y}"
+CHANGE_DIGEST_RANKED = f"""{_RANKED}, {_SUMMARY}, told AS (SELECT summed.* EXCLUDE (scoring_changed), before IS NOT NULL AND NOT same_scoring AS scoring_changed FROM summed JOIN same USING (snapshot_date)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY snapshot_date, kind ORDER BY CASE kind WHEN 'price' THEN abs(pct) WHEN 'speed' THEN abs(pct) WHEN 'intelligence' THEN abs(delta) WHEN 'rank' THEN abs(coalesce(new, 99) - coalesce(old, 99)) WHEN 'new' THEN coalesce(composite, 0)
+    WHEN 'frontier' THEN CASE direction WHEN 'entered' THEN 1 ELSE 0 END ELSE 0 END DESC, CASE kind WHEN 'frontier' THEN name END NULLS FIRST, model_id) AS place FROM every
+), lines AS (
+  SELECT snapshot_date, kind, place, CASE kind WHEN 'price' THEN 1 WHEN 'new' THEN 2 WHEN 'intelligence' THEN 3 WHEN 'rank' THEN 4 WHEN 'frontier' THEN 4 WHEN 'removed' THEN 5 ELSE 6 END AS section_no,
+    CASE kind WHEN 'price' THEN concat(name, ': ', {_LABEL.format(x="old")}, ' -> ', {_LABEL.format(x="new")}, ' (', {_PLUS.format(x="round_even(pct, 0)", y="CAST(CAST(round_even(pct, 0) AS INTEGER) AS VARCHAR)")}, '%, ', direction, ')')
+      WHEN 'new' THEN concat(name, ': intelligence ', CAST(new AS VARCHAR), ', price ', {_LABEL.format(x="price")}, ', deal ', coalesce(CAST(composite AS VARCHAR), 'None'))
+      WHEN 'intelligence' THEN concat(name, ': ', CAST(old AS VARCHAR), ' -> ', CAST(new AS VARCHAR), ' (', {_PLUS.format(x="delta", y="printf('%.1f', delta)")}, ' pts, ', direction, ')')
+      WHEN 'rank' THEN concat(name, ': #', CAST(CAST(old AS INTEGER) AS VARCHAR), ' -> ', CASE WHEN new IS NULL THEN 'out' ELSE concat('#', CAST(CAST(new AS INTEGER) AS VARCHAR)) END, ' (', CASE direction WHEN 'entered_top' THEN 'entered top 10' WHEN 'left_top' THEN 'left top 10' ELSE direction END, ')')
+      WHEN 'frontier' THEN concat(name, ': ', direction, ' the intelligence frontier')
+      WHEN 'removed' THEN concat(name, ' (was intelligence ', CAST(old AS VARCHAR), ', ', {_LABEL.format(x="price")}, ')')
+      ELSE concat(name, ': ', CAST(CAST(old AS INTEGER) AS VARCHAR), ' -> ', CAST(CAST(new AS INTEGER) AS VARCHAR), ' t/s (', {_PLUS.format(x="round_even(pct, 0)", y="CAST(CAST(round_even(pct, 0) AS INTEGER) AS VARCHAR)")}, '%)') END AS line
+  FROM ordered WHERE kind <> 'speed' OR place <= 5
+), numbered AS (SELECT snapshot_date, section_no, CAST(row_number() OVER (PARTITION BY snapshot_date, section_no ORDER BY kind = 'frontier', place) AS INTEGER) AS place, line FROM lines
+), sections(section_no, section) AS (VALUES (1, 'PRICE CHANGES'), (2, 'NEW MODELS'), (3, 'INTELLIGENCE CHANGES'), (4, 'RANK / FRONTIER MOVES'), (5, 'REMOVED MODELS'), (6, 'SPEED CHANGES')
+), best AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.snapshot_date ORDER BY frontier_rank_intel NULLS LAST, comp DESC NULLS LAST, coalesce(s.intelligence_score, 0) DESC, s.model_id) AS INTEGER) AS place FROM s LEFT JOIN f ON f.snapshot_date = s.snapshot_date AND f.model_id = s.model_id)
+SELECT d.snapshot_date, q.section_no, section, coalesce(place, 0) AS place, coalesce(line, 'none') AS line FROM told d CROSS JOIN sections q LEFT JOIN numbered l ON l.snapshot_date = d.snapshot_date AND l.section_no = q.section_no
+UNION ALL SELECT snapshot_date, 7, 'TOP VALUE', place, concat(name, ', intelligence ', printf('%.1f', round(intelligence_score, 1)), ', ', {_LABEL.format(x="price")}, '/1M, deal ', printf('%.2f', round(comp, 2))) FROM best WHERE place <= 5
+UNION ALL SELECT snapshot_date, 0, 'STATUS', 1, concat('Changes since ', coalesce(CAST(before AS VARCHAR), 'N/A'), '. Data quality: ', CASE WHEN data_quality = 'first_run' THEN 'ok' ELSE data_quality END,
+  CASE WHEN sources_out <> '' THEN concat(', unavailable sources: ', sources_out) ELSE '' END, '.', CASE WHEN before IS NULL THEN ' First snapshot.' ELSE '' END, CASE WHEN scoring_changed THEN ' Scoring changed: no rank and frontier moves.' ELSE '' END) FROM told"""
+DATES["change_digest_ranked"] = ("snapshot_date",)
+
+MEMBER_LOOKUP = f"WITH {_ELIGIBLE} SELECT band, CAST(place AS INTEGER) AS place, model_id, name, round(price, 6) AS price, composite_deal_score FROM m WHERE place <= 8"
+
+BRIEF_SEED = f"""WITH {_ELIGIBLE} SELECT CAST(CASE band WHEN 'flagship' THEN 0 WHEN 'workhorse' THEN 1 ELSE 2 END AS INTEGER) AS band_order, model_id, name, composite_deal_score FROM m
+WHERE gated_in AND gate_place = 1 OR place = 1 AND NOT EXISTS (SELECT 1 FROM m g WHERE g.band = m.band AND g.gated_in)"""
+
+HERO_AND_RUNNERS_UP = f"""WITH RECURSIVE {_BOTH} SELECT model_id, arena_composite_score, frontier_rank AS frontier_rank_arena FROM scored LEFT JOIN f_arena USING (model_id)
+WHERE CASE WHEN EXISTS (SELECT 1 FROM f_arena) THEN frontier_rank IS NOT NULL ELSE arena_composite_score IS NOT NULL AND gated_in END
+ORDER BY frontier_rank NULLS LAST, arena_composite_score DESC NULLS LAST, composite_deal_score DESC NULLS LAST, coalesce(intelligence_score, 0) DESC, model_id LIMIT 4"""
+
+CHART_ORDER = f"WITH RECURSIVE {_BOTH} SELECT model_id, round(price, 6) AS price, CAST(row_number() OVER (ORDER BY price, model_id) AS BIGINT) AS step FROM f_arena"
+
+SNAPSHOT_ON = f"WITH raw AS ({SNAP}) SELECT model_id, intelligence_score, price FROM raw WHERE snapshot_date = DATE '1995-01-01'"
+
+ENDPOINT_UPTIMES = """WITH u AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS uptime_30m, max(CASE WHEN event_type = 'view' THEN value END) AS uptime_1d FROM events WHERE user_id % 7 > 0 GROUP BY user_id),
+i AS (SELECT user_id, event_id AS ingest_seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 10 = 0)
+SELECT concat('u', i.user_id) AS item_id, ingest_seq, CASE WHEN n = 1 THEN uptime_30m END AS uptime_30m, CASE WHEN n = 1 THEN uptime_1d END AS uptime_1d FROM i LEFT JOIN u USING (user_id)"""
+
+HISTORY_DAYS = TREND_DAYS.replace("SELECT snapshot_date, priced", "SELECT snapshot_date, priced", 1) + """ UNION ALL SELECT DATE '1990-01-01', 0, v, NULL, NULL, 0 FROM (VALUES ('25'), ('40'), ('50')) e(v)"""
+DATES["history_days"] = ("snapshot_date",)
+
+REJECTED_RECORDS = f"""WITH raws AS ({RAWS}), r AS (SELECT CASE WHEN price_input IS NULL THEN 'no price' WHEN price_input > 300000 THEN 'too dear' WHEN creator LIKE '%7' THEN 'creator' END AS reason FROM raws)
+SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM r GROUP BY ALL"""
+
+SOURCE_UNION = """WITH a AS (SELECT concat('part ', p_partkey) AS name, CAST(p_retailprice AS DOUBLE) AS price, row_number() OVER (ORDER BY p_brand, p_partkey) AS ingest_seq FROM part),
+b AS (SELECT concat('supplier ', s_suppkey) AS name, NULL::DOUBLE AS price, 2 * 4503599627370496 + row_number() OVER (ORDER BY s_suppkey) AS ingest_seq FROM supplier) SELECT * FROM a UNION ALL SELECT * FROM b"""
+
+PAGE_SLUGS = """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs FROM pages), s AS (SELECT page_id, list_filter(list_transform(list_filter(hrefs, lambda h: NOT contains(h, 'the')), lambda h: regexp_extract(h, '^/([^/?#]+)', 1)), lambda x: x <> '') AS slugs FROM l)
+SELECT page_id, slugs[1] AS slug FROM s WHERE len(slugs) > 0"""
+
+HTML_LEADERBOARD = """SELECT p_partkey // 40 AS page_id, concat('p-', p_partkey) AS model_id, concat('Part ', p_partkey) AS name, p_brand AS creator, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 70 AS DOUBLE) END AS intelligence_score,
+  CAST(p_partkey % 90 AS DOUBLE) AS price_blended, CAST(p_partkey % 30 * 1000 AS BIGINT) AS context_window_k FROM part"""
+
+FAQ_ITEMS = """SELECT p_partkey // 40 AS page_id, concat('part-', p_partkey) AS model_id, concat('Part ', p_partkey) AS name, CAST(p_partkey % 70 AS DOUBLE) AS intelligence_score FROM part"""
+
+MERGED_LISTS = f"""WITH raws AS ({RAWS}), r AS (SELECT *, concat('cust-', regexp_extract(name, '#0*([1-9][0-9]*)', 1)) AS k, CASE source WHEN 'leaderboard' THEN 0 WHEN 'coding' THEN 1 WHEN 'arena-text' THEN 3 WHEN 'openrouter' THEN 5 ELSE 50 END AS prio FROM raws)
+SELECT k, coalesce(arg_min(concat('in-', ingest_seq % 4, CASE WHEN ingest_seq % 3 = 0 THEN ',text' ELSE '' END), prio::BIGINT * 1000000000 + ingest_seq) FILTER (ingest_seq % 5 > 0), '') AS modalities FROM r GROUP BY k"""
+
+THIN_DAYS = f"WITH {_DAYS} SELECT snapshot_date, CAST(threshold AS VARCHAR) AS threshold, n, n < 3 AS low FROM days"
+DATES["thin_days"] = ("snapshot_date",)
+
+PRICE_QUANTILES = f"""WITH cat AS ({CAT}), f AS (UNPIVOT (SELECT price_blended, price_input, price_output FROM cat) ON price_blended, price_input, price_output INTO NAME field VALUE v)
+SELECT field, part, round(CASE part WHEN 0.1 THEN quantile_cont(v, 0.1) WHEN 0.5 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.95) END, 6) AS value FROM f, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) q(part) WHERE v > 0 GROUP BY field, part"""
+
+SNAPSHOT_DOCUMENTS = f"""WITH {_EVENTS}, m AS (SELECT snapshot_date, count(*) AS total_models, round(sum(price), 3) AS price, CAST(ceil(count(*) / 100) AS BIGINT) AS model_parts, arg_max(model_id, (intelligence_score, model_id)) AS hero FROM snap GROUP BY snapshot_date),
+e AS (SELECT snapshot_date, count(*) AS total_events, CAST(ceil(count(*) / 100) AS BIGINT) AS event_parts, round(sum(new), 3) AS news FROM ev GROUP BY snapshot_date), {_SUMMARY}
+SELECT m.snapshot_date, total_models, coalesce(total_events, 0) AS total_events, model_parts, coalesce(event_parts, 0) AS event_parts, hero, price, news, data_quality, total_models AS read_models, least(total_models, 100) AS largest_document
+FROM m LEFT JOIN e USING (snapshot_date) JOIN summed USING (snapshot_date)"""
+DATES["snapshot_documents"] = ("snapshot_date",)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions import cells, names, pricing
-from pricelens.operators import bands, changes, reports, resolve, scoring, skyline, trends
+from pricelens.operators import bands, changes, ranges, reports, resolve, scoring, skyline, trends
 from pricelens.plans import oracles, views
 from pricelens.sources import landed, store
 
@@ -64,7 +64,7 @@ def effective_price(spark, sf_dir):
 
 @query
 def composite_scores(spark, sf_dir):
-    return scored(spark, sf_dir).select("model_id", "value_score", "arena_value", "composite_deal_score", "arena_composite_score", scoring.passes_gate().alias("gated_in"), scoring.is_deal_candidate("intel").alias("candidate"))
+    return scored(spark, sf_dir).select("model_id", "value_score", "coding_value", "arena_value", "arena_coding_value", "composite_deal_score", "arena_composite_score", scoring.passes_gate().alias("gated_in"), scoring.is_deal_candidate("intel").alias("candidate"))
 
 
 @query
@@ -166,8 +166,24 @@ def change_counts(spark, sf_dir):
 
 @query
 def change_digest(spark, sf_dir):
-    rows = views.snapshots(spark, sf_dir)
-    return changes.digest(changes.change_events(rows), changes.change_summary(rows))
+    tracked = changes.track(views.snapshots(spark, sf_dir))
+    return changes.digest(changes.events_of(tracked), changes.summary_of(tracked))
+
+
+@query
+def change_digest_ranked(spark, sf_dir):
+    """With frontiers, scores, the five best of each snapshot, and a scoring version that changes in some years."""
+    rows = ranked_snapshots(spark, sf_dir).drop("coding_value", "uptime_30m", "uptime_1d")
+    year = F.year("snapshot_date")
+    rows = store.lineage_cut(rows.withColumn("scoring_version", F.when((year >= 1996) | (year % 2 == 0), 2)))
+    tracked = changes.track(rows)
+    return changes.digest(changes.events_of(tracked), changes.summary_of(tracked), top=changes.top_of_days(rows))
+
+
+@query
+def event_totals(spark, sf_dir):
+    tracked = changes.track(views.snapshots(spark, sf_dir))
+    return changes.event_totals(changes.events_of(tracked), changes.summary_of(tracked))
 
 
 @query
@@ -309,4 +325,146 @@ def renamed_items(spark, sf_dir):
     """Removed and new items of one snapshot that carry the same name: every hundredth part has another id in odd years."""
     moved = (F.year("snapshot_date") % 2 == 1) & (F.substring("model_id", 2, 9).cast("int") % 100 == 0)
     rows = views.snapshots(spark, sf_dir).withColumn("model_id", F.when(moved, F.concat(F.col("model_id"), F.lit("b"))).otherwise(F.col("model_id")))
-    return changes.renames(changes.change_events(rows), rows.select("model_id", "name"))
+    return changes.renames(changes.change_events(rows))
+
+
+@query
+def member_lookup(spark, sf_dir):
+    """The members of each band as whole rows."""
+    rows = store.lineage_cut(scored(spark, sf_dir))
+    return bands.member_rows(bands.band_leaderboard(rows), rows).select("band", "place", "model_id", "name", F.round("price", 6).alias("price"), "composite_deal_score")
+
+
+@query
+def brief_seed(spark, sf_dir):
+    rows = store.lineage_cut(scored(spark, sf_dir))
+    return reports.band_seed(bands.band_leaderboard(rows), rows).select("band_order", "model_id", "name", "composite_deal_score")
+
+
+@query
+def hero_and_runners_up(spark, sf_dir):
+    return reports.hero_and_runners_up(skyline.annotate_frontier(scored(spark, sf_dir)), "arena").select("model_id", "arena_composite_score", "frontier_rank_arena")
+
+
+@query
+def chart_order(spark, sf_dir):
+    """The arena frontier as steps by rising price."""
+    found = skyline.view_frontier(scored(spark, sf_dir), "arena")
+    return ranges.numbered(reports.chart_order(found), [], ["price", "model_id"], "step").select("model_id", F.round("price", 6).alias("price"), "step")
+
+
+@query
+def snapshot_on(spark, sf_dir):
+    """One snapshot of a written history: its date is a partition filter."""
+    folder = store.scratch(spark)
+    store.write_snapshots(views.snapshots(spark, sf_dir), folder)
+    return reports.snapshot_on(store.read_snapshots(spark, folder), "snapshot_date", "1995-01-01").select("model_id", "intelligence_score", "price")
+
+
+@query
+def endpoint_uptimes(spark, sf_dir):
+    """Endpoint documents made of users' events, and items that repeat a user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    item = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    end = F.struct(of("click").alias("uptime_last_30m"), of("view").alias("uptime_last_1d"))
+    docs = events.where("user_id % 7 > 0").groupBy(item.alias("item_id")).agg(F.to_json(F.struct(F.struct(F.collect_list(end).alias("endpoints")).alias("data"))).alias("body"))
+    items = events.where("event_id % 10 = 0").select(item.alias("item_id"), F.col("event_id").alias("ingest_seq"))
+    return landed.with_uptimes(items, landed.endpoint_uptimes(docs)).select("item_id", "ingest_seq", "uptime_30m", "uptime_1d")
+
+
+@query
+def history_days(spark, sf_dir):
+    """Days of landed documents, one of them without items."""
+    folder = store.scratch(spark)
+    store.export_json(views.history(spark, sf_dir), folder)
+    spark.range(1).select(F.lit('{"date": "1990-01-01", "models": []}').alias("value")).write.mode("append").text(folder)
+    days, items = landed.history_tables(spark, folder)
+    found = trends.trend_days(items, days=days)
+    return found.select("snapshot_date", "priced", trends.threshold_key(F.col("threshold")).alias("threshold"), "cheapest", F.round("median", 7).alias("median"), "n")
+
+
+@query
+def rejected_records(spark, sf_dir):
+    checks = {"no price": F.col("price_input").isNotNull(), "too dear": F.col("price_input") <= 300000, "creator": F.coalesce(~F.col("creator").like("%7"), F.lit(True))}
+    valid, rejected = resolve.split_valid(views.records(spark, sf_dir), checks)
+    return resolve.rejections(rejected).unionByName(valid.groupBy().agg(F.lit("valid").alias("reason"), F.count(F.lit(1)).alias("n")))
+
+
+@query
+def source_union(spark, sf_dir):
+    """Parts, a source that is missing, and suppliers, numbered by arrival."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_partkey", F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_retailprice").cast("double").alias("price"))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("name"))
+    return landed.union_sources([(part, ["p_brand", "p_partkey"]), (None, []), (supplier, ["s_suppkey"])]).select("name", "price", "ingest_seq")
+
+
+@query
+def page_slugs(spark, sf_dir):
+    return landed.page_slugs(spark.read.parquet(f"{sf_dir}/pages.parquet"), skip="the")
+
+
+def _part_pages(spark, sf_dir, row, head: str, tail: str, sep: str):
+    """Pages of up to 40 parts each, by their keys."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.floor(k / 40).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))).alias("all"))
+    return rows.select("page_id", F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["row"]), sep), F.lit(tail)).alias("html"))
+
+
+@query
+def html_leaderboard(spark, sf_dir):
+    """Tables with titles, icons, links of providers and of items."""
+    k = F.col("p_partkey")
+    text = lambda x: x.cast("string")
+    links = F.concat(F.lit('<a href="/providers/models/no">host</a> <a href="/models/p-'), text(k), F.lit('?x=1">more</a>'))
+    row = F.concat(F.lit("<tr><td>Part "), text(k), F.lit(" ★ new</td><td>"), F.col("p_brand"), F.lit(".svg</td><td>"), F.when(k % 5 > 0, text(k % 70)).otherwise("—"), F.lit("</td><td>$"), text(k % 90), F.lit("</td><td>"), text(k % 30), F.lit("m</td><td>"), links, F.lit("</td></tr>"))
+    head = "<table><tr><th>Model</th><th>Creator</th><th>Artificial Intelligence Index</th><th>Blended price</th><th>Context window</th><th>Links</th></tr>"
+    return landed.html_leaderboard(_part_pages(spark, sf_dir, row, head, "</table>", "")).select("page_id", "model_id", "name", "creator", "intelligence_score", "price_blended", "context_window_k")
+
+
+@query
+def faq_items(spark, sf_dir):
+    k = F.col("p_partkey")
+    row = F.concat(F.lit("1. Part "), k.cast("string"), F.lit(" ("), (k % 70).cast("string"), F.lit(")"))
+    head, tail = '<script type="application/ld+json">{"@type": "FAQPage", "mainEntity": [{"acceptedAnswer": {"text": "', '"}}]}</script>'
+    return landed.faq_items(_part_pages(spark, sf_dir, row, head, tail, ", ")).select("page_id", "model_id", "name", "intelligence_score")
+
+
+@query
+def merged_lists(spark, sf_dir):
+    """Of each customer the first list that isn't empty."""
+    n = F.col("ingest_seq")
+    some = F.array_compact(F.array(F.concat(F.lit("in-"), (n % 4).cast("string")), F.when(n % 3 == 0, "text")))
+    rows = views.records(spark, sf_dir).withColumn("modalities", F.when(n % 5 > 0, some).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("k", F.concat(F.lit("cust-"), F.regexp_extract("name", "#0*([1-9][0-9]*)", 1)))
+    return resolve.coalesce_fields(rows, (), ("modalities",), by="k").select("k", F.array_join("modalities", ",").alias("modalities"))
+
+
+@query
+def thin_days(spark, sf_dir):
+    found = trends.thin_days(trends.trend_days(views.history(spark, sf_dir)))
+    return found.select("snapshot_date", trends.threshold_key(F.col("threshold")).alias("threshold"), "n", "low")
+
+
+@query
+def price_quantiles(spark, sf_dir):
+    found = reports.price_quantiles(views.catalog(spark, sf_dir), ("price_blended", "price_input", "price_output"), (0.1, 0.5, 0.95))
+    return found.select("field", F.col("at").alias("part"), F.round("value", 6).alias("value"))
+
+
+@query
+def snapshot_documents(spark, sf_dir):
+    """Every snapshot as documents of at most 100 rows, read back."""
+    folder, day = store.scratch(spark), "snapshot_date"
+    rows = store.lineage_cut(views.snapshots(spark, sf_dir))
+    tracked = changes.track(rows)
+    hero = rows.groupBy(day).agg(F.max_by(F.struct("model_id", "intelligence_score"), F.struct("intelligence_score", "model_id")).alias("h")).select(day, "h.*")
+    events = changes.events_of(tracked)
+    store.export_documents(rows, {"hero": hero}, events, changes.summary_of(tracked), folder, per_part=100)
+    header = "date string, total_models long, total_events long, parts struct<models:long,events:long>, hero array<struct<model_id:string>>, changelog struct<data_quality:string>"
+    head, models, told = store.read_documents(spark, folder, header, "model_id:string,price:double", "kind:string,new:double")
+    sums = models.groupBy(day).agg(F.count(F.lit(1)).alias("read_models"), F.round(F.sum("price"), 3).alias("price"))
+    news = told.groupBy(day).agg(F.round(F.sum("new"), 3).alias("news"))
+    sizes = spark.read.schema("date string, models array<struct<model_id:string>>").json(f"{folder}/models").groupBy(F.col("date").cast("date").alias(day)).agg(F.max(F.size("models")).cast("long").alias("largest_document"))
+    flat = head.select(F.col("date").cast("date").alias(day), "total_models", "total_events", F.col("parts.models").alias("model_parts"), F.col("parts.events").alias("event_parts"), F.get("hero", F.lit(0))["model_id"].alias("hero"), "changelog.data_quality")
+    return flat.join(sums, day).join(news, day, "left").join(sizes, day)

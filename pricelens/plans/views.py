@@ -19,7 +19,9 @@ SELECT concat('p', p_partkey) AS model_id, concat(p_name, ' ', p_brand) AS name,
   CASE WHEN p_partkey % 8 = 3 THEN u / 400 END AS openrouter_price_output,
   spd AS output_speed_tps,
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(90 + p_partkey % 11 AS DOUBLE) END AS uptime_30m,
-  CAST(NULL AS DOUBLE) AS uptime_1d,
+  CASE WHEN p_partkey % 6 = 1 THEN CAST(93 + p_partkey % 7 AS DOUBLE) END AS uptime_1d,
+  CASE WHEN p_partkey % 4 = 2 THEN NULL ELSE CAST(10 + p_partkey % 45 AS DOUBLE) END AS coding_index,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(900 + p_size * 9 AS DOUBLE) END AS arena_coding_elo,
   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(1000 + p_size * 10 AS DOUBLE) END AS arena_elo
 FROM part LEFT JOIN (
   SELECT l_partkey, round(avg(l_extendedprice / l_quantity), 4) AS u, round(sum(l_quantity) / 5, 2) AS spd FROM lineitem GROUP BY l_partkey
