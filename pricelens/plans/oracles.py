@@ -352,3 +352,27 @@ e AS (SELECT snapshot_date, count(*) AS total_events, CAST(ceil(count(*) / 100)
 SELECT m.snapshot_date, total_models, coalesce(total_events, 0) AS total_events, model_parts, coalesce(event_parts, 0) AS event_parts, hero, price, news, data_quality, total_models AS read_models, least(total_models, 100) AS largest_document
 FROM m LEFT JOIN e USING (snapshot_date) JOIN summed USING (snapshot_date)"""
 DATES["snapshot_documents"] = ("snapshot_date",)
+
+
+def _day_catalog(n: int, where: str) -> str:
+    """CTE c<n>: the merged, scored catalog of the records that a day has; records of the first source arrive first."""
+    order = "prio::BIGINT * 1000000000000000 + seen"
+    first = lambda c: f"arg_min({c}, {order}) FILTER ({c} IS NOT NULL) AS {c}"
+    return f"""r{n} AS (SELECT * EXCLUDE (price_input), price_input / 100000 AS price_input, CASE WHEN source IN ('leaderboard', 'coding') THEN 0 ELSE 1000000000000 END + ingest_seq AS seen,
+    CASE source WHEN 'leaderboard' THEN 0 WHEN 'coding' THEN 1 WHEN 'arena-text' THEN 3 WHEN 'openrouter' THEN 5 ELSE 50 END AS prio,
+    trim(regexp_replace(lower(regexp_replace(regexp_replace(name, ' \\(Nov 24\\)', ''), ' v1\\.2', '')), '[^a-z0-9 ]', '', 'g')) AS norm FROM raws WHERE {where}
+  ), f{n} AS (SELECT norm, arg_min(model_id, seen) AS id FROM r{n} GROUP BY norm
+  ), g{n} AS (SELECT r.*, CASE WHEN regexp_matches(id, '[a-z]') THEN id ELSE replace(norm, ' ', '-') END AS slug FROM r{n} r JOIN f{n} USING (norm)
+  ), m{n} AS (SELECT slug AS model_id, {first("price_input")}, {first("intelligence_score")} FROM g{n} GROUP BY slug
+  ), v{n} AS (SELECT *, CASE WHEN price_input IS NOT NULL THEN round(intelligence_score / greatest(price_input, 0.05), 4) END AS value_score FROM m{n}
+  ), c{n} AS (SELECT *, CASE WHEN value_score IS NOT NULL THEN round(0.5 * {_leg("value_score", 5.0, 500.0)} + 0.3 * 0.5 + 0.2 * 0.5, 4) END AS comp FROM v{n})"""
+
+
+DAILY_RUN = f"""WITH raws AS ({RAWS}), {_day_catalog(1, "ingest_seq % 4 < 3")}, {_day_catalog(2, "ingest_seq % 5 > 0")}, b AS (
+  SELECT *, CASE WHEN intelligence_score >= 40 THEN 'flagship' WHEN intelligence_score >= 25 THEN 'workhorse' ELSE 'budget' END AS band FROM c2 WHERE comp IS NOT NULL
+), p AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY comp DESC, intelligence_score DESC, model_id) AS place FROM b
+), j AS (SELECT coalesce(t.model_id, p.model_id) AS model_id, t.model_id IS NOT NULL AS has_t, p.model_id IS NOT NULL AS has_p, t.price_input AS tp, p.price_input AS pp, t.intelligence_score AS ti, p.intelligence_score AS pi FROM c2 t FULL OUTER JOIN c1 p ON t.model_id = p.model_id
+), e AS (
+  SELECT 'new' AS what FROM j WHERE NOT has_p UNION ALL SELECT 'price' FROM j WHERE tp <> 0 AND pp > 0 AND abs((tp - pp) / pp) >= 0.05 UNION ALL SELECT 'intelligence' FROM j WHERE abs(ti - pi) >= 0.5
+  UNION ALL SELECT 'removed' FROM j WHERE NOT has_t AND (SELECT count(*) FROM j WHERE NOT has_t) <= greatest(20, floor(0.05 * (SELECT count(*) FROM c1))))
+SELECT band AS what, count(*) AS n, max(model_id) FILTER (place = 1) AS id FROM p GROUP BY band UNION ALL SELECT what, count(*), NULL FROM e GROUP BY what"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions import cells, names, pricing
 from pricelens.operators import bands, changes, ranges, reports, resolve, scoring, skyline, trends
-from pricelens.plans import oracles, views
+from pricelens.plans import daily, oracles, views
 from pricelens.sources import landed, store
 
 FLAGSHIP = "best_value_frontier"
@@ -468,3 +468,17 @@ def snapshot_documents(spark, sf_dir):
     sizes = spark.read.schema("date string, models array<struct<model_id:string>>").json(f"{folder}/models").groupBy(F.col("date").cast("date").alias(day)).agg(F.max(F.size("models")).cast("long").alias("largest_document"))
     flat = head.select(F.col("date").cast("date").alias(day), "total_models", "total_events", F.col("parts.models").alias("model_parts"), F.col("parts.events").alias("event_parts"), F.get("hero", F.lit(0))["model_id"].alias("hero"), "changelog.data_quality")
     return flat.join(sums, day).join(news, day, "left").join(sizes, day)
+
+
+@query
+def daily_run(spark, sf_dir):
+    """Two days of records in two sources; of the second day its bands and how many events of each kind there are."""
+    folder = store.scratch(spark)
+    rows = views.records(spark, sf_dir).withColumn("price_input", F.col("price_input") / 100000)
+    first = F.array_contains("source_pages", "leaderboard") | F.array_contains("source_pages", "coding")
+    for day, part in (("2026-01-01", F.col("ingest_seq") % 4 < 3), ("2026-01-02", F.col("ingest_seq") % 5 > 0)):
+        own = rows.where(part)
+        sources = [(x.withColumnRenamed("ingest_seq", "seq"), ["seq"]) for x in (own.where(first), own.where(~first))]
+        out = daily.build_snapshot(spark, sources, folder, day, fuzzy=False)
+    counts = out.events.where("kind in ('new', 'removed', 'price', 'intelligence')").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return out.bands.select(F.col("band").alias("what"), "n", F.col("leader_id").alias("id")).unionByName(counts.select(F.col("kind").alias("what"), "n", F.lit(None).cast("string").alias("id")))
