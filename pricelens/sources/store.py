@@ -27,9 +27,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_root(spark)}/snapshots-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str = "snapshots") -> str:
+    """A new folder below the shared one, still to be written; it goes when the application ends."""
+    context, top = spark.sparkContext, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(top)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{top}/rows"
 
 
 def lineage_cut(rows: DataFrame) -> DataFrame:
