@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.sources.store import lineage_cut, scratch, shared_root
+
+__all__ = ["WORD", "attach", "bounded_sample", "fresh", "lineage_cut", "shared_folder", "shared_root", "table", "text_of"]
+
 #: A word: a longest run of anything but ASCII white space (as a Java regular expression).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,29 +22,9 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def lineage_cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share and read back from it."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir or the session's checkpoint folder. Only a session that runs
-    in one machine may do without; it gets a temporary one."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if root is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share; it goes when the application ends."""
+    return scratch(spark, "llm")
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:

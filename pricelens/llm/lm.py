@@ -198,14 +198,25 @@ def write(folder: str, name: str, arrays: dict) -> None:
     store.move(aside, f"{path}/{name}")
 
 
-@functools.lru_cache(maxsize=4096)
 def read(folder: str, name: str) -> dict:
-    """A shard, mapped into memory where the shared folder is mounted; else its bytes are read once by a task."""
+    """A shard, mapped into memory where the shared folder is mounted; else its bytes are read, and a task keeps few of them."""
+    store, path = fs.FileSystem.from_uri(folder)
+    return _mapped(f"{path}/{name}") if isinstance(store, fs.LocalFileSystem) else _loaded(folder, name)
+
+
+@functools.lru_cache(maxsize=4096)
+def _mapped(where: str) -> dict:
+    return _arrays(np.memmap(where, np.uint8, "r").view(np.ndarray)) if os.path.exists(where) else {}
+
+
+@functools.lru_cache(maxsize=16)
+def _loaded(folder: str, name: str) -> dict:
     store, path = fs.FileSystem.from_uri(folder)
     where = f"{path}/{name}"
-    if store.get_file_info(where).type == fs.FileType.NotFound:
-        return {}
-    raw = np.memmap(where, np.uint8, "r").view(np.ndarray) if isinstance(store, fs.LocalFileSystem) else np.frombuffer(store.open_input_stream(where).read(), np.uint8)
+    return {} if store.get_file_info(where).type == fs.FileType.NotFound else _arrays(np.frombuffer(store.open_input_stream(where).read(), np.uint8))
+
+
+def _arrays(raw: np.ndarray) -> dict:
     out: dict = {}
     at = 4096
     for line in bytes(raw[:4096]).decode().strip().split("\n"):
