@@ -6,8 +6,10 @@ which gives at every word the length of the longest sequence ending there that s
 reaches a window (13 words, or a whole item that is shorter), the words of the match are hit.
 
 The automaton is broadcast, so it covers a bounded number of item words: a larger benchmark is cut into blocks of items,
-each with an automaton of its own. The documents are then streamed once for each block, one job after the other, so that no
-worker ever holds more than one automaton; only the rows that are hit come out of such a job.
+each with an automaton of its own. Then one pass over the documents first asks, for all blocks at once, whether any window of
+a document may be an item's: hashes of all items' windows set bits of a table of fixed size, which tasks count together. Only
+documents that may be hit are streamed, once for each block and one job after the other, so that no worker ever holds
+more than one automaton. A full table lets more documents through, it loses none.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ WINDOW = 13
 COVERAGE = 20
 #: Item words to an automaton; it takes some 600 bytes a word.
 BLOCK_WORDS = 100_000
+#: The table of windows has 2 ** this many bits (16 MB).
+TABLE_BITS = 27
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: ASCII letters to lower case, every other ASCII byte that is no letter or digit to a space; the rest stays.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -158,11 +164,56 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple
     yield block
 
 
+def windows(words: list[bytes], sizes: list[int]) -> np.ndarray:
+    """Places in the table of all windows of these sizes, longer ones after shorter ones."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out, rolled = [], hashes
+    for size in range(1, min(max(sizes, default=0), len(words)) + 1):
+        if size > 1:
+            rolled = rolled[:-1] * _BASE + hashes[size - 1 :]
+        if size in sizes:
+            mixed = (rolled ^ (rolled >> np.uint64(29))) * _MIX
+            out.append((mixed >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def window_table(benchmark: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """The table's bits, packed, and the sizes of windows that there are. Tasks hash the items and merge their bits; 64 of them
+    are a row, so the driver gets a bounded number of rows whatever the benchmark's size."""
+
+    @F.pandas_udf("size int, places array<long>")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        split = [words_of(t) for t in texts]
+        sizes = [min(window, len(w)) for w in split]
+        return pd.DataFrame({"size": sizes, "places": [windows(w, [n]) if n else np.zeros(0, np.int64) for w, n in zip(split, sizes, strict=True)]})
+
+    rows = lineage_cut(benchmark.select(hashed("text").alias("x")).select("x.*"))
+    sizes = sorted(r["size"] for r in rows.select("size").distinct().collect() if r["size"])
+    bits = rows.select(F.explode("places").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("row")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table[bits["row"].to_numpy(np.int64)] = bits["bits"]
+    return table, sizes
+
+
+def may_hit(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The documents of which some window's bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(window_table(benchmark, window))  # 16 MB and a few numbers
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        table, sizes = shared.value
+        at = [windows(words_of(t), sizes) for t in texts]
+        return pd.Series([bool(((table[p >> 6] >> (p & 63)) & 1).any()) for p in at], dtype=bool)
+
+    return docs.where(known("text"))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with n_words, hits (array of start, end in words) and items (array of item ids, sorted as strings).
 
-    Null and empty texts have no words and no hits. Items without words never hit; items that share an id count as one. A
-    document's row is handled by itself, whatever its doc_id. Existing columns with these names are replaced."""
+    Null and empty texts have no words and no hits, very long ones are streamed whole. Items without words never hit; items that
+    share an id count as one. A document's row is handled by itself, whatever its doc_id, so repeated rows agree; an empty
+    table gives no rows, an empty benchmark no hits. Existing columns with these names are replaced."""
     docs = docs.drop("n_words", "hits", "items")
     spark = docs.sparkSession
     result = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -187,28 +238,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         found = docs.withColumn(name, scan(spark.sparkContext.broadcast(Automaton(block, window))))
         return found.select(*docs.columns, F.col(name)["n_words"].alias("n_words"), F.col(name)["spans"].alias("hits"), F.col(name)["items"].alias("items"))
     docs = lineage_cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    texts, hit = docs.select(row, "text"), None
+    texts, hit = lineage_cut(may_hit(docs.select(row, "text"), benchmark, window)), None
     while block is not None:
         shared = spark.sparkContext.broadcast(Automaton(block, window))
         some = lineage_cut(texts.withColumn(name, scan(shared)).where(F.size(F.col(name)["spans"]) > 0).select(row, f"{name}.spans", f"{name}.items"))
         shared.unpersist()
         hit = some if hit is None else hit.unionByName(some)
         block, after = after, next(parts, None)
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for spans in batches:
+            yield pd.Series([[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in s])] for s in spans], dtype=object)
+
     whole = hit.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = whole.withColumn("hits", joined("hits"))
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
     counted = docs.join(whole, row, "left").withColumn("n_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    return counted.withColumn("hits", merged(none("hits", "array<struct<start:int,end:int>>"))).withColumn("items", none("items", "array<string>")).drop(row)
-
-
-def merged(spans):
-    """Spans in order, those that overlap or touch made one."""
-
-    def step(done, x):
-        last = F.get(done, F.size(done) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (last["end"] >= x["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+    return counted.withColumn("hits", none("hits", "array<struct<start:int,end:int>>")).withColumn("items", none("items", "array<string>")).drop(row)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch made one; each is looked at once."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:

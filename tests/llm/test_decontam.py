@@ -94,3 +94,17 @@ def test_empty_tables(spark):
     frame, bench, docs, _ = tables(spark)
     assert decontam.decontaminate(frame.limit(0), bench).count() == 0
     assert decontam.decontaminate(frame, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
+
+
+def test_only_documents_that_may_be_hit_are_streamed(spark):
+    frame, bench, docs, items = tables(spark)
+    named = [(str(i), decontam.words_of(t)) for i, t in enumerate(items)]
+    kept = {r.n_hit for r in decontam.may_hit(frame, bench, 13).collect()}
+    hit = {i for i, (_, t) in enumerate(docs) if brute(decontam.words_of(t), named, 13)[0]}
+    assert hit <= kept and len(kept - hit) <= 1
+    full = decontam.windows(decontam.words_of("a b c d"), [2, 4])
+    assert len(full) == 4 and full[3] == decontam.windows(decontam.words_of("A. b, c d"), [4])[0] and len(decontam.windows([], [2])) == 0
+
+
+def test_merged_spans():
+    assert decontam.merged([(5, 9), (1, 3), (3, 4), (6, 7), (20, 21)]) == [(1, 4), (5, 9), (20, 21)]
