@@ -74,21 +74,26 @@ def encode(values: np.ndarray, searched: bool = True) -> dict[str, np.ndarray]:
     return {"head": np.array([n, low], np.uint64), "words": words, **counts, "lows": np.concatenate([*packed, np.zeros(16, np.uint8)])}
 
 
+#: The place of the (rank + 1)-th one of a byte, by byte and rank.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int8).reshape(-1)
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def _select(words: np.ndarray, before: np.ndarray, at: np.ndarray, flip: bool) -> np.ndarray:
     """The place of the (at + 1)-th one (zero, if flip) among the bits of words."""
     word = np.searchsorted(before, at, side="right") - 1
-    rest = at - before[word].astype(np.int64)
+    rest = (at - before[word].astype(np.int64)).astype(np.uint64)
     bits = ~words[word] if flip else words[word]
-    place, width = word * 64, 32
-    while width:  # halve the word, six times
-        below = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-        up = rest >= below
-        rest -= up * below
-        step = up * width
-        bits >>= step.astype(np.uint64)
-        place += step
-        width >>= 1
-    return place
+    # Ones of each byte and those before it, all bytes of a word at once.
+    sums = bits - (bits >> np.uint64(1) & np.uint64(0x5555555555555555))
+    sums = (sums & np.uint64(0x3333333333333333)) + (sums >> np.uint64(2) & np.uint64(0x3333333333333333))
+    sums = (sums + (sums >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    # A byte is passed if the ones up to its end are no more than the rest; the sum of such bytes is the byte to look into.
+    passed = ((rest * _EACH | _TOPS) - sums & _TOPS) >> np.uint64(7)
+    shift = (passed * _EACH >> np.uint64(56)) << np.uint64(3)
+    rest -= (sums << np.uint64(8)) >> shift & np.uint64(0xFF)
+    byte = bits >> shift & np.uint64(0xFF)
+    return word * 64 + shift.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3) | rest).astype(np.int64)]
 
 
 def _lows(code: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
