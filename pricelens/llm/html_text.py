@@ -313,8 +313,8 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """The pages with text, the article's (empty if none), and n_chars, its code points.
 
-    Lines are blocks in page order; white space inside a block is one space. Null and empty html has no text. A page is
-    handled by itself, so repeated rows agree. Existing columns of these names are replaced."""
+    Lines are blocks in page order; white space inside a block is one space. Null and empty html has no text, a very long one is
+    read whole in linear time. A page is handled by itself, so repeated rows agree; an empty table gives no rows. Existing columns of these names are replaced."""
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -41,7 +41,8 @@ def source_key(source: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(skey, source_size, n_docs) to the same with target. One row per source: sources are few next to documents.
+    """(skey, source_size, n_docs) to the same with target. One row per source: sources are few next to documents. All
+    sources are ranked in one task, some 100 bytes to a source: it holds for up to some ten million sources.
 
     Sources in the order of `most * size / weight` reach their bound one after the other as the level rises, so running
     sums in that order say which do; the level of the rest follows from what is left."""
@@ -109,7 +110,8 @@ def mixed(decided: DataFrame) -> DataFrame:
     """The documents of the mix, from the rows of mix(): a row to each pass over a document, with copy, the pass's number.
 
     What is taken 0 times goes, whole passes repeat the text, and a text at the border ends with its last taken word (the
-    white space before its words stays). n_chars, where there is one, is that of the new text. taken is the document's as
+    white space before its words stays). Null texts and texts without words have no words to take, so they go; rows with one
+    doc_id are documents of their own, each with its own copies; very long texts are cut whole. A column copy is replaced. n_chars, where there is one, is that of the new text. taken is the document's as
     before, so a row holds the least of size and what earlier copies leave."""
     columns = [c for c in decided.columns if c.lower() != "copy"]
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))

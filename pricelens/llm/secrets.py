@@ -142,7 +142,8 @@ def scan(docs: DataFrame, ratio: np.ndarray | None = None, least: float = MARGIN
 
 
 def redact(docs: DataFrame, ratio: np.ndarray | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """scan() with each stretch of overlapping spans in text replaced by a mark."""
+    """scan() with each stretch of overlapping spans in text replaced by a mark; the column secrets stays, with the places that the
+    spans had before. Nulls, empty and very long texts, ties and repeated rows are as in scan()."""
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:

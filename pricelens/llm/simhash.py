@@ -128,7 +128,8 @@ def components(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Dat
     """The documents' (doc_id, fp, component_id): the smallest doc_id that links reach, the document itself included.
 
     Rows that share a doc_id stay separate rows. A null doc_id counts as the largest of ids: a group of only such has null.
-    Documents without words are linked by their fingerprint 0 like any others. An empty table gives an empty result."""
+    Documents without words are linked by their fingerprint 0 like any others. A very long text is hashed whole, in blocks of
+    bounded memory. An empty table gives an empty result; other columns don't matter."""
     return labelled(docs, radius, crowd).drop("label")
 
 

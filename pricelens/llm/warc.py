@@ -42,7 +42,7 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = "1970-
     """(page_id, record_type, record): a record to a row, as text without the final break.
 
     Null html is an empty payload. White space and control characters in a url are percent-encoded as %20; a null url is
-    left out. A null page_id counts as the largest. Rows that share the smallest page_id of a payload are all responses."""
+    left out. A very long html is one record, below 2 GB. A null page_id counts as the largest. Rows that share the smallest page_id of a payload are all responses."""
     rows = pages.select("page_id", "url", text_of("html").alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     large = rows.where(F.col("bytes") >= least_bytes)
