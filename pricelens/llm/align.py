@@ -8,7 +8,10 @@ tokens of both end, which cut the groups; ranges of byte offsets give the links.
 
 In how many documents a pair of ids is linked is counted in the block by `Table.group_by`, and Spark merges the partial
 counts. The sums over a document's links need the merged counts of its block's pairs only: they are joined by pair and
-come back to their block, where they are summed by unit and then by document. Neither texts nor links are shuffled.
+come back to their block, where they are summed by unit and then by document. Texts are not shuffled.
+
+A block is written and shuffled as many small rows: one to a document, and pieces of what its units link to. So neither a
+writer nor a reader holds whole blocks as rows, and inside a block only a bounded number of units is worked on at once.
 """
 
 from __future__ import annotations
@@ -30,8 +33,14 @@ from pricelens.llm.common import shared_folder
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a block (a longer text is a block of its own), and units whose groups are written out at once.
+#: Bytes of text in a block (a longer text is a block of its own), and units whose groups are written out at once, and of
+#: whose documents the pairs are counted at once.
 BLOCK, WRITTEN = 4 << 20, 100_000
+#: Units tokenised at once, and numbers in a row of a block's links or pairs.
+PART = 1 << 13
+#: Rows that go to a Python worker at once, what a row counts for in a block besides its text, and bytes of a row group:
+#: a reader has a whole one in memory.
+BATCH_ROWS, ROW, ROW_GROUP = 250, 100, 8 << 20
 # Fixed value: how a byte-level BPE of this kind cuts a text before it merges bytes.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = 0x20
@@ -121,7 +130,20 @@ def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Aligned:
-    """Distinct units, tokenised and aligned. fine: the units whose tokens' bytes are the unit's own."""
+    """Distinct units, tokenised and aligned, PART at a time. fine: the units whose tokens' bytes are the unit's own."""
+
+    def __init__(self, pair: Pair, words: pa.Array):
+        parts = [_Part(pair, words.slice(k, PART)) for k in range(0, max(len(words), 1), PART)]
+        self.fine, self.n_a, self.n_b, self.n_groups, self.n_links = (np.concatenate([getattr(p, c) for p in parts]) for c in ("fine", "n_a", "n_b", "n_groups", "n_links"))
+        self.text = pa.concat_arrays([p.text for p in parts])
+        pairs, same = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True)
+        self.pairs_a, self.pairs_b = pairs >> 32, pairs & 0xFFFFFFFF
+        starts = _starts(np.array([len(p.pairs) for p in parts]))
+        self.links = np.concatenate([same[s + p.links].astype(np.int32) for s, p in zip(starts, parts, strict=True)])
+
+
+class _Part:
+    """Units tokenised and aligned at once; links are places in pairs, the part's own distinct ones."""
 
     def __init__(self, pair: Pair, words: pa.Array):
         data, offsets = _data(words)
@@ -157,8 +179,7 @@ class Aligned:
         first = np.searchsorted(b_end, a_start, "right")
         n = np.searchsorted(b_start, a_end, "left") - first
         code = (np.repeat(a_ids, n) << 32) | b_ids[_ragged(first, n)]
-        pairs, self.links = np.unique(code, return_inverse=True)
-        self.pairs_a, self.pairs_b = pairs >> 32, pairs & 0xFFFFFFFF
+        self.pairs, self.links = np.unique(code, return_inverse=True)
         self.n_links = np.bincount(np.repeat(a_unit, n), minlength=len(words))
 
     @staticmethod
@@ -195,17 +216,21 @@ def encode_block(pair: Pair, ids: pa.Array, texts: pa.Array) -> dict:
     for k, h in zip(known.tolist(), _hashes(found.text, own, counts), strict=True):
         hashes[k] = h
     units[known] = counts
-    doc = np.repeat(np.arange(len(known)), counts)
-    seen = pa.table({"doc": doc.astype(np.int32), "unit": own.astype(np.int32)}).group_by(["doc", "unit"], use_threads=False).aggregate([])
-    doc, unit = seen["doc"].to_numpy(), seen["unit"].to_numpy()
-    linked = found.links[_ragged(_starts(found.n_links)[unit], found.n_links[unit])]
-    once = pa.table({"doc": np.repeat(doc, found.n_links[unit]), "pair": linked.astype(np.int32)}).group_by(["doc", "pair"], use_threads=False).aggregate([])
-    part = once.group_by("pair", use_threads=False).aggregate([([], "count_all")])
-    at = part["pair"].to_numpy()
-    pack = lambda x: x.astype(np.int32).tobytes()
+    seen_in, first = np.zeros(len(found.pairs_a), np.int64), _starts(found.n_links)
+    ends = np.cumsum(counts)
+    low = 0
+    for high in [*(np.flatnonzero(np.diff(ends // WRITTEN)) + 1).tolist(), len(known)]:
+        doc, unit = np.repeat(np.arange(high - low, dtype=np.int32), counts[low:high]), own[ends[low - 1] if low else 0 : ends[high - 1] if high else 0]
+        seen = pa.table({"doc": doc, "unit": unit.astype(np.int32)}).group_by(["doc", "unit"], use_threads=False).aggregate([])
+        doc, unit = seen["doc"].to_numpy(), seen["unit"].to_numpy()
+        linked = found.links[_ragged(first[unit], found.n_links[unit])]
+        once = pa.table({"doc": np.repeat(doc, found.n_links[unit]), "pair": linked}).group_by(["doc", "pair"], use_threads=False).aggregate([])
+        seen_in += np.bincount(once["pair"].to_numpy(), minlength=len(seen_in))
+        low = high
+    at = np.flatnonzero(seen_in)
     return {
-        "doc_ids": ids, **n, "hashes": hashes, "units": pack(units), "own": pack(own), "unit_links": pack(found.n_links), "links": pack(found.links),
-        "at": at, "a": found.pairs_a[at], "b": found.pairs_b[at], "n": part["count_all"].to_numpy(),
+        "doc_ids": ids, **n, "hashes": hashes, "units": units, "own": own, "unit_links": found.n_links, "links": found.links,
+        "at": at, "a": found.pairs_a[at], "b": found.pairs_b[at], "n": seen_in[at],
     }
 
 
@@ -228,21 +253,54 @@ def _hashes(text: pa.Array, own: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
-_PACKED = "n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, units binary, own binary, unit_links binary, links binary, at array<int>, a array<int>, b array<int>, n array<int>"
+def _rows(block: int, made: dict) -> Iterator[pa.RecordBatch]:
+    """A row to a document, with its units as packed numbers; then the links of the block's units and its pairs, PART of each
+    to a row, whose place says which."""
+    ints = pa.list_(pa.int32())
+    schema = pa.schema(
+        [("block", pa.int64()), ("doc_id", made["doc_ids"].type), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("hash", pa.string()), ("own", pa.binary())]
+        + [("place", pa.int32()), ("unit_links", pa.binary()), ("links", pa.binary()), *((c, ints) for c in ("at", "a", "b", "n"))]
+    )
 
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        columns["block"] = np.full(rows, block)
+        return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema)
 
-def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive documents of so many bytes together, one at least."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
-        yield batch.slice(at, end - at)
-        at = end
+    pack = lambda x: x.astype(np.int32).tobytes()
+    edges = pa.py_buffer(pack(np.append(0, np.cumsum(made["units"])) * 4))
+    own = pa.Array.from_buffers(pa.binary(), len(made["units"]), [None, edges, pa.py_buffer(pack(made["own"]))])
+    yield batch(len(own), doc_id=made["doc_ids"], hash=made["hashes"], own=own, **{c: made[c] for c in ("n_a", "n_b", "n_groups", "n_links")})
+    lows = range(0, max(len(made[c]) for c in ("unit_links", "links", "at")), PART)
+    cut = lambda c: [made[c][k : k + PART] for k in lows]
+    yield batch(len(lows), place=np.arange(len(lows)), **{c: [pack(x) for x in cut(c)] for c in ("unit_links", "links")}, **{c: cut(c) for c in ("at", "a", "b", "n")})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of consecutive documents, so many bytes together, one document at least."""
+    held, room = [], size
+    told = lambda: tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW)
+        at = 0
+        while at < batch.num_rows:
+            gone = int(upto[at - 1]) if at else 0
+            end = max(at if held else at + 1, int(np.searchsorted(upto, gone + room, "right")))
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                room -= int(upto[end - 1]) - gone
+                at = end
+            if at < batch.num_rows:
+                yield told()
+                held, room = [], size
+    if held:
+        yield told()
+
+
+_PACKED = "n_a long, n_b long, n_groups long, n_links long, hash string, own binary, place int, unit_links binary, links binary, at array<int>, a array<int>, b array<int>, n array<int>"
 
 
 def encode(docs: DataFrame, folder: str = FOLDER, size: int = BLOCK) -> DataFrame:
-    """A row to a block of documents, written to the shared folder once: tokens are never made twice."""
+    """Blocks of documents (see `_rows`), written to the shared folder once: tokens are never made twice."""
     spark = docs.sparkSession
     files = []
     for name in (A_FILE, B_FILE):
@@ -252,25 +310,19 @@ def encode(docs: DataFrame, folder: str = FOLDER, size: int = BLOCK) -> DataFram
     sent = spark.sparkContext.broadcast(files)  # two vocabularies: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, n = _loaded(*sent.value), 0
-        for batch in batches:
-            for part in _blocks(batch, size):
-                made = encode_block(pair, part.column("doc_id"), part.column("text"))
-                row = {"block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64())}
-                for k, v in made.items():
-                    kind = {"hashes": pa.string(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64()}.get(k, pa.int32())
-                    if isinstance(v, bytes):
-                        row[k] = pa.array([v], pa.binary())
-                    else:
-                        flat = v if isinstance(v, pa.Array) else pa.array(v).cast(kind)
-                        row[k] = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-                n += 1
-                yield pa.RecordBatch.from_pydict(row)
+        pair, home = _loaded(*sent.value), TaskContext.get().partitionId() << 32
+        for n, (ids, texts) in enumerate(_blocks(batches, size)):
+            yield from _rows(home + n, encode_block(pair, ids, texts))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, doc_ids array<{kind}>, {_PACKED}")
-    written = shared_folder(spark)
-    made.write.option("compression", "zstd").parquet(written)
+    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"block long, doc_id {kind}, {_PACKED}")
+    written, name = shared_folder(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))  # workers keep the memory that a batch of texts once took
+    try:
+        made.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(written)
+    finally:
+        spark.conf.set(name, before)
     return _read(spark, written, made)
 
 
@@ -298,19 +350,17 @@ def align(docs: DataFrame, folder: str = FOLDER, size: int = BLOCK) -> DataFrame
     result = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        for row in range(left.num_rows):
-            get = lambda c: left[c][row].values  # noqa: B023, E731
-            ints = lambda c: np.frombuffer(left[c][row].as_py(), np.int32).astype(np.int64)  # noqa: B023, E731
-            at, units, own, counts, links = right["at"].to_numpy(), ints("units"), ints("own"), ints("unit_links"), ints("links")
-            sums = []
-            for c in ("best", "n"):
-                by_pair = np.zeros(int(links.max(initial=-1)) + 1, np.int64)
-                by_pair[at] = right[c].to_numpy()
-                sums.append(pa.array(_sums(_sums(by_pair[links], counts)[own], units)))
-            columns = [get("doc_ids"), get("n_a"), get("n_b"), get("n_groups"), get("n_links"), *sums, get("hashes")]
-            parts.append(pa.table(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]))
-        return pa.concat_tables(parts)
+        known, pieces = left.filter(pc.is_null(left["place"])), left.filter(pc.is_valid(left["place"])).sort_by("place")
+        ints = lambda rows, c: np.frombuffer(b"".join(rows[c].to_pylist()), np.int32)
+        own, counts, links = ints(known, "own"), ints(pieces, "unit_links"), ints(pieces, "links")
+        units, at = pc.binary_length(known["own"]).to_numpy() // 4, right["at"].to_numpy()
+        sums = []
+        for c in ("best", "n"):
+            by_pair = np.zeros(int(links.max(initial=-1)) + 1, np.int64)
+            by_pair[at] = right[c].to_numpy()
+            sums.append(pa.array(_sums(_sums(by_pair[links], counts)[own], units)))
+        columns = [*(known[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, known["hash"]]
+        return pa.table(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     kept = blocks.drop("at", "a", "b", "n")
     return kept.groupBy("block").cogroup(told.groupBy("home")).applyInArrow(total, result)

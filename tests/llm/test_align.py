@@ -1,11 +1,15 @@
 import hashlib
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricelens.llm import align
@@ -94,6 +98,26 @@ def test_repeated_and_null_ids_and_empty_tables(spark, plain):
     assert align.align(frame.limit(0)).count() == 0
 
 
+def test_blocks_are_written_as_small_rows_and_row_groups(spark):
+    """A block as one row of several MB filled executors at 6 GB: writers, readers and sorts held many of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 2000).alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = align.encode(docs.union(docs).coalesce(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    sizes = [F.coalesce(F.octet_length(c) if kind == "binary" else 8 * F.size(c), F.lit(0)) for c, kind in blocks.dtypes if kind == "binary" or kind.startswith("array")]
+    made = blocks.select("block", reduce(add, sizes).alias("size")).groupBy("block").agg(F.sum("size").alias("all"), F.max("size").alias("most")).collect()
+    assert len(made) == 1 and made[0].all > 500_000 and made[0].most <= 40 * 8192
+    for path in blocks.inputFiles():
+        groups = pq.ParquetFile(path.removeprefix("file:")).metadata
+        assert all(groups.row_group(k).total_byte_size < 16 << 20 for k in range(groups.num_row_groups))
+
+
+def test_blocks_go_over_batches_and_hold_one_long_text():
+    texts = ["a" * 300, None, "b" * 1200, "", "c" * 100, "d" * 100]
+    made = align._blocks(iter(pa.record_batch({"doc_id": [k], "text": pa.array([x], pa.string())}) for k, x in enumerate(texts)), 1000)
+    assert [(ids.to_pylist(), x.to_pylist()) for ids, x in made] == [([0, 1], texts[:2]), ([2], texts[2:3]), ([3, 4, 5], texts[3:])]
+
+
 def test_long_documents_are_hashed_in_parts(plain, monkeypatch):
     monkeypatch.setattr(align, "WRITTEN", 7)
     pair = align.Pair(open(A_PATH, "rb").read(), open(B_PATH, "rb").read())
